@@ -89,3 +89,53 @@ def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     starts = np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
     return starts, np.diff(np.append(starts, len(sorted_keys)))
+
+
+class Files:
+    """Small files below a path that Spark can reach, through Hadoop's file systems."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.root, self._jvm = root.rstrip("/"), spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._gate = spark.sparkContext._gateway
+        self._fs = self._path("").getFileSystem(self._conf)
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def sizes(self, name: str, suffix: str = "") -> dict[str, int]:
+        """The names and bytes of the files directly in a folder; none if it is missing."""
+        if not self._fs.exists(self._path(name)):
+            return {}
+        found = self._fs.listStatus(self._path(name))
+        return {s.getPath().getName(): s.getLen() for s in found if s.isFile() and s.getPath().getName().endswith(suffix)}
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._path(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def commit(self, name: str, text: str) -> bool:
+        """Write a file by way of a rename that fails if the name is taken; False if it was."""
+        hidden = self._path(f"_new-{uuid.uuid4().hex}")
+        self._fs.mkdirs(self._path(""))
+        out = self._fs.create(hidden)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if self._fs.exists(self._path(name)):
+            self._fs.delete(hidden, False)
+            return False
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self._conf)
+        try:
+            context.rename(self._fs.makeQualified(hidden), self._fs.makeQualified(self._path(name)), self._gate.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception:
+            self._fs.delete(hidden, False)
+            if self._fs.exists(self._path(name)):
+                return False
+            raise
+        return True
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
