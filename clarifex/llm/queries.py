@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clarifex.llm import decontaminate, exact_dedup, line_dedup, mixing, simhash, substring_dedup
+from clarifex.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, simhash, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _fold(mod: int) -> Column:
+    """crc32 of the id as text, modulo ``mod``; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.train(language_id.sample(docs.where(_fold(4) != 2)))
+    return language_id.identify(docs, model).select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.line_dedup(documents(spark, sf_dir), least=10)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -36,6 +47,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(documents(spark, sf_dir), width=3, tau=2)
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    return quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(_fold(3) != 1))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = quality.score(docs.select("doc_id", "text"), quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     listed = F.sha2(F.encode(F.concat_ws(",", "items"), "UTF-8"), 256)
@@ -44,10 +65,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
 }
 
