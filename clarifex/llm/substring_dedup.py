@@ -133,7 +133,7 @@ def repeated_blocks(rows: DataFrame, width: int) -> DataFrame:
 def block_filter(blocks: DataFrame, n: int) -> np.ndarray:
     """A bitmap of the blocks, of a bounded size, built by the executors."""
     bits = min(MAX_BITS, max(1 << 12, 1 << (max(1, n) * BITS_EACH - 1).bit_length()))
-    bit = F.shiftrightunsigned("seed", 64 - (bits.bit_length() - 1))
+    bit = F.shiftrightunsigned("seed", 1).bitwiseAND(F.lit(bits - 1))  # the low bits: the high ones of a least hash are small
     words = blocks.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas()
     out = np.zeros(bits // 64, np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
@@ -145,7 +145,6 @@ def block_runs(rows: DataFrame, width: int, known) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = known.value if known is not None else None
-        shift = np.uint64(64 - (len(bitmap) * 64).bit_length() + 1) if known is not None else None
         for pieces in _groups(batches, width):
             words, seeds = _seeds(pieces, width, 2)
             out = [[] for _ in range(8)]
@@ -153,7 +152,7 @@ def block_runs(rows: DataFrame, width: int, known) -> DataFrame:
                 starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
                 seed, ends = least[starts], np.append(starts[1:], len(least))
                 if bitmap is not None:
-                    bit = seed >> shift
+                    bit = (seed >> np.uint64(1)) & np.uint64(len(bitmap) * 64 - 1)
                     keep = (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
                     starts, ends, seed = starts[keep], ends[keep], seed[keep]
                 if not len(starts):
@@ -189,10 +188,10 @@ def repeats(docs: DataFrame, width: int, id_col: str, text_col: str, max_blocks:
     # The check at factor boundaries: windows of runs unlike all others, against one run of each kind over the same block.
     single = kinds.where("same = 1").select("seed").distinct()
     heads = kinds.select(*kind, "same", "head._id", "head._key", "head.at").join(single, "seed", "left_semi")
-    opened = runs.select(*kind, "_id", "_key", "at", "wins").join(heads, [*kind, "_id", "_key", "at"]).select("seed", "same", "_id", "_key", "at", F.posexplode("wins").alias("k", "win"))
-    opened = table(opened.select("seed", "win", "same", "_id", "_key", (F.col("at") + F.col("k")).alias("at")).distinct(), "windows")
-    counts = cut(opened.groupBy("seed", "win").agg(F.sum("same").alias("places"), F.count(F.lit(1)).alias("rows")))
-    alone = skew_join(opened.where("same = 1").drop("same"), counts, ["seed", "win"], "rows").where("places > 1")
+    opened = table(runs.select(*kind, "_id", "_key", "at", "wins").join(heads, [*kind, "_id", "_key", "at"]).select("seed", "same", "_id", "_key", "at", "wins"), "opened")
+    counts = cut(opened.select("seed", "same", F.explode("wins").alias("win")).groupBy("seed", "win").agg(F.sum("same").alias("places"), F.count(F.lit(1)).alias("rows")).where("places > 1"))
+    windows = opened.where("same = 1").select("seed", "_id", "_key", "at", F.posexplode("wins").alias("k", "win")).select("seed", "win", "_id", "_key", (F.col("at") + F.col("k")).alias("at"))
+    alone = skew_join(windows, counts, ["seed", "win"], "rows")
     return rows, whole.unionByName(alone.select("_id", "_key", "at", F.lit(1).cast("long").alias("n")))
 
 
