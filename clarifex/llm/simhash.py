@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clarifex.llm.common import cut, of, runs, skew_join, text_bytes
+from clarifex.llm.common import cut, of, runs, skew_join, table, text_bytes
 from clarifex.llm.components import components
 
 #: Fingerprints on the driver for the estimates. Rows of a bucket beyond which it is split further. Pairs compared at once.
@@ -98,21 +98,25 @@ def plan(sample: np.ndarray, n: int, tau: int) -> list[tuple[list[int], int]]:
         groups, costs = bit_parts(sample, parts), []
         for own in groups:
             distance = np.bitwise_count(apart & np.uint64(sum(1 << b for b in own)))[off]
-            near = [(float((distance <= t).mean()) if len(distance) else 0.0) + sum(comb(len(own), k) for k in range(t + 1)) / 2.0 ** len(own) for t in range(tau + 1)]
-            costs.append({-1: 0.0} | {t: 20.0 * n * sum(comb(len(own), k) for k in range(t + 1)) + n * n * near[t] for t in range(tau + 1)})
+            ball = lambda r, w=len(own): sum(comb(w, k) for k in range(r + 1))
+            near = [(float((distance <= t).mean()) if len(distance) else 0.0) + ball(t // 2) * ball(t - t // 2) / 2.0 ** len(own) for t in range(tau + 1)]
+            costs.append({-1: 0.0} | {t: 50.0 * n * ball(t - t // 2) + n * n * near[t] for t in range(tau + 1)})
         cost, chosen = allocate(costs, tau - parts + 1)
         plans.append((cost, [(own, t) for own, t in zip(groups, chosen, strict=True) if t >= 0]))
     return min(plans, key=lambda p: p[0])[1]
 
 
 def _keys(fps: np.ndarray, probed: list[tuple[list[int], int]]) -> Iterator[tuple[np.ndarray, bool]]:
-    """The bucket keys of each stored fingerprint (not a probe) and of its variants within the part's threshold (probes)."""
+    """The bucket keys of each fingerprint: of its variants within t // 2 bits (stored), and of those beyond within t - t // 2 (probes).
+
+    Two values within t bits have a common variant among the stored of one and all of the other.
+    """
     for k, (own, t) in enumerate(probed):
         value = fps & np.uint64(sum(1 << b for b in own))
         salt = np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-        for flips in range(t + 1):
+        for flips in range(t - t // 2 + 1):
             for some in combinations(own, flips):
-                yield _mixed(value ^ np.uint64(sum(1 << b for b in some)), salt), flips > 0
+                yield _mixed(value ^ np.uint64(sum(1 << b for b in some)), salt), flips > t // 2
 
 
 def _mixed(value: np.ndarray, salt: np.uint64) -> np.ndarray:
@@ -257,3 +261,49 @@ def near_dedup(docs: DataFrame, width: int = 5, tau: int = 3, id_col: str = "doc
     named = cut(skew_join(rooted, cut(heads), ["root"], "classes").select("fp", "n", "component_id"))
     out = skew_join(rows, named, ["fp"], "n")
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similarity(a: bytes, b: bytes, width: int) -> float:
+    """The Jaccard similarity of the sets of shingles of two texts; 1 if neither has words."""
+    x, y = set(shingle_hashes(a, width).tolist()), set(shingle_hashes(b, width).tolist())
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+#: Ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined to few or many rows with an id each."""
+    side = cut(ids)
+    return docs.join(F.broadcast(side) if side.count() <= BROADCAST_IDS else side, ids.columns[0], how)
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, tau: int = 10, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the near copies of a document that stays; ids must be unique and not null.
+
+    Fingerprints within ``tau`` bits put documents into groups, of which the one with the least id
+    stays. Another member goes if the Jaccard similarity of its shingles of ``width`` words with those
+    of the one that stays is ``least`` or more, so a document that only came near by its
+    fingerprint, or by way of others, stays too. Each member is compared once; no pairs are made.
+    """
+    rows = docs.select(F.col(id_col).alias("_m"), F.col(text_col).alias("_text"))
+    groups = near_dedup(docs, width, tau, id_col, text_col).select(F.col(id_col).alias("_m"), F.col("component_id").alias("_head"))
+    members = cut(groups.where("_m != _head"))
+    sizes = members.groupBy("_head").agg(F.count(F.lit(1)).alias("n"))
+    heads = table(_by_id(rows.withColumnRenamed("_m", "_head").withColumnRenamed("_text", "_first"), sizes, "inner"), "heads")
+    own = _by_id(rows, members, "inner")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in of(batches):
+            near = [similarity(a, b, width) >= least for a, b in zip(text_bytes(batch.column(1)), text_bytes(batch.column(2)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_()))], ["_m"])
+
+    pairs = skew_join(own, heads, ["_head"], "n").select("_m", "_text", "_first")
+    gone = pairs.mapInArrow(each, f"_m {dict(rows.dtypes)['_m']}")
+    return _by_id(docs, gone.withColumnRenamed("_m", id_col), "left_anti")
+
+
+def keep_out(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the ids in ``gone``, whose one column has the name of the id in ``docs``."""
+    return _by_id(docs, gone, "left_anti")

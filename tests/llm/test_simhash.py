@@ -82,3 +82,39 @@ def test_against_brute_force(spark, large):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_dedup(df).collect() == []
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(5000)]
+    base = [" ".join(rng.choice(words, 300)) for _ in range(30)]
+    rows = [(k, t, None, "x", 1) for k, t in enumerate(base)]
+    near = []
+    for k in range(30):
+        one = base[k].split()
+        one[int(rng.integers(300))] = "changed"
+        near.append((100 + k, " ".join(one), None, "x", 1))
+    half = [(200 + k, " ".join(base[k].split()[:150] + list(rng.choice(words, 150))), None, "x", 1) for k in range(30)]
+    copies = [(300 + k, base[0], None, "x", 1) for k in range(50)]
+    df = spark.createDataFrame([*rows, *near, *half, *copies, (900, None, None, "x", 1), (901, "", None, "x", 1)], "doc_id long, text string, lang string, _text string, n int")
+    kept = simhash.drop_near_copies(df)
+    assert kept.columns == df.columns
+    ids = {r.doc_id for r in kept.collect()}
+    assert set(range(30)) | set(range(200, 230)) | {900} <= ids
+    assert not ids & {901, *range(300, 350)} and len(ids & set(range(100, 130))) <= 2
+
+
+@pytest.mark.parametrize("tau", [1, 3, 6, 10])
+def test_plans_lose_no_pair(spark, tau):
+    rng = np.random.default_rng(tau)
+    base = rng.integers(0, 2**64, 40, np.uint64)
+    fps = [int(x) for x in base]
+    for x in base:
+        for flips in (tau, tau + 1):
+            fps.append(int(x) ^ sum(1 << int(b) for b in rng.choice(64, flips, replace=False)))
+    df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in set(fps)], "fp long")
+    roots = {r.node & (2**64 - 1): r.root for r in components(simhash.near_links(df, tau, 20_000)).collect()}
+    for a in fps:
+        for b in fps:
+            if a != b and (a ^ b).bit_count() <= tau:
+                assert roots[a] == roots[b]
