@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clarifex.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, simhash, substring_dedup, token_output
+from clarifex.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, sharding, simhash, substring_dedup, token_output
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.fingerprints(sharding.compacted(documents(spark, sf_dir)))
+
+
 def _fold(mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
@@ -74,6 +78,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_sharding": op2_sharding,
     "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_output": op5_token_output,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {
+    "op2_sharding": "SELECT doc_id, octet_length(encode(text)) AS n_bytes, sha256(text) AS text_sha256 FROM documents",
     "op4_line_dedup": rf"""
         WITH lines AS (
             SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS line
