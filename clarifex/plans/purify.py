@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import functools
 import time
+import uuid
 from collections.abc import Callable
 from enum import StrEnum
 
@@ -132,19 +133,27 @@ def purify(
     restored = shaped.restore(cleaned, keep_optimized_headers)
     seen = Observation("clarifex")
     start = time.time()
-    path = write(restored.observe(seen, F.count(F.lit(1)).alias("rows")), destination, single_file)
+    status, tag = "partial" if any(f["tool"] != "type_caster" for f in failures) else "success", f"clarifex-{uuid.uuid4().hex}"
+    spark.sparkContext.addJobTag(tag)
+    try:
+        write(restored.observe(seen, F.count(F.lit(1)).alias("rows")), destination, single_file)
+    except KeyboardInterrupt:  # the commit protocol leaves nothing half-written behind
+        spark.sparkContext.cancelJobsWithTag(tag)
+        status = "interrupted_by_user"
+    finally:
+        spark.sparkContext.removeJobTag(tag)
     out = {
-        "status": "partial" if any(f["tool"] != "type_caster" for f in failures) else "success",
+        "status": status,
         "mode": str(found),
         "rows_in": next((s["total_rows"] for s in stats.values()), None),
-        "rows_out": seen.get["rows"],
+        "rows_out": seen.get["rows"] if status != "interrupted_by_user" else None,
         "columns_out": restored.columns,
         "blueprint": rules,
         "failure_logs": failures,
         "execution_time_sec": round(time.time() - start, 4),
         "total_time_sec": round(time.time() - began, 4),
-        "destination_path": path,
+        "destination_path": destination,
     }
     if verbose:
-        print(f"{out['status']}: {out['rows_out']} rows in {out['total_time_sec']} s to {path}")
+        print(f"{out['status']}: {out['rows_out']} rows in {out['total_time_sec']} s to {destination}")
     return out

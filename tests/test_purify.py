@@ -147,6 +147,15 @@ def test_failing_tools(spark, tmp_path):
     assert out["status"] == "partial" and out["rows_out"] == 60 and out["failure_logs"][0]["tool"] == "always_fails"
 
 
+def test_interrupted(spark, tmp_path, monkeypatch):
+    def stop(*args):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(p, "write", stop)
+    out = p.purify(spark, nested(spark), str(tmp_path / "x"), "strict", {"order_id": {"cleaning_pipeline": []}})
+    assert out["status"] == "interrupted_by_user" and out["rows_out"] is None
+
+
 def test_blueprint_application(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None)], "id long, x double")
     rules = {"x": {"cleaning_pipeline": ["drop_constant_variance", "mean_imputer"], "memory_optimization": "cast:Float32"}}
