@@ -42,12 +42,45 @@ def mean_imputer(df: DataFrame, column: str, context: ToolContext) -> DataFrame:
     return filled(df, column, scalar(df, F.avg(present(name(column), kind_of(df, column)).cast("double"))))
 
 
+#: Values that the driver looks through for an exact quantile at most, as far as they are distinct.
+HELD = 100_000
+
+
+def _at_ranks(rows: DataFrame, n: int, first: int, last: int) -> tuple[float, float]:
+    """The values at two neighbouring ranks (from 0) of column x: sketches narrow the range down until few values are left, so no task holds all of them."""
+    before, share = 0, 0.001
+    while n > HELD:
+        low, high = rows.agg(F.percentile_approx("x", F.array(*[F.lit(min(1.0, max(0.0, s))) for s in ((first - before) / n - share, (last - before) / n + share)]), 10_000)).first()[0]
+        below, inside = rows.agg(F.count_if(F.col("x") < low), F.count_if(F.col("x").between(low, high))).first()
+        if not (before + below <= first and last < before + below + inside):
+            share *= 10  # the sketch was off by more than it should be
+            continue
+        if low == high:
+            return low, high
+        if inside == n:
+            break
+        rows, before, n = rows.where(F.col("x").between(low, high)), before + below, inside
+    found = []
+    for r in rows.groupBy("x").count().orderBy("x").toLocalIterator():
+        found += [r.x] * ((before <= first < before + r["count"]) + (before <= last < before + r["count"]))
+        before += r["count"]
+    return found[0], found[-1]
+
+
 def quantiles(df: DataFrame, column: str, at: list[float], exact: bool) -> list[float | None]:
-    """Quantiles of a column: exact and interpolated, or approximate from a bounded sketch."""
+    """Quantiles of a column: exact and interpolated, or approximate from a bounded sketch; None without values."""
     x = present(name(column), kind_of(df, column)).cast("double")
-    shares = F.array(*map(F.lit, at))
-    found = scalar(df, F.percentile(x, shares) if exact else F.percentile_approx(x, shares, 100_000))
-    return list(found) if found else [None] * len(at)
+    if not exact:
+        return list(scalar(df, F.percentile_approx(x, F.array(*map(F.lit, at)), 100_000)) or [None] * len(at))
+    rows = df.select(x.alias("x")).where("x is not null")
+    if not (n := rows.count()):
+        return [None] * len(at)
+    out = []
+    for share in at:
+        spot = share * (n - 1)
+        low, high = _at_ranks(rows, n, int(spot), min(n - 1, -int(-spot // 1)))
+        out.append(low + (high - low) * (spot - int(spot)))
+    return out
 
 
 @register("median_imputer")
@@ -67,6 +100,10 @@ def flag_missing_text(df: DataFrame, column: str, context: ToolContext) -> DataF
     return replace(flagged, column, F.coalesce(name(column).cast("string"), F.lit("MISSING")))
 
 
+#: Ranges that an order key is cut into at most.
+SEGMENTS = 256
+
+
 def _segments(df: DataFrame, order: str, parts: int) -> Column:
     """The number of an order key's range, of which there are ``parts``: windows over a segment need one task each, not one for all rows."""
     key = F.unix_micros(name(order).cast("timestamp")).cast("double") if isinstance(kind_of(df, order), (T.TimestampType, T.TimestampNTZType)) else name(order).cast("double")
@@ -88,7 +125,8 @@ def _around(df: DataFrame, column: str, context: ToolContext, tool: str, extra:
     values = {column: x} | {e: F.when(x.isNotNull(), name(e)) for e in extra}
     parts = list(context.partition_by)
     alone = not parts and len(order) == 1 and (is_numeric(kind_of(df, order[0])) or isinstance(kind_of(df, order[0]), (T.TimestampType, T.TimestampNTZType)))
-    segment = _segments(df, order[0], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if alone else F.lit(0)
+    count = min(SEGMENTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    segment = _segments(df, order[0], count) if alone else F.lit(0)
     rows = df.withColumn("_segment", segment)
     by = [*map(name, parts), F.col("_segment")]
     past = Window.partitionBy(*by).orderBy(*map(name, order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -97,8 +135,8 @@ def _around(df: DataFrame, column: str, context: ToolContext, tool: str, extra:
     if alone:
         at = name(order[0])
         ends = df.withColumn("_segment", segment).where(x.isNotNull()).groupBy("_segment").agg(*[a for k, v in enumerate(values.values()) for a in (F.max_by(v, at).alias(f"hi{k}"), F.min_by(v, at).alias(f"lo{k}"))])
-        # One row for each range, of which there are as many as shuffle partitions.
-        every = df.sparkSession.range(-1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1).withColumn("_segment", F.col("id").cast("int")).drop("id").join(ends, "_segment", "left")
+        # One row for each range.
+        every = df.sparkSession.range(-1, count + 1).withColumn("_segment", F.col("id").cast("int")).drop("id").join(ends, "_segment", "left")
         before = Window.orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
         after = Window.orderBy("_segment").rowsBetween(1, Window.unboundedFollowing)
         near = every.select("_segment", *[a for k in range(len(values)) for a in (F.last(f"hi{k}", ignorenulls=True).over(before).alias(f"b{k}"), F.first(f"lo{k}", ignorenulls=True).over(after).alias(f"a{k}"))])

@@ -87,6 +87,15 @@ def test_new_columns(spark):
     assert tuple(t.orderBy("id").drop("id", "x").first()) == (2024, 1, 2, 3, 4, 6, True) and column(t, "x_year")[1:] == [None, None]
 
 
+@pytest.mark.parametrize("held", [impute.HELD, 50])
+def test_exact_quantiles(spark, monkeypatch, held):
+    monkeypatch.setattr(impute, "HELD", held)
+    rng = np.random.default_rng(5)
+    for values in (rng.normal(0, 1, 3001), np.repeat([1.0, 2.0, 2.0, 3.0], 200), np.array([4.0]), rng.integers(0, 30, 1000).astype(float)):
+        at = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
+        assert np.allclose(impute.quantiles(frame(spark, values.tolist()).repartition(3), "x", at, True), np.quantile(values, at))
+
+
 def test_order_is_needed_and_partitions_are_kept_apart(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, "a", None), (1, "b", None), (2, "b", 5.0)], "id long, g string, x double")
     with pytest.raises(ValidationError):
