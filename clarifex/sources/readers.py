@@ -22,6 +22,8 @@ from clarifex.sources.sniff import SNIFF_BYTES, Dialect, sniff
 TEXTS, BOOKS = (".csv", ".tsv", ".txt"), (".xlsx", ".xls")
 #: Bytes that are read whole on the driver (workbooks, zip archives) at most.
 WHOLE_BYTES = 256 << 20
+#: Encodings that Spark's readers know, by the names that are sniffed.
+SPARK_ENCODINGS = {"latin-1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1", "utf-8": "UTF-8"}
 #: Policies for lines with too many fields.
 POLICIES = ("skip", "warn", "error")
 
@@ -97,7 +99,7 @@ class DataLoader:
 
     def _lines(self) -> DataFrame:
         """The text as lines, in files' order; encodings that Spark does not know are decoded here."""
-        encoding = {"latin-1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1", "utf-8": "UTF-8"}.get(self.dialect.encoding)
+        encoding = SPARK_ENCODINGS.get(self.dialect.encoding)
         if self.compression == "zip":
             with zipfile.ZipFile(io.BytesIO(self._bytes(self.bytes))) as z:
                 text = z.read(z.namelist()[0]).decode(self.dialect.encoding)
@@ -125,12 +127,18 @@ class DataLoader:
         if self.dialect.skip_rows:
             # Titles stand in the head of the file, which is in its first partition.
             ahead = lines.rdd.zipWithIndex().filter(lambda x, n=self.dialect.skip_rows: x[1] >= n).map(lambda x: x[0][0])
+            header = ahead.filter(lambda line: bool(line and line.strip())).first()
         else:
-            ahead = lines.rdd.map(lambda r: r[0])
-        header = ahead.filter(lambda line: line is not None and bool(line.strip())).first()
+            ahead = None
+            header = lines.where(F.length(F.trim("value")) > 0).first()[0]
         names = next(csv.reader([header], delimiter=sep))
         schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names) + 1)])  # one more shows lines that are too long
-        rows = self.spark.read.options(**options | {"header": False}).schema(schema).csv(ahead.filter(lambda line, h=header: line != h))
+        encoding = SPARK_ENCODINGS.get(self.dialect.encoding)
+        if ahead is None and encoding and self.compression != "zip":
+            rows = self.spark.read.options(**options, encoding=encoding).schema(schema).csv(str(self.filepath))
+        else:  # lines that were decoded or cut here are parsed as lines
+            ahead = lines.rdd.map(lambda r: r[0]) if ahead is None else ahead
+            rows = self.spark.read.options(**options | {"header": False}).schema(schema).csv(ahead.filter(lambda line, h=header: line != h))
         extra = F.col(f"c{len(names)}").isNotNull()
         if self.fault_tolerance == "error":
             extra = F.when(extra, F.raise_error(F.lit("a line has more fields than the header"))).otherwise(False)
