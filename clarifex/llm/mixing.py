@@ -145,8 +145,8 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), seed: int = 1, bl
     Ids must be unique here, as texts are joined to what the mix takes of them by id. Other columns stay.
     """
     took = mix(docs, weights, seed, block_words, id_col=id_col, text_col=text_col, source_col=source_col).where("taken > 0")
-    side = took.select(F.col(id_col).alias("_id"), F.col("times").alias("_times"), F.col("spans").alias("_spans"))
-    joined = docs.join(side, F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))).drop("_id")
+    side = took.select(F.col(id_col).alias("__mix_id"), F.col("times").alias("__mix_times"), F.col("spans").alias("__mix_spans"))
+    joined = docs.join(side, F.col(f"`{id_col}`").eqNullSafe(F.col("__mix_id"))).drop("__mix_id")
     names, at = docs.columns, docs.columns.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

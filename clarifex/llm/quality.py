@@ -159,15 +159,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Null labels are left out; of several labels of an id the least counts. Only the sampled rows'
     statistics reach the driver.
     """
-    each = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
-    some = cut(each.orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id").limit(sample))
-    rows = docs.join(F.broadcast(some), F.col(f"`{id_col}`") == F.col("_id")).select("_label", *[c.alias(n) for n, c in statistics(F.col(f"`{text_col}`")).items()])
+    each = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__quality_id")).agg(F.min(label_col).cast("int").alias("__quality_label"))
+    some = cut(each.orderBy(F.xxhash64(F.lit(SEED), "__quality_id"), "__quality_id").limit(sample))
+    rows = docs.join(F.broadcast(some), F.col(f"`{id_col}`") == F.col("__quality_id")).select("__quality_label", *[c.alias(n) for n, c in statistics(F.col(f"`{text_col}`")).items()])
     got = rows.limit(4 * sample).toPandas()
-    return fit(got[FEATURES].to_numpy(np.float64), (got["_label"].to_numpy() > 0).astype(int)) if len(got) else fit(np.zeros((0, len(FEATURES))), np.zeros(0))
+    return fit(got[FEATURES].to_numpy(np.float64), (got["__quality_label"].to_numpy() > 0).astype(int)) if len(got) else fit(np.zeros((0, len(FEATURES))), np.zeros(0))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the model's score of each whole text (0 to 1), null and empty texts included; all in built-in expressions."""
-    hidden = {n: f"_stat_{n}" for n in FEATURES}
+    hidden = {n: f"__quality_{n}" for n in FEATURES}
     with_stats = docs.withColumns({hidden[n]: c for n, c in statistics(F.col(f"`{text_col}`")).items()})
     return with_stats.withColumn(name, model.column({n: F.col(h) for n, h in hidden.items()})).drop(*hidden.values())
