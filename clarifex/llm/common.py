@@ -28,9 +28,25 @@ def work_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders that this process has made for tables between steps, until ``release`` deletes them.
+_MADE: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def made() -> int:
+    """How many such folders there are."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the tables made after there were ``since``, once the results that are read from them are written."""
+    while len(_MADE) > since:
+        Files(spark, _MADE.pop()).delete("")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -78,8 +94,8 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def big_batches(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of an Arrow batch, so that long texts do not pile up in a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the rows of the Arrow batches that the session sends to Python workers, as long texts pile up in them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
