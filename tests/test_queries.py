@@ -26,3 +26,10 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "blueprint_orders" in e.queries()
+
+
+def test_nothing_else_imports_the_corpus_operators():
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1] / "clarifex"
+    assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "clarifex.llm" in p.read_text()]
