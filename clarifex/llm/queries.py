@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clarifex.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, sharding, simhash, substring_dedup, token_output
+from clarifex.llm.common import small_batches
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -44,7 +46,7 @@ def tokenizer_path() -> str:
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.round_trip(documents(spark, sf_dir), tokenizer_path(), end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_output.round_trip(documents(spark, sf_dir), tokenizer_path(), public_tokenizers.PATTERN, end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 
 MAGIC, HEAD = b"CLXT\x01\0\0\0", "<IIQ"
 #: Ids of a block; cells (blocks times alphabet) of the models held at once; positions coded between updates of the model.
-BLOCK, CELLS, STRETCHES = 8192, 1 << 22, (128, 128, 256, 512) + (1024,) * 7
+BLOCK, CELLS, STRETCHES = 4096, 1 << 22, (128, 128, 256, 512) + (1024,) * 3
 #: Bits of the totals of the mix and of the counts; of the table of order 2; greatest sureness.
 MIX, COUNTS, PAIRS, SURE = 16, 18, 12, 3
 _LOW = np.uint64(2**31)
@@ -50,7 +50,8 @@ class _Models:
         self.ends = np.cumsum(freq, axis=1, dtype=np.int32)
         self.ends[:, -1] = 1 << COUNTS  # what is left goes to the last id
         n = self.kinds.sum(axis=2)
-        self.parts = ((5 * self.kinds[:, :, :2] + 2) << MIX) // (5 * n + 6)[:, :, None]
+        parts = ((5 * self.kinds[:, :, :2] + 2) << MIX) // (5 * n + 6)[:, :, None]
+        self.two_ends, self.one_ends = parts[:, :, 0], parts[:, :, 0] + parts[:, :, 1]
 
     def pair(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
         mixed = (before.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (last.astype(np.uint32) * np.uint32(0x85EBCA6B))
@@ -58,11 +59,15 @@ class _Models:
 
     def learn(self, before: np.ndarray, last: np.ndarray, ids: np.ndarray, kind: np.ndarray, which: np.ndarray, valid: np.ndarray) -> None:
         """Take in a stretch: arrays of (block, position); only valid places count."""
-        row, col = np.nonzero(valid)
-        x, a, b = ids[row, col], before[row, col], last[row, col]
+        if valid.all():
+            row = np.repeat(self.rows, ids.shape[1])
+            x, a, b, kind, which = (np.ascontiguousarray(y).reshape(-1) for y in (ids, before, last, kind, which))
+        else:
+            row, col = np.nonzero(valid)
+            x, a, b, kind, which = (y[row, col] for y in (ids, before, last, kind, which))
         self.seen += np.bincount(row * self.v + x, minlength=self.n * self.v).reshape(self.n, self.v).astype(np.int32)
         size = self.kinds.shape[1]
-        self.kinds += np.bincount((row * size + kind[row, col]) * 3 + which[row, col], minlength=self.n * size * 3).reshape(self.kinds.shape)
+        self.kinds += np.bincount((row * size + kind) * 3 + which, minlength=self.n * size * 3).reshape(self.kinds.shape)
         for table, sure, key in ((self.one, self.sure_one, b), (self.two, self.sure_two, self.pair(a, b))):
             same = table[row, key] == x
             sure[row, key] = np.where(same, np.minimum(sure[row, key] + 1, SURE), 1)
@@ -81,7 +86,13 @@ class _Models:
 def encode(ids: np.ndarray) -> bytes:
     """The payload of some ids (each below 2**32)."""
     ids = np.asarray(ids, np.uint32)
-    alphabet, dense = np.unique(ids, return_inverse=True)
+    if len(ids) and ids.max() < 1 << 20:
+        alphabet = np.flatnonzero(np.bincount(ids))
+        place = np.zeros(1 << 20, np.int32)
+        place[alphabet] = np.arange(len(alphabet))
+        dense = place[ids]
+    else:
+        alphabet, dense = np.unique(ids, return_inverse=True)
     blocks = -(-len(ids) // BLOCK)
     lengths = np.minimum(BLOCK, len(ids) - BLOCK * np.arange(blocks)).astype(np.int64)
     crcs = [zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].tobytes()) for k in range(blocks)]
@@ -126,21 +137,21 @@ def _stretches(longest: int):
 
 def _encode(dense: np.ndarray, lengths: np.ndarray, v: int) -> list[np.ndarray]:
     n = len(lengths)
-    ids = np.zeros((n, BLOCK), np.int64)
+    ids = np.zeros((n, BLOCK), np.int32)
     ids.reshape(-1)[: len(dense)] = dense
     model = _Models(n, v)
     low, span = np.zeros(n, np.uint64), np.full(n, 2**63 - 1, np.uint64)
-    out, filled, rows = np.zeros((n, BLOCK * 2 + 8), np.uint64), np.zeros(n, np.int64), np.arange(n)
+    out, filled, rows = np.zeros((n, BLOCK * 5 // 4 + 16), np.uint64), np.zeros(n, np.int64), np.arange(n)
     longest = int(lengths.max())
-    padded = np.concatenate((np.full((n, 2), v), ids), axis=1)
+    padded = np.concatenate((np.full((n, 2), v, np.int32), ids), axis=1)
     for at, size in _stretches(longest):
         now, last, before = ids[:, at : at + size], padded[:, at + 1 : at + 1 + size], padded[:, at : at + size]
         valid = np.arange(at, at + size) < lengths[:, None]
         two, one, kind = model.predict(rows[:, None], before, last)
         which = np.where(now == two, 0, np.where(now == one, 1, 2))
-        parts = model.parts[rows[:, None], kind]
-        first = np.where(which == 0, 0, np.where(which == 1, parts[..., 0], parts[..., 0] + parts[..., 1]))
-        width = np.where(which == 2, (1 << MIX) - parts[..., 0] - parts[..., 1], np.where(which == 0, parts[..., 0], parts[..., 1]))
+        p2, p1 = model.two_ends[rows[:, None], kind], model.one_ends[rows[:, None], kind]
+        first = np.where(which == 0, 0, np.where(which == 1, p2, p1))
+        width = np.where(which == 2, 1 << MIX, np.where(which == 0, p2, p1)) - first
         end = model.ends[rows[:, None], now]
         start = np.where(now > 0, model.ends[rows[:, None], np.maximum(now - 1, 0)], 0)
         plain = which == 2
@@ -185,20 +196,21 @@ def _decode(words: np.ndarray, lengths: np.ndarray, counts: np.ndarray, v: int)
     for at, size in _stretches(int(lengths.max())):
         flat = (model.ends.astype(lift.dtype) + lift[:, None]).reshape(-1)
         kinds, whiches = np.zeros((size, n), np.int64), np.zeros((size, n), np.int64)
+        full = bool((lengths >= at + size).all())
         for k in range(size):
             before, last = ids[:, at + k], ids[:, at + k + 1]
-            live = at + k < lengths
+            live = True if full else at + k < lengths
             two, one, kind = model.predict(rows, before, last)
-            parts = model.parts[rows, kind].astype(np.uint64)
-            p2, p1 = parts[:, 0], parts[:, 0] + parts[:, 1]
+            p2, p1 = model.two_ends[rows, kind], model.one_ends[rows, kind]
             unit = span >> np.uint64(MIX)
-            x = np.minimum(code // unit, np.uint64((1 << MIX) - 1))
+            x = np.minimum(code // unit, np.uint64((1 << MIX) - 1)).astype(np.int64)
             which = (x >= p2).astype(np.int64) + (x >= p1)
-            first = np.where(which == 0, np.uint64(0), np.where(which == 1, p2, p1))
-            width = np.where(which == 2, np.uint64(1 << MIX) - p1, np.where(which == 0, p2, p1 - p2))
-            first[~live], width[~live] = 0, 1 << MIX
-            code -= unit * first
-            span = unit * width
+            first = np.where(which == 0, 0, np.where(which == 1, p2, p1))
+            width = np.where(which == 2, 1 << MIX, np.where(which == 0, p2, p1)) - first
+            if not full:
+                first[~live], width[~live] = 0, 1 << MIX
+            code -= unit * first.astype(np.uint64)
+            span = unit * width.astype(np.uint64)
             code, span, spare, place = _refill(code, span, spare, place, stream)
             unit = span >> np.uint64(COUNTS)
             x = np.minimum(code // unit, np.uint64((1 << COUNTS) - 1)).astype(np.int64)
@@ -211,7 +223,7 @@ def _decode(words: np.ndarray, lengths: np.ndarray, counts: np.ndarray, v: int)
             code -= unit * np.where(plain, start, 0).astype(np.uint64)
             span = unit * np.where(plain, end - start, 1 << COUNTS).astype(np.uint64)
             code, span, spare, place = _refill(code, span, spare, place, stream)
-            ids[:, at + k + 2] = np.where(live, now, 0)
+            ids[:, at + k + 2] = now if full else np.where(live, now, 0)
             kinds[k], whiches[k] = kind, which
         valid = np.arange(at, at + size) < lengths[:, None]
         model.learn(ids[:, at : at + size], ids[:, at + 1 : at + 1 + size], ids[:, at + 2 : at + 2 + size], kinds.T, whiches.T, valid)

@@ -4,52 +4,56 @@ A token file is a Parquet table in which a row is one chunk: whole documents in
 token counts, and a payload of independent, checksummed blocks. Chunks are numbered in document order
 by (part, chunk). Spark's commit protocol writes it, so a lost executor leaves no half-written file.
 
-Texts are encoded by the tokenizers library. As its pre-tokenizer never joins two words across a
-single space, each distinct word with its space is encoded once per worker and looked up from then on.
+Texts are encoded by the tokenizers library. With the pattern by which a tokenizer splits texts into
+pieces that it encodes one by one, each distinct piece is encoded once and then remembered.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clarifex.llm.common import fresh_dir
 from clarifex.llm.token_codec import decode, encode
 
-#: Tokens at which a chunk is closed; distinct words that a worker remembers.
-CHUNK_TOKENS, REMEMBERED = 4_000_000, 600_000
+#: Tokens at which a chunk is closed; distinct pieces that a worker remembers.
+CHUNK_TOKENS, REMEMBERED = 500_000, 60_000
 SCHEMA = "part int, chunk int, ids array<long>, counts array<long>, payload binary"
-_CACHE: dict[str, WordEncoder] = {}
+_CACHE: dict[tuple[str, str | None], PieceEncoder] = {}
 
 
-class WordEncoder:
-    """Token ids of texts by the tokenizer file at ``path``, remembering words."""
+class PieceEncoder:
+    """Token ids of texts by the tokenizer file at ``path``; pieces are remembered if their ``pattern`` is given."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str | None = None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
+        self.pieces = regex.compile(pattern).findall if pattern else None
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.place: dict[str, int] = {}
         self.flat, self.ends, self.used = np.zeros(1 << 20, np.uint32), [0], 0
 
     @classmethod
-    def at(cls, path: str) -> WordEncoder:
-        if path not in _CACHE:
-            _CACHE[path] = cls(path)
-        return _CACHE[path]
+    def at(cls, path: str, pattern: str | None = None) -> PieceEncoder:
+        """The worker's own encoder, kept from task to task."""
+        if (path, pattern) not in _CACHE:
+            _CACHE[path, pattern] = cls(path, pattern)
+        return _CACHE[path, pattern]
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.place) + len(words) > REMEMBERED:
-            self.place, self.ends, self.used = {}, [0], 0
         for at in range(0, len(words), 1 << 14):
             some = words[at : at + (1 << 14)]
             for word, ids in zip(some, self._plain(some), strict=True):
@@ -62,25 +66,20 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of ids of each."""
-        # A run of spaces is one piece to the tokenizer, so texts with one are encoded as they are.
-        spaced = [k for k, t in enumerate(texts) if "  " in t]
-        odd = dict(zip(spaced, self._plain([texts[k] for k in spaced]), strict=True))
+        if self.pieces is None:
+            found = self._plain(texts)
+            return np.array([x for ids in found for x in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
         words: list[str] = []
         lengths = np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):
-            if k not in odd and t:
-                own = t.replace(" ", "\0 ").split("\0") if "\0" not in t else None
-                if own is None:
-                    odd[k] = self._plain([t])[0]
-                    continue
-                words += own if own[0] else own[1:]
-                lengths[k] = len(own) - (not own[0])
+            own = self.pieces(t)
+            words += own
+            lengths[k] = len(own)
         get = self.place.get
         at = list(map(get, words))
+        known, missing = len(self.ends), []
         if None in at:
             missing = list(dict.fromkeys(w for w, p in zip(words, at, strict=True) if p is None))
-            if len(self.place) + len(missing) > REMEMBERED:
-                missing = list(dict.fromkeys(words))
             self._learn(missing)
             at = list(map(self.place.__getitem__, words))
         ends = np.array(self.ends)
@@ -89,13 +88,16 @@ class WordEncoder:
         total = np.cumsum(sizes)
         flat = self.flat[np.repeat(starts - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)] if len(place) else np.zeros(0, np.uint32)
         bounds = np.concatenate(([0], total))[np.concatenate(([0], np.cumsum(lengths)))]
-        if not odd:
-            return flat, np.diff(bounds)
-        parts = [np.array(odd[k], np.uint32) if k in odd else flat[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
-        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        if len(self.place) > REMEMBERED:  # full: what came first, and so most often, is kept
+            room = max(0, REMEMBERED - known + 1)
+            for word in missing[room:]:
+                del self.place[word]
+            del self.ends[known + room :]
+            self.used = self.ends[-1]
+        return flat, np.diff(bounds)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS) -> None:
     """Write the token file of ``docs`` to ``path``: ids ascending (null first), ``end_id`` after each document; null texts are empty.
 
     Documents are dealt by ranges of ids, so the parts' order is the documents' order. Rows that share
@@ -108,7 +110,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
         from pyspark import TaskContext
 
         part, chunk = TaskContext.get().partitionId(), 0
-        encoder, ids, counts, tokens, size = WordEncoder.at(tokenizer), [], [], [], 0
+        encoder, ids, counts, tokens, size = PieceEncoder.at(tokenizer, pattern), [], [], [], 0
 
         def close() -> pa.RecordBatch:
             values = [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.concatenate(counts).tolist()], pa.list_(pa.int64())), pa.array([encode(np.concatenate(tokens))], pa.binary())]
@@ -173,8 +175,8 @@ def read_tokens(spark, path: str, id_col: str = "doc_id") -> DataFrame:
     return joined.mapInArrow(each, "doc_id long, start long, n_tokens long, ids_crc32 long, tokens array<int>").withColumnRenamed("doc_id", id_col)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, pattern: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` written as a token file in the shared folder and read back."""
     path = fresh_dir(docs.sparkSession, "tokens")
-    write_tokens(docs, path, tokenizer, end_id, id_col, text_col)
+    write_tokens(docs, path, tokenizer, pattern, end_id, id_col, text_col)
     return read_tokens(docs.sparkSession, path, id_col)

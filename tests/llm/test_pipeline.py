@@ -1,4 +1,5 @@
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as p
@@ -37,6 +38,20 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id: r.n_tokens for r in kept[4].collect()} == want
 
 
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    names = ["_id", "_text", "_score", "_source", "_times", "size", "start", "_m", "_head", "fp", "n", "key", "spans", "_label", "item_id", "doc"]
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(90_000, None, None, None, None), (90_001, "", "en", "a", 0), (90_002, "word " * 30_000, None, None, 1), (90_003, None, "en", "b", 0)], base.schema)
+    rows = base.unionByName(odd).withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    for source in (rows, rows.limit(0)):
+        docs = source
+        for k, (_, stage) in enumerate(p.STAGES):
+            path = f"file://{tmp_path}/{source is rows}-{k}"
+            stage(spark, docs, SF).write.parquet(path)
+            docs = spark.read.parquet(path)
+            assert k == 4 or docs.columns == rows.columns
+
+
 def test_run_gives_the_same_again(spark):
     rows = [sorted(map(tuple, p.run(spark, SF).collect())) for _ in range(2)]
     assert rows[0] == rows[1] and rows[0]

@@ -34,12 +34,13 @@ def test_damage_is_found():
 
 @settings(deadline=None)
 @given(st.lists(st.text(alphabet="ab \t\n'sé.1<|endoftext|>\0 ", max_size=30), max_size=8))
-def test_words_give_the_tokenizers_ids(texts):
+def test_pieces_give_the_tokenizers_ids(texts):
     plain = Tokenizer.from_file(PATH)
     plain.encode_special_tokens = True
-    flat, n = o.WordEncoder.at(PATH).encode(texts)
     want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
-    assert flat.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
+    for pattern in (None, public_tokenizers.PATTERN):
+        flat, n = o.PieceEncoder.at(PATH, pattern).encode(texts)
+        assert flat.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
 
 
 @pytest.mark.parametrize("remembered", [o.REMEMBERED, 20])
@@ -54,6 +55,6 @@ def test_files(spark, monkeypatch, remembered):
         ids = plain.encode(t or "", add_special_tokens=False).ids + [2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids))
         at += len(ids)
-    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.tokens) for r in o.round_trip(df, PATH).collect())
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.tokens) for r in o.round_trip(df, PATH, public_tokenizers.PATTERN).collect())
     assert got == want
     assert o.round_trip(df.limit(0), PATH).collect() == []
