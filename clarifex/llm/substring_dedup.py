@@ -28,6 +28,8 @@ from clarifex.llm.common import cut, skew_join, table, text_bytes
 
 #: Bits of the filter of repeated blocks (16 MB when broadcast), and the bits wanted for each. Words hashed at once.
 MAX_BITS, BITS_EACH, AT_ONCE = 1 << 27, 16, 400_000
+#: Documents with repeats whose ids are broadcast at most (16 MB).
+BROADCAST_IDS = 500_000
 NO_ID = -(2**63)
 _RNG = np.random.default_rng(20240607)
 #: For each of two hashes: a value for each byte, and an odd base.
@@ -186,8 +188,8 @@ def repeats(docs: DataFrame, width: int, id_col: str, text_col: str, max_blocks:
     kinds = cut(runs.groupBy(*kind).agg(F.count(F.lit(1)).alias("same"), first.alias("head")))
     whole = skew_join(runs.select("_id", "_key", "at", "n", *kind), kinds.select(*kind, "same"), kind, "same").where("same > 1").select("_id", "_key", "at", F.col("n").cast("long").alias("n"))
     # The check at factor boundaries: windows of runs unlike all others, against one run of each kind over the same block.
-    single = kinds.where("same = 1").select("seed").distinct()
-    heads = kinds.select(*kind, "same", "head._id", "head._key", "head.at").join(single, "seed", "left_semi")
+    single = cut(kinds.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds"), F.min("same").alias("least")).where("least = 1").select("seed", "kinds"))
+    heads = skew_join(kinds.select(*kind, "same", "head._id", "head._key", "head.at"), single, ["seed"], "kinds").drop("kinds")
     opened = table(runs.select(*kind, "_id", "_key", "at", "wins").join(heads, [*kind, "_id", "_key", "at"]).select("seed", "same", "_id", "_key", "at", "wins"), "opened")
     counts = cut(opened.select("seed", "same", F.explode("wins").alias("win")).groupBy("seed", "win").agg(F.sum("same").alias("places"), F.count(F.lit(1)).alias("rows")).where("places > 1"))
     windows = opened.where("same = 1").select("seed", "_id", "_key", "at", F.posexplode("wins").alias("k", "win")).select("seed", "win", "_id", "_key", (F.col("at") + F.col("k")).alias("at"))
@@ -216,7 +218,7 @@ def substring_dedup(docs: DataFrame, width: int = 35, id_col: str = "doc_id", te
     each other, so their windows repeat. Ids are integers or null. No rows give no rows.
     """
     rows, marks = repeats(docs, width, id_col, text_col, max_blocks)
-    per_doc = marks.groupBy("_id", "_key").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    per_doc = table(marks.groupBy("_id", "_key").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,5 +236,11 @@ def substring_dedup(docs: DataFrame, width: int = 35, id_col: str = "doc_id", te
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), span, pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "factors", "kept"])
 
-    joined = rows.join(per_doc, ["_id", "_key"], "left").select("_id", "_text", "spans")
-    return joined.mapInArrow(each, "doc_id long, n_words long, n_removed long, factors array<struct<start:long,length:long>>, kept string").withColumnRenamed("doc_id", id_col)
+    names = ["_id", "_key"]
+    if per_doc.count() <= BROADCAST_IDS:  # texts without repeats stay where they are
+        ids = F.broadcast(per_doc.select(*names))
+        plain = rows.join(ids, names, "left_anti").withColumn("spans", F.lit(None).cast(per_doc.schema["spans"].dataType))
+        joined = rows.join(ids, names, "left_semi").join(per_doc, names).unionByName(plain)
+    else:
+        joined = rows.join(per_doc, names, "left")
+    return joined.select("_id", "_text", "spans").mapInArrow(each, "doc_id long, n_words long, n_removed long, factors array<struct<start:long,length:long>>, kept string").withColumnRenamed("doc_id", id_col)

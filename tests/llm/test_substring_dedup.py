@@ -36,7 +36,7 @@ def test_against_brute_force(spark, width, max_blocks, at_once):
     texts += texts[20:24]
     rows = [(k, t, "x", 1) for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, seed string, n int")
-    s.AT_ONCE, kept = at_once, s.AT_ONCE
+    s.AT_ONCE, kept, s.BROADCAST_IDS = at_once, s.AT_ONCE, 500_000 if max_blocks is None else 10
     try:
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in s.substring_dedup(df, width, max_blocks=max_blocks).collect()}
     finally:
