@@ -22,8 +22,8 @@ from clarifex.llm.common import of, text_bytes
 
 #: Hash bins, width of an embedding, subword lengths in bytes.
 BINS, WIDTH, LENGTHS = 1 << 15, 16, (2, 3, 4)
-#: The bounded training sample: rows of each language at most, and languages at most.
-PER_LANGUAGE, MAX_LANGUAGES = 600, 200
+#: The bounded training sample: rows of each language and of all at most, and languages at most.
+PER_LANGUAGE, SAMPLE, MAX_LANGUAGES = 600, 12_000, 200
 EPOCHS, RATE, BATCH, SEED = 6, 2.0, 16, 7
 #: Predictions are rejected below the confidence that this share of right calibration predictions reaches.
 KEEP_RIGHT = 0.995
@@ -101,6 +101,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc
         raise ValueError(f"{lang_col} has over {MAX_LANGUAGES} values")
     if not sizes:
         return []
+    per_language = min(per_language, SAMPLE // len(sizes))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(1.0, per_language / r[1]))])
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col(f"`{id_col}`"), F.length(f"`{text_col}`")), F.lit(1_000_003)) / 1_000_003.0
     rows = known.where(draw < share[F.col(f"`{lang_col}`")]).select(F.col(f"`{lang_col}`"), F.col(f"`{text_col}`"))
@@ -108,10 +109,10 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in of(batches, 1 << 20):
             found = bags(text_bytes(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.tolist() for b, _ in found], pa.list_(pa.int32())), pa.array([c.tolist() for _, c in found], pa.list_(pa.int32()))], ["lang", "bins", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.astype("<i4").tobytes() for b, _ in found], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())], ["lang", "bins", "counts"])
 
-    got = rows.mapInArrow(each, "lang string, bins array<int>, counts array<int>").limit(2 * per_language * len(sizes)).collect()
-    out = [(r.lang, np.array(r.bins, np.int32), np.array(r.counts, np.float64)) for r in got if r.bins]
+    got = rows.mapInArrow(each, "lang string, bins binary, counts binary").limit(2 * per_language * len(sizes)).collect()
+    out = [(r.lang, np.frombuffer(r.bins, "<i4"), np.frombuffer(r.counts, "<i4").astype(np.float64)) for r in got if r.bins]
     return sorted(out, key=lambda r: (r[0], len(r[1]), r[1].tolist(), r[2].tolist()))
 
 
