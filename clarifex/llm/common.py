@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Upper bound on the rows that ``skew_join`` broadcasts.
 HOT_KEYS = 2000
 
+#: The column that tells rows apart where ids may be null or repeated.
+ROW_KEY = "__row_key"
+
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; only a local session without one gets a temporary folder."""
@@ -62,6 +65,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame) -> DataFrame:
+    """``df`` with a long in ``ROW_KEY`` for each row, by way of a table: whatever is read again has the same keys."""
+    return table(df.withColumn(ROW_KEY, F.monotonically_increasing_id()), "rows")
+
+
 def skew_join(left: DataFrame, groups: DataFrame, key: list[str], count: str, how: str = "inner") -> DataFrame:
     """``left`` joined to ``groups`` (one row for each key, ``count`` rows of it in ``left``), whatever the skew.
 

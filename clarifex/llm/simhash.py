@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clarifex.llm.common import cut, of, runs, skew_join, table, text_bytes
+from clarifex.llm.common import ROW_KEY, cut, of, runs, skew_join, table, text_bytes, with_row_key
 from clarifex.llm.components import components
 
 #: Fingerprints on the driver for the estimates. Rows of a bucket beyond which it is split further. Pairs compared at once.
@@ -170,55 +170,64 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def _verify(tau: int):
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> Iterator[pa.RecordBatch]:
-            left, right = [], []
-            starts, lengths = runs(key)
-            small = np.repeat(lengths, lengths) <= 32
-            for step in range(1, 32):
-                if len(key) <= step:
-                    break
-                near = (key[step:] == key[:-step]) & small[step:] & (np.bitwise_count(fp[step:] ^ fp[:-step]) <= tau)
-                if not (key[step:] == key[:-step]).any():
-                    break
-                left.append(fp[:-step][near])
-                right.append(fp[step:][near])
-            for s, n in zip(starts[lengths > 32], lengths[lengths > 32], strict=True):
-                own = fp[s : s + n]
-                for a, b in close_pairs(np.unique(own[~probe[s : s + n]]), np.unique(own), tau):
-                    if len(a):
-                        x, y = _stars(a, b)
-                        left.append(x)
-                        right.append(y)
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right))
-            if len(a):
-                a, b = _stars(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+def _by_bucket(links):
+    """A function for mapInArrow over rows sorted by key, which gives ``links`` the columns (key, fp, probe, ...) of whole buckets."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            now = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            now = (now[0], now[1].view(np.uint64), now[2])
-            key, fp, probe = now if not held else tuple(np.concatenate([*(h[k] for h in held), now[k]]) for k in range(3)) if held[-1][0][-1] != now[0][-1] or len(held) > 64 else (None, None, None)
-            if key is None:
+            if not batch.num_rows:
+                continue
+            now = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns))
+            now = (now[0], now[1].view(np.uint64), *now[2:])
+            if held and held[-1][0][-1] == now[0][-1] and len(held) <= 64:
                 held.append(now)  # one bucket goes on over whole batches
                 continue
-            last = np.searchsorted(key, key[-1]) if len(key) else 0
-            yield from links(key[:last], fp[:last], probe[:last])
-            held = [(key[last:], fp[last:], probe[last:])] if last < len(key) else []
+            cols = [np.concatenate(x) for x in zip(*held, now, strict=True)]
+            last = np.searchsorted(cols[0], cols[0][-1])
+            yield from links(*(c[:last] for c in cols))
+            held = [tuple(c[last:] for c in cols)]
         if held:
-            yield from links(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+            yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return each
 
 
-def near_links(distinct: DataFrame, tau: int, large_bucket: int) -> DataFrame:
-    """Links (a, b) between the fingerprints of ``distinct`` (column fp, each once) that connect all pairs within tau bits.
-
-    Each linked pair is in one component of the links; a bucket gives at most one link for each of
-    its rows. Buckets of more than ``large_bucket`` rows are dealt out again by slices of their bits.
+def _verify(tau: int):
+    def links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left, right = [], []
+        starts, lengths = runs(key)
+        small = np.repeat(lengths, lengths) <= 32
+        for step in range(1, 32):
+            if len(key) <= step:
+                break
+            near = (key[step:] == key[:-step]) & small[step:] & (np.bitwise_count(fp[step:] ^ fp[:-step]) <= tau)
+            if not (key[step:] == key[:-step]).any():
+                break
+            left.append(fp[:-step][near])
+            right.append(fp[step:][near])
+        for s, n in zip(starts[lengths > 32], lengths[lengths > 32], strict=True):
+            own = fp[s : s + n]
+            for a, b in close_pairs(np.unique(own[~probe[s : s + n]]), np.unique(own), tau):
+                if len(a):
+                    x, y = _stars(a, b)
+                    left.append(x)
+                    right.append(y)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right))
+        if len(a):
+            a, b = _stars(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    return _by_bucket(links)
+
+
+def buckets(distinct: DataFrame, tau: int, large_bucket: int) -> DataFrame:
+    """(key, fp, probe, ...) for the rows of ``distinct`` (fp, ...): any two within tau bits share a key, which for one at least is no probe.
+
+    Buckets of more than ``large_bucket`` rows are dealt out again by slices of their bits.
     """
+    more = [c for c in distinct.columns if c != "fp"]
+    schema = "".join(f", {c} {t}" for c, t in distinct.select(*more).dtypes)
     n = distinct.count()
     sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     probed = plan(sample, n, tau)
@@ -227,9 +236,9 @@ def near_links(distinct: DataFrame, tau: int, large_bucket: int) -> DataFrame:
         for batch in batches:
             fps = batch.column(0).to_numpy()
             for key, probe in _keys(fps.view(np.uint64), probed):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fps), pa.array(np.full(len(fps), probe))], ["key", "fp", "probe"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fps), pa.array(np.full(len(fps), probe)), *batch.columns[1:]], ["key", "fp", "probe", *more])
 
-    rows = cut(distinct.select("fp").mapInArrow(keyed, "key long, fp long, probe boolean"))
+    rows = cut(distinct.select("fp", *more).mapInArrow(keyed, f"key long, fp long, probe boolean{schema}"))
     for level in range(3):
         sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("alone")))
         large = sizes.where((F.col("n") > large_bucket) & ~F.col("alone"))
@@ -241,8 +250,16 @@ def near_links(distinct: DataFrame, tau: int, large_bucket: int) -> DataFrame:
         slices = [sum(1 << b for b in range(64) if (b * (level * 2 + 1) // (level + 1)) % (tau + 1) == k) for k in range(tau + 1)]
         signed = [s - 2**64 if s >= 2**63 else s for s in slices]
         dealt = F.explode(F.array(*[F.xxhash64("key", F.lit(level * 64 + k), F.col("fp").bitwiseAND(F.lit(s))) for k, s in enumerate(signed)]))
-        rows = cut(marked.where("not hot").select("key", "fp", "probe").unionByName(marked.where("hot").select(dealt.alias("key"), "fp", "probe")))
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "probe")
+        rows = cut(marked.where("not hot").select("key", "fp", "probe", *more).unionByName(marked.where("hot").select(dealt.alias("key"), "fp", "probe", *more)))
+    return rows
+
+
+def near_links(distinct: DataFrame, tau: int, large_bucket: int) -> DataFrame:
+    """Links (a, b) between the fingerprints of ``distinct`` (column fp, each once) that connect all pairs within tau bits.
+
+    Each linked pair is in one component of the links; a bucket gives at most one link for each of its rows.
+    """
+    sorted_rows = buckets(distinct.select("fp"), tau, large_bucket).repartition("key").sortWithinPartitions("key", "probe")
     return sorted_rows.mapInArrow(_verify(tau), "a long, b long")
 
 
@@ -263,12 +280,6 @@ def near_dedup(docs: DataFrame, width: int = 5, tau: int = 3, id_col: str = "doc
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similarity(a: bytes, b: bytes, width: int) -> float:
-    """The Jaccard similarity of the sets of shingles of two texts; 1 if neither has words."""
-    x, y = set(shingle_hashes(a, width).tolist()), set(shingle_hashes(b, width).tolist())
-    return len(x & y) / len(x | y) if x or y else 1.0
-
-
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -279,29 +290,124 @@ def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(side) if side.count() <= BROADCAST_IDS else side, ids.columns[0], how)
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, tau: int = 10, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the near copies of a document that stays; ids must be unique and not null.
+def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """(_row, _class, fp, _set) for each row of (_row, _text): its distinct shingles in order, their SimHash and a 128-bit digest."""
 
-    Fingerprints within ``tau`` bits put documents into groups, of which the one with the least id
-    stays. Another member goes if the Jaccard similarity of its shingles of ``width`` words with those
-    of the one that stays is ``least`` or more, so a document that only came near by its
-    fingerprint, or by way of others, stays too. Each member is compared once; no pairs are made.
-    """
-    rows = docs.select(F.col(id_col).alias("_m"), F.col(text_col).alias("_text"))
-    groups = near_dedup(docs, width, tau, id_col, text_col).select(F.col(id_col).alias("_m"), F.col("component_id").alias("_head"))
-    members = cut(groups.where("_m != _head"))
-    sizes = members.groupBy("_head").agg(F.count(F.lit(1)).alias("n"))
-    heads = table(_by_id(rows.withColumnRenamed("_m", "_head").withColumnRenamed("_text", "_first"), sizes, "inner"), "heads")
-    own = _by_id(rows, members, "inner")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in of(batches):
+            sets = [np.unique(shingle_hashes(x, width)) for x in text_bytes(batch.column(1))]
+            fps = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            raw = [s.tobytes() for s in sets]
+            cols = [batch.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(fps), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["_row", "_class", "fp", "_set"])
+
+    return rows.mapInArrow(each, "_row long, _class binary, fp long, _set binary")
+
+
+def _near(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The v of the pairs (u, v) whose sets have a Jaccard similarity of ``least`` or more, each once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in of(batches):
-            near = [similarity(a, b, width) >= least for a, b in zip(text_bytes(batch.column(1)), text_bytes(batch.column(2)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_()))], ["_m"])
+            near = []
+            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(common / max(1, len(x) + len(y) - common) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_()))], ["v"])
+
+    counts = cut(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")))
+    heads = table(_by_id(sets.select(F.col("node").alias("u"), F.col("_set").alias("_first")), counts, "inner"), "heads")
+    own = pairs.join(sets.select(F.col("node").alias("v"), "_set"), "v")
+    return skew_join(own, heads, ["u"], "n").select("v", "_set", "_first").mapInArrow(each, "v long").distinct()
+
+
+def _lowest(tau: int):
+    """(node, low) for each row of a bucket that has another within ``tau`` bits there: the least node of these and itself."""
+
+    def links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        nodes, lows = [], []
+        for s, n in zip(*runs(key), strict=True):
+            held = probe[s : s + n]
+            if n == 1 or held.all():
+                continue
+            mine = node[s : s + n]
+            own, at, times = np.unique(fp[s : s + n], return_inverse=True, return_counts=True)
+            least = np.full(len(own), np.iinfo(np.int64).max)
+            np.minimum.at(least, at, mine)
+            low, met = least.copy(), times > 1
+            for a, b in close_pairs(np.unique(fp[s : s + n][~held]), own, tau):
+                i, j = np.searchsorted(own, a), np.searchsorted(own, b)
+                i, j = i[i != j], j[i != j]
+                np.minimum.at(low, i, least[j])
+                np.minimum.at(low, j, least[i])
+                met[i] = met[j] = True
+            nodes.append(mine[met[at]])
+            lows.append(low[at][met[at]])
+        if nodes:
+            x, at = np.unique(np.concatenate(nodes), return_inverse=True)
+            low = np.full(len(x), np.iinfo(np.int64).max)
+            np.minimum.at(low, at, np.concatenate(lows))
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(low)], ["node", "low"])
+
+    return _by_bucket(links)
+
+
+def _pairs(tau: int):
+    """(u, v) for each u that is ready and v that is not, within ``tau`` bits in a bucket; no two that are ready are."""
+
+    def links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, node: np.ndarray, ready: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s, n in zip(*runs(key), strict=True):
+            now = ready[s : s + n]
+            if now.all() or not now.any():
+                continue
+            mine, fps = node[s : s + n], fp[s : s + n]
+            heads, first = np.unique(fps[now], return_index=True)
+            order = np.argsort(fps[~now], kind="stable")
+            rest, others = fps[~now][order], mine[~now][order]
+            for a, b in close_pairs(heads, np.unique(rest), tau):
+                lo, hi = np.searchsorted(rest, b), np.searchsorted(rest, b, side="right")
+                u = np.repeat(mine[now][first[np.searchsorted(heads, a)]], hi - lo)
+                v = others[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange((hi - lo).sum())] if len(b) else others[:0]
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return _by_bucket(links)
 
-    pairs = skew_join(own, heads, ["_head"], "n").select("_m", "_text", "_first")
-    gone = pairs.mapInArrow(each, f"_m {dict(rows.dtypes)['_m']}")
-    return _by_id(docs, gone.withColumnRenamed("_m", id_col), "left_anti")
+
+def drop_near_copies(docs: DataFrame, width: int = 5, tau: int = 10, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the near copies of a document that stays.
+
+    Documents are near if the Jaccard similarity of their sets of shingles of ``width`` words is
+    ``least`` or more. In order of ids (null last; rows with one id by their texts' hashes) a document
+    goes if it is near one before it that stays. So of rows with equal sets one stays, no two that
+    stay are near as far as the search finds them, and nothing goes for a document that went itself.
+    Candidates are pairs of fingerprints of the sets within ``tau`` bits; each is verified on whole
+    sets, once the earlier document is known to stay. Texts without words have equal (empty) sets.
+    """
+    rows = with_row_key(docs)
+    texts = rows.select(F.col(ROW_KEY).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    marked = cut(shingle_sets(texts, width).drop("_set"))
+    order = rows.select(F.col(ROW_KEY).alias("_row"), F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text"), F.col(ROW_KEY).alias("row")).alias("o"))
+    found = marked.join(order, "_row").groupBy("_class").agg(F.min("o").alias("o"), F.min("fp").alias("fp"))
+    firsts = table(found.orderBy("o").select(F.monotonically_increasing_id().alias("node"), F.col("o.row").alias("_row"), "fp"), "firsts")  # nodes in the order of ids
+    gone = marked.select("_row").join(firsts.select("_row"), "_row", "left_anti")
+    rows_left, sets = buckets(firsts.select("fp", "node"), tau, LARGE_BUCKET), None
+    while True:
+        # A node without one before it stays, and is compared with all that are near it by their fingerprints; those leave or wait for the next round.
+        low = cut(rows_left.repartition("key").sortWithinPartitions("key").mapInArrow(_lowest(tau), "node long, low long").groupBy("node").agg(F.min("low").alias("low")))
+        if not low.take(1):
+            break
+        if sets is None:
+            of_nodes = cut(_by_id(firsts.select("node", "_row"), low.select("node"), "inner"))
+            sets = table(shingle_sets(_by_id(texts, of_nodes.select("_row"), "inner"), width).select("_row", "_set").join(of_nodes, "_row").select("node", "_set"), "sets")
+        marked_rows = _by_id(rows_left, low.select("node", (F.col("low") == F.col("node")).alias("ready")), "inner").select("key", "fp", "probe", "node", "ready")
+        pairs = cut(marked_rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(tau), "u long, v long").distinct())
+        near = cut(_near(pairs, sets, least))
+        gone = gone.unionByName(_by_id(firsts.select("node", "_row"), near.withColumnRenamed("v", "node"), "inner").select("_row"))
+        waiting = low.where("low < node").select("node").join(near.withColumnRenamed("v", "node"), "node", "left_anti")
+        rows_left = cut(_by_id(rows_left, waiting, "inner").select("key", "fp", "probe", "node"))
+    return _by_id(rows, gone.withColumnRenamed("_row", ROW_KEY), "left_anti").drop(ROW_KEY)
 
 
 def keep_out(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -118,3 +118,35 @@ def test_plans_lose_no_pair(spark, tau):
         for b in fps:
             if a != b and (a ^ b).bit_count() <= tau:
                 assert roots[a] == roots[b]
+
+
+def changed(rng, text, n):
+    """``text`` with ``n`` words replaced, so far apart that each of them is in five shingles of its own."""
+    words = text.split()
+    for k in rng.choice(len(words) // 10, n, replace=False):
+        words[10 * int(k) + 5] = f"new{rng.integers(10**9)}"
+    return " ".join(words)
+
+
+def jaccard(a, b):
+    x, y = (set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_copies_go_that_are_not_near_the_first_of_their_group(spark):
+    rows, rng = [], np.random.default_rng(5)
+    while len(rows) < 40:
+        a = " ".join(f"w{k}" for k in rng.integers(5000, size=300))
+        b = changed(rng, a, 10)
+        fps = [simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) for t in (a, b)]
+        if jaccard(a, b) < 0.8 and (fps[0] ^ fps[1]).bit_count() <= 8:
+            near = changed(rng, b, 2)
+            rows += [(k + len(rows), t) for k, t in enumerate((a, b, b, near))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_copies(df).collect()} == {i for i, _ in rows if i % 4 < 2}
+
+
+def test_null_and_repeated_ids_leave_one_of_equal_texts(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, "other words that are here alone"), (3, "x y z x y z"), (3, "x y z x y z"), (3, "one two three four five six")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in simhash.drop_near_copies(df).collect())
+    assert got == [(0, "a b c d e f"), (0, "other words that are here alone"), (3, "one two three four five six"), (3, "x y z x y z")]
