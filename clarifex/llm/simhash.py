@@ -89,12 +89,13 @@ def allocate(costs: list[dict[int, float]], total: int) -> tuple[float, list[int
 
 
 def plan(sample: np.ndarray, n: int, tau: int) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each probed part: the cheapest plan of 1 to 4 parts for ``n`` fingerprints, as estimated on the sample."""
+    """(bits, threshold) of each probed part: the cheapest plan of 2 to 4 (beyond 10 bits, 6) parts for ``n`` fingerprints, as estimated on the sample."""
     some = sample[:1024]
+    most = 4 if tau <= 10 else 6  # wide searches need narrow parts, or the probes are too many
     apart = some[:, None] ^ some[None, :]
     off = ~np.eye(len(some), dtype=bool)
     plans = []
-    for parts in range(2, 5):
+    for parts in range(2, most + 1):
         groups, costs = bit_parts(sample, parts), []
         for own in groups:
             distance = np.bitwise_count(apart & np.uint64(sum(1 << b for b in own)))[off]
@@ -375,7 +376,7 @@ def _pairs(tau: int):
     return _by_bucket(links)
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, tau: int = 10, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, width: int = 5, tau: int = 14, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the near copies of a document that stays.
 
     Documents are near if the Jaccard similarity of their sets of shingles of ``width`` words is

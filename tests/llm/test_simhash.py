@@ -150,3 +150,13 @@ def test_null_and_repeated_ids_leave_one_of_equal_texts(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, "other words that are here alone"), (3, "x y z x y z"), (3, "x y z x y z"), (3, "one two three four five six")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.text) for r in simhash.drop_near_copies(df).collect())
     assert got == [(0, "a b c d e f"), (0, "other words that are here alone"), (3, "one two three four five six"), (3, "x y z x y z")]
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    rng = np.random.default_rng(6)
+    base = [" ".join(f"w{k}" for k in rng.integers(5000, size=300)) for _ in range(100)]
+    near = [changed(rng, t, 6) for t in base]
+    assert all(0.8 <= jaccard(a, b) < 0.85 for a, b in zip(base, near, strict=True))
+    df = spark.createDataFrame([*enumerate(base), *enumerate(near, 100)], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_copies(df).collect()}
+    assert kept >= set(range(100)) and len(kept) <= 110
