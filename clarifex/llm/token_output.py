@@ -5,7 +5,8 @@ token counts, and a payload of independent, checksummed blocks. Chunks are numbe
 by (part, chunk). Spark's commit protocol writes it, so a lost executor leaves no half-written file.
 
 Texts are encoded by the tokenizers library. With the pattern by which a tokenizer splits texts into
-pieces that it encodes one by one, each distinct piece is encoded once and then remembered.
+pieces that it encodes one by one, each distinct piece is encoded once and then remembered. Texts that
+hold the string of a token added to the vocabulary, such as <|endoftext|>, go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -39,7 +40,10 @@ class PieceEncoder:
         self.pieces = regex.compile(pattern).findall if pattern else None
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if self.tokenizer.normalizer is not None and any(t.normalized for t in added):
+            self.pieces = None  # such tokens may come about by normalising
+        self.added = regex.compile("|".join(regex.escape(t.content) for t in added)).search if added else None
         self.place: dict[str, int] = {}
         self.flat, self.ends, self.used = np.zeros(1 << 20, np.uint32), [0], 0
 
@@ -69,6 +73,12 @@ class PieceEncoder:
         if self.pieces is None:
             found = self._plain(texts)
             return np.array([x for ids in found for x in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+        if self.added and (whole := [k for k, t in enumerate(texts) if self.added(t)]):
+            found = dict(zip(whole, self._plain([texts[k] for k in whole]), strict=True))
+            flat, n = self.encode([t for k, t in enumerate(texts) if k not in found])
+            rest = iter(np.split(flat, np.cumsum(n)[:-1]))
+            own = [np.array(found[k], np.uint32) if k in found else next(rest) for k in range(len(texts))]
+            return np.concatenate(own), np.array([len(x) for x in own], np.int64)
         words: list[str] = []
         lengths = np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):

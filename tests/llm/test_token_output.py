@@ -58,3 +58,13 @@ def test_files(spark, monkeypatch, remembered):
     got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.tokens) for r in o.round_trip(df, PATH, public_tokenizers.PATTERN).collect())
     assert got == want
     assert o.round_trip(df.limit(0), PATH).collect() == []
+
+
+@pytest.mark.parametrize("pattern", [None, public_tokenizers.PATTERN])
+def test_strings_of_added_tokens(pattern):
+    plain = Tokenizer.from_file(PATH)
+    for texts in (["a b<|endoftext|>c d"], ["", "x y", "a b<|endoftext|>c d", "<|endoftext|>", "z  <|endoftext|> <|endoftext|>", "<|endoftext|", "x y"]):
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        flat, n = o.PieceEncoder.at(PATH, pattern).encode(texts)
+        assert flat.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
+    assert 50256 in plain.encode("a b<|endoftext|>c d", add_special_tokens=False).ids
