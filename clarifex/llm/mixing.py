@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clarifex.llm.common import cut, text_bytes
+from clarifex.llm.common import ROW_KEY, cut, text_bytes, with_row_key
 
 #: Words of a block and of a shard (about); sources that the driver accepts; times a source is repeated at most.
 BLOCK_WORDS, SHARD_WORDS, MAX_SOURCES, MOST_TIMES = 64, 262_144, 100_000, 3
@@ -70,8 +70,8 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     return got
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), seed: int = 1, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, most_times: int = MOST_TIMES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: id, source, size, source_size, target, taken, times, spans.
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), seed: int = 1, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, most_times: int = MOST_TIMES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """One row for each row of ``docs``: id, source, size, source_size, target, taken, times, spans, and ``row_col`` if one is named.
 
     Sources in order of code points, null last, have the weights in turn and share as many words as
     there are. The mix takes the whole document ``times`` times, and once more the words of ``spans``
@@ -79,7 +79,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), seed: int = 1, bloc
     own. A rerun on the same rows takes the same words. No rows give no rows.
     """
     text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`")
-    sized = cut(docs.select(F.col(f"`{id_col}`").alias("_id"), source.alias("_source"), n_words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.length(text)).alias("_order")))
+    row = [F.col(row_col), F.xxhash64(text).alias("_tie")] if row_col else []
+    sized = cut(docs.select(*row, F.col(f"`{id_col}`").alias("_id"), source.alias("_source"), n_words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.length(text)).alias("_order")))
     found = sized.groupBy("_source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"{source_col} has over {MAX_SOURCES} values; a mix is made of fewer sources")
@@ -108,7 +109,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), seed: int = 1, bloc
     quota = quota.withColumn("times", F.floor(F.col("quota") / F.col("blocks"))).withColumn("more", (F.col("quota") - F.col("times") * F.col("blocks")).cast("int"))
     least = F.get(F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), hashed)), F.col("more") - 1)
     quota = cut(quota.withColumn("last", F.when(F.col("more") > 0, least)))
-    w = Window.partitionBy("_s", "_shard").orderBy("_order", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("_s", "_shard").orderBy("_order", "_id", "size", *(["_tie"] if row_col else [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("end", F.sum("size").over(w)).withColumn("start", F.col("end") - F.col("size")).join(quota, ["_s", "_shard"], "left")
     edge = lambda b: F.expr("0L") + F.floor(b * F.col("words") / F.col("blocks"))
     first = F.floor(((F.col("start") + 1) * F.col("blocks") - 1) / F.col("words"))
@@ -118,7 +119,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), seed: int = 1, bloc
     spans = F.when((F.col("size") > 0) & F.col("last").isNotNull(), F.transform(hit, span))
     out = placed.withColumn("spans", spans).withColumn("times", F.coalesce("times", F.lit(0)).cast("long"))
     more = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"]), F.lit(0).cast("long"))
-    return out.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", (F.col("times") * F.col("size") + more).alias("taken"), "times", "spans")
+    return out.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", (F.col("times") * F.col("size") + more).alias("taken"), "times", "spans", *row[:1])
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -142,11 +143,12 @@ def cut_text(text: bytes, times: int, spans: list[tuple[int, int]]) -> bytes:
 def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), seed: int = 1, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the documents of which it takes words, each with what it takes of the text, repeats included.
 
-    Ids must be unique here, as texts are joined to what the mix takes of them by id. Other columns stay.
+    Texts are joined to what the mix takes of them by a key of the row, so ids may be null or repeated. Other columns stay.
     """
-    took = mix(docs, weights, seed, block_words, id_col=id_col, text_col=text_col, source_col=source_col).where("taken > 0")
-    side = took.select(F.col(id_col).alias("__mix_id"), F.col("times").alias("__mix_times"), F.col("spans").alias("__mix_spans"))
-    joined = docs.join(side, F.col(f"`{id_col}`").eqNullSafe(F.col("__mix_id"))).drop("__mix_id")
+    rows = with_row_key(docs)
+    took = mix(rows, weights, seed, block_words, id_col=id_col, text_col=text_col, source_col=source_col, row_col=ROW_KEY).where("taken > 0")
+    side = took.select(ROW_KEY, F.col("times").alias("__mix_times"), F.col("spans").alias("__mix_spans"))
+    joined = rows.join(side, ROW_KEY).drop(ROW_KEY)
     names, at = docs.columns, docs.columns.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

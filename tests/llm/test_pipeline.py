@@ -55,3 +55,16 @@ def test_odd_rows_and_clashing_columns(spark, tmp_path):
 def test_run_gives_the_same_again(spark):
     rows = [sorted(map(tuple, p.run(spark, SF).collect())) for _ in range(2)]
     assert rows[0] == rows[1] and rows[0]
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    texts = ["long " * 900 + "end", "short text of a few words", "again " * 300, "again " * 300]
+    rows = [(i, f"{k} {t}", "en", "a", 0) for i in (None, 7) for k, t in enumerate(texts)] + [(None, item, "en", "b", 0), (7, item, "en", "b", 0)]
+    docs = spark.createDataFrame(rows, base.schema)
+    clean = p.keep_uncontaminated(spark, docs, SF)
+    assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted((r[0] or 0, r[1]) for r in rows[:8])
+    taken = sum(r.taken for r in mixing.mix(clean, block_words=p.BLOCK_WORDS).collect())
+    got = [r.text for r in p.mix_sources(spark, clean, SF).collect()]
+    assert sum(len(t.split()) for t in got) == taken and len(got) <= 8
