@@ -281,6 +281,9 @@ def near_dedup(docs: DataFrame, width: int = 5, tau: int = 3, id_col: str = "doc
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Meetings for each row of a bucket up to which near copies are settled by all pairs at once.
+FEW_PAIRS = 20
+
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -306,21 +309,21 @@ def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _near(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The v of the pairs (u, v) whose sets have a Jaccard similarity of ``least`` or more, each once."""
+    """Those of the pairs (u, v) whose sets have a Jaccard similarity of ``least`` or more."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in of(batches):
             near = []
-            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(common / max(1, len(x) + len(y) - common) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_()))], ["v"])
+            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     counts = cut(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")))
     heads = table(_by_id(sets.select(F.col("node").alias("u"), F.col("_set").alias("_first")), counts, "inner"), "heads")
     own = pairs.join(sets.select(F.col("node").alias("v"), "_set"), "v")
-    return skew_join(own, heads, ["u"], "n").select("v", "_set", "_first").mapInArrow(each, "v long").distinct()
+    return skew_join(own, heads, ["u"], "n").select("u", "v", "_set", "_first").mapInArrow(each, "u long, v long")
 
 
 def _lowest(tau: int):
@@ -376,6 +379,41 @@ def _pairs(tau: int):
     return _by_bucket(links)
 
 
+def _every_pair(tau: int, count: bool):
+    """(u, v), u < v, for all nodes within ``tau`` bits in a bucket, or only (n), the numbers of them."""
+
+    def links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s, n in zip(*runs(key), strict=True):
+            held = probe[s : s + n]
+            if n == 1 or held.all():
+                continue
+            order = np.argsort(fp[s : s + n], kind="stable")
+            fps, mine = fp[s : s + n][order], node[s : s + n][order]
+            for a, b in close_pairs(np.unique(fp[s : s + n][~held]), np.unique(fps), tau):
+                (at, to), (at_b, to_b) = ((np.searchsorted(fps, x), np.searchsorted(fps, x, side="right")) for x in (a, b))
+                many, wide = (to - at) * (to_b - at_b), to_b - at_b
+                if count:
+                    yield pa.RecordBatch.from_arrays([pa.array([int(many.sum())])], ["n"])
+                elif many.sum():
+                    k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    i, j = np.repeat(at, many) + k // np.repeat(wide, many), np.repeat(at_b, many) + k % np.repeat(wide, many)
+                    u, v = np.minimum(mine[i], mine[j]), np.maximum(mine[i], mine[j])
+                    yield pa.RecordBatch.from_arrays([pa.array(u[u < v]), pa.array(v[u < v])], ["u", "v"])
+
+    return _by_bucket(links)
+
+
+def _later(pairs: DataFrame) -> DataFrame:
+    """(v): of near pairs (u, v), u < v, the nodes that go when all are gone through in order."""
+    out = pairs.sparkSession.createDataFrame([], "v long")
+    while pairs.take(1):
+        held = cut(pairs.select(F.col("v").alias("u")).distinct())
+        going = cut(_by_id(pairs, held, "left_anti").select("v").distinct())
+        out = cut(out.unionByName(going))
+        pairs = cut(_by_id(_by_id(_by_id(pairs, held, "left_semi"), going, "left_anti"), going.withColumnRenamed("v", "u"), "left_anti"))
+    return out
+
+
 def drop_near_copies(docs: DataFrame, width: int = 5, tau: int = 14, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the near copies of a document that stays.
 
@@ -393,7 +431,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, tau: int = 14, least: floa
     found = marked.join(order, "_row").groupBy("_class").agg(F.min("o").alias("o"), F.min("fp").alias("fp"))
     firsts = table(found.orderBy("o").select(F.monotonically_increasing_id().alias("node"), F.col("o.row").alias("_row"), "fp"), "firsts")  # nodes in the order of ids
     gone = marked.select("_row").join(firsts.select("_row"), "_row", "left_anti")
-    rows_left, sets = buckets(firsts.select("fp", "node"), tau, LARGE_BUCKET), None
+    rows_left, sets, out = buckets(firsts.select("fp", "node"), tau, LARGE_BUCKET), None, docs.sparkSession.createDataFrame([], "v long")
     while True:
         # A node without one before it stays, and is compared with all that are near it by their fingerprints; those leave or wait for the next round.
         low = cut(rows_left.repartition("key").sortWithinPartitions("key").mapInArrow(_lowest(tau), "node long, low long").groupBy("node").agg(F.min("low").alias("low")))
@@ -404,10 +442,18 @@ def drop_near_copies(docs: DataFrame, width: int = 5, tau: int = 14, least: floa
             sets = table(shingle_sets(_by_id(texts, of_nodes.select("_row"), "inner"), width).select("_row", "_set").join(of_nodes, "_row").select("node", "_set"), "sets")
         marked_rows = _by_id(rows_left, low.select("node", (F.col("low") == F.col("node")).alias("ready")), "inner").select("key", "fp", "probe", "node", "ready")
         pairs = cut(marked_rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(tau), "u long, v long").distinct())
-        near = cut(_near(pairs, sets, least))
-        gone = gone.unionByName(_by_id(firsts.select("node", "_row"), near.withColumnRenamed("v", "node"), "inner").select("_row"))
+        near = cut(_near(pairs, sets, least).select("v").distinct())
+        out = cut(out.unionByName(near))
         waiting = low.where("low < node").select("node").join(near.withColumnRenamed("v", "node"), "node", "left_anti")
-        rows_left = cut(_by_id(rows_left, waiting, "inner").select("key", "fp", "probe", "node"))
+        rows_left = cut(_by_id(rows_left, waiting, "inner").select("key", "fp", "probe", "node").repartition("key").sortWithinPartitions("key"))
+        # Groups of near copies have left now. If what waits has few pairs, all are compared at once; dense groups go on by rounds.
+        met = rows_left.mapInArrow(_every_pair(tau, count=True), "n long").agg(F.sum("n")).first()[0] or 0
+        if met <= FEW_PAIRS * rows_left.count():
+            pairs = cut(rows_left.mapInArrow(_every_pair(tau, count=False), "u long, v long").distinct())
+            if pairs.take(1):
+                out = cut(out.unionByName(_later(cut(_near(pairs, sets, least)))))
+            break
+    gone = gone.unionByName(_by_id(firsts.select("node", "_row"), out.withColumnRenamed("v", "node"), "inner").select("_row"))
     return _by_id(rows, gone.withColumnRenamed("_row", ROW_KEY), "left_anti").drop(ROW_KEY)
 
 
