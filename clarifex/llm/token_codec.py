@@ -1,15 +1,23 @@
 """An adaptive context-mixing range coder for token ids, in numpy.
 
-A payload holds blocks of at most ``BLOCK`` ids. Each block is coded on its own: its model starts
-empty and its ids have a checksum. An id's probability mixes three predictions: the id that last
-followed the two ids before (order 2), the id that last followed the id before (order 1), and the
-counts of ids so far (order 0). The weights of the mix depend on how sure orders 2 and 1 have been in
-this context and adapt to how often they were right. Blocks are coded side by side, one position of
-all blocks at a time; the model is brought up to date between stretches of positions.
-
-Layout, little-endian: magic, version, then u32 counts (blocks, alphabet), u64 ids; the alphabet
-(u32 each); per block u32 ids, u32 words, u32 crc32 of the ids as u32; the blocks' 32-bit words;
-crc32 of all before.
+A payload holds sections, and a section independently coded blocks of at most ``BLOCK`` ids, each with
+a checksum. Every block starts from the same state, which the section's head holds: how often each id
+occurs (order 0), and after each id the followers that occur at least ``LEAST`` times (order 1).
+From there a block's model adapts id by id:
+
+* order 0 and order 1 are mixed by the share of ids that are no listed follower of the id before; the
+  share is halved or doubled as the last ``WINDOW`` ids of the block had fewer or more such ids;
+* order 2 predicts the id that last followed the two before in this block; the mass that it adds to the
+  mixed distribution is what brings the id's probability to the rate at which such predictions, as sure
+  as this one, were right in this block.
+
+The three predictions are added up into one distribution, and one step of the range coder codes an id.
+All sums are exact in whole numbers; the few floats are single IEEE operations, alike on all machines.
+Blocks are coded side by side, one position of all blocks at a time.
+
+Layout, little-endian: magic; u32 sections; each section: u32 bytes of its packed head, blocks, bytes
+of words, then these three; crc32 of all before. A head is a zlib stream of the tables that ``_Tables``
+lists; blocks are (u32 ids, u32 words, u32 crc32 of the ids as u32).
 """
 
 from __future__ import annotations
@@ -19,11 +27,17 @@ import zlib
 
 import numpy as np
 
-MAGIC, HEAD = b"CLXT\x01\0\0\0", "<IIQ"
-#: Ids of a block; cells (blocks times alphabet) of the models held at once; positions coded between updates of the model.
-BLOCK, CELLS, STRETCHES = 4096, 1 << 22, (128, 128, 256, 512) + (1024,) * 3
-#: Bits of the totals of the mix and of the counts; of the table of order 2; greatest sureness.
-MIX, COUNTS, PAIRS, SURE = 16, 18, 12, 3
+MAGIC = b"CLXT\x02\0\0\0"
+#: Ids of a block and of a section; different ids of a section at most.
+BLOCK, SECTION, MOST_IDS = 2048, 1 << 21, 1 << 20
+#: Occurrences that make a follower listed; ids that the order 0/1 mix looks back on; slots of order 2 in a block.
+LEAST, WINDOW, SLOTS = 3, 32, 1024
+#: Bits of list shares; bits by which the mix is finer than order 0 and 1; range of the order 0 share in 1/256.
+SHARE, FINER, LOWEST, HIGHEST = 16, 4, 8, 248
+#: Right and all predictions that an order-2 prediction of each sureness starts from (the first stands for no prediction).
+RIGHT, ALL = (0.0, 0.4, 1.0, 2.0, 3.0), (1.0, 1.5, 2.0, 3.0, 4.0)
+#: Places that an encoder looks at in one go.
+STEP = 1 << 16
 _LOW = np.uint64(2**31)
 
 
@@ -31,145 +45,255 @@ class CorruptBlock(ValueError):
     """A checksum does not fit."""
 
 
-class _Models:
-    """The models of some blocks side by side, each with ``v`` different ids."""
-
-    def __init__(self, blocks: int, v: int):
-        self.n, self.v, self.rows = blocks, v, np.arange(blocks)
-        self.seen = np.zeros((blocks, v), np.int32)
-        self.one, self.sure_one = np.full((blocks, v + 1), -1, np.int32), np.zeros((blocks, v + 1), np.int8)
-        self.two, self.sure_two = np.full((blocks, 1 << PAIRS), -1, np.int32), np.zeros((blocks, 1 << PAIRS), np.int8)
-        self.kinds = np.zeros((blocks, 2 * (SURE + 1) ** 2, 3), np.int64)
-        self.total = 0
-        self.refresh()
-
-    def refresh(self) -> None:
-        """The frequencies of counts and mix, from what has been seen."""
-        times = ((1 << COUNTS) - self.v) // max(1, self.total) if self.total else 0
-        freq = self.seen * np.int32(times) + np.int32(1 if self.total else (1 << COUNTS) // self.v)
-        self.ends = np.cumsum(freq, axis=1, dtype=np.int32)
-        self.ends[:, -1] = 1 << COUNTS  # what is left goes to the last id
-        n = self.kinds.sum(axis=2)
-        parts = ((5 * self.kinds[:, :, :2] + 2) << MIX) // (5 * n + 6)[:, :, None]
-        self.two_ends, self.one_ends = parts[:, :, 0], parts[:, :, 0] + parts[:, :, 1]
-
-    def pair(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
-        mixed = (before.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (last.astype(np.uint32) * np.uint32(0x85EBCA6B))
-        return ((mixed * np.uint32(0xC2B2AE35)) >> np.uint32(32 - PAIRS)).astype(np.int64)
-
-    def learn(self, before: np.ndarray, last: np.ndarray, ids: np.ndarray, kind: np.ndarray, which: np.ndarray, valid: np.ndarray) -> None:
-        """Take in a stretch: arrays of (block, position); only valid places count."""
-        if valid.all():
-            row = np.repeat(self.rows, ids.shape[1])
-            x, a, b, kind, which = (np.ascontiguousarray(y).reshape(-1) for y in (ids, before, last, kind, which))
-        else:
-            row, col = np.nonzero(valid)
-            x, a, b, kind, which = (y[row, col] for y in (ids, before, last, kind, which))
-        self.seen += np.bincount(row * self.v + x, minlength=self.n * self.v).reshape(self.n, self.v).astype(np.int32)
-        size = self.kinds.shape[1]
-        self.kinds += np.bincount((row * size + kind) * 3 + which, minlength=self.n * size * 3).reshape(self.kinds.shape)
-        for table, sure, key in ((self.one, self.sure_one, b), (self.two, self.sure_two, self.pair(a, b))):
-            same = table[row, key] == x
-            sure[row, key] = np.where(same, np.minimum(sure[row, key] + 1, SURE), 1)
-            table[row, key] = x  # of places with equal keys the last one holds
-        self.total += ids.shape[1]
-        self.refresh()
-
-    def predict(self, rows, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids that orders 2 and 1 expect, and the kind of their sureness."""
-        key = self.pair(before, last)
-        two, one = self.two[rows, key], self.one[rows, last]
-        kind = (self.sure_two[rows, key].astype(np.int64) * (SURE + 1) + self.sure_one[rows, last]) * 2 + (two == one)
-        return two, one, kind
+def _small(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte each: exact below 8, then three bits behind the first."""
+    n = np.maximum(counts, 1).astype(np.int64)
+    high = np.frexp(n.astype(np.float64))[1].astype(np.int64) - 1
+    shift = np.maximum(high - 3, 0)
+    return np.where(n < 8, n, 8 * (high - 2) + ((n << np.maximum(3 - high, 0)) >> shift) - 8).astype(np.uint8)
+
+
+def _count(codes: np.ndarray) -> np.ndarray:
+    """The counts that ``_small`` stands for."""
+    c = codes.astype(np.int64)
+    return np.where(c < 8, c, (8 + (c & 7)) << np.maximum((c >> 3) - 1, 0))
+
+
+class _Tables:
+    """Orders 0 and 1 as a section's head has them: ids, their counts, the order 0 share after each, the listed followers and their counts."""
+
+    def __init__(self, alphabet: np.ndarray, seen: np.ndarray, share: np.ndarray, sizes: np.ndarray, symbols: np.ndarray, times: np.ndarray, missed: int):
+        self.packed = (alphabet, seen, share, sizes, symbols, times, missed)
+        v = self.v = len(alphabet)
+        self.alphabet, self.missed = alphabet, missed
+        self.bits = max(16, int(v).bit_length() + 6)
+        total, counts = 1 << self.bits, _count(seen)
+        least = 256 // LOWEST  # so that an id keeps a place of its own in the smallest share
+        freq = least + counts * (total - least * v) // max(1, int(counts.sum()))
+        freq[np.argmax(freq)] += total - freq.sum()
+        self.ends = np.concatenate(([0], np.cumsum(freq)))
+        # After each id, and at a block's start (id v), a list: a stop in front, then its followers in order.
+        full = np.append(sizes, 0) + 1
+        self.first = np.cumsum(full) - full
+        stops = np.zeros(int(full.sum()), bool)
+        stops[self.first] = True
+        self.owner = np.repeat(np.arange(v + 1), full)
+        self.symbol = np.full(len(stops), -1, np.int64)
+        self.symbol[~stops] = symbols
+        weight = np.zeros(len(stops), np.int64)
+        weight[~stops] = _count(times)
+        upto = np.cumsum(weight)
+        base = upto[self.first]
+        whole = np.append(upto[self.first[1:] - 1], upto[-1]) - base
+        after = (upto - base[self.owner]) << SHARE
+        self.after = after // np.maximum(whole[self.owner], 1)
+        self.before = np.concatenate(([0], self.after[:-1])) * ~stops
+        own = np.append(share, 0).astype(np.int64)
+        listed = whole > 0
+        self.share = np.stack([np.where(listed, np.clip(x, LOWEST, HIGHEST), 256) for x in (own >> 1, own, own << 1)]).reshape(-1)
+        self.rest = (256 - self.share) << (self.bits - 8)
+        self.low = round(0.6 * WINDOW * missed / 65536)
+        self.high = max(self.low + 1, round(1.5 * WINDOW * missed / 65536))
+
+    def level(self, recent: np.ndarray) -> np.ndarray:
+        """Which of the three shares of order 0 holds, by the misses of the last WINDOW ids."""
+        return (recent > self.low).astype(np.int64) + (recent >= self.high)
+
+    def pack(self) -> bytes:
+        alphabet, seen, share, sizes, symbols, times, missed = self.packed
+        steps = np.diff(symbols, prepend=0)
+        parts = [np.diff(alphabet, prepend=0).astype("<u4"), seen, share, sizes.astype("<u4"), steps.astype("<i4"), times]
+        # Bytes of one rank stand together, which packs better.
+        raw = b"".join(np.ascontiguousarray(p.view(np.uint8).reshape(-1, p.itemsize).T).tobytes() for p in parts)
+        return struct.pack("<IIH", len(alphabet), len(symbols), missed) + zlib.compress(raw, 6)
+
+    @classmethod
+    def unpack(cls, head: bytes) -> _Tables:
+        v, n, missed = struct.unpack_from("<IIH", head)
+        raw, at, out = zlib.decompress(head[10:]), 0, []
+        for many, kind in ((v, "<u4"), (v, "u1"), (v, "u1"), (v, "<u4"), (n, "<i4"), (n, "u1")):
+            size = np.dtype(kind).itemsize
+            part = np.frombuffer(raw, np.uint8, many * size, at).reshape(size, many).T
+            out.append(np.ascontiguousarray(part).view(kind).reshape(-1))
+            at += many * size
+        alphabet, seen, share, sizes, steps, times = out
+        return cls(np.cumsum(alphabet.astype(np.int64)), seen, share, sizes.astype(np.int64), np.cumsum(steps.astype(np.int64)), times, missed)
+
+
+class _Second:
+    """How often order 2 was right in each block, by the sureness of its predictions."""
+
+    def __init__(self, blocks: int, bits: int):
+        self.right, self.all = (np.tile(np.array(x), blocks) for x in (RIGHT, ALL))
+        self.row = np.arange(blocks) * len(ALL)
+        self.scale = float(1 << bits)
+        self.top = float(1 << (bits + FINER))
+        self.most = float((1 << (bits + FINER)) - (1 << bits))
+
+    def mass(self, kind: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mass to add for predictions of these kinds (0: none), whose ids have ``width`` of 2**bits without it; the places of the counts."""
+        at = self.row + kind
+        rate, own = self.right[at] / self.all[at], width / self.scale
+        return np.minimum(np.maximum((rate - own) / np.maximum(1.0 - own, 1e-9), 0.0) * self.top, self.most).astype(np.int64), at
+
+    def learn(self, at: np.ndarray, right: np.ndarray) -> None:
+        self.right[at] += right
+        self.all[at] += at != self.row  # what is counted where there was no prediction does not matter
+
+
+def _slot(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    mixed = (before.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (last.astype(np.uint32) * np.uint32(0x85EBCA6B))
+    return ((mixed * np.uint32(0xC2B2AE35)) >> np.uint32(32 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
 def encode(ids: np.ndarray) -> bytes:
     """The payload of some ids (each below 2**32)."""
     ids = np.asarray(ids, np.uint32)
-    if len(ids) and ids.max() < 1 << 20:
-        alphabet = np.flatnonzero(np.bincount(ids))
-        place = np.zeros(1 << 20, np.int32)
-        place[alphabet] = np.arange(len(alphabet))
-        dense = place[ids]
-    else:
-        alphabet, dense = np.unique(ids, return_inverse=True)
-    blocks = -(-len(ids) // BLOCK)
-    lengths = np.minimum(BLOCK, len(ids) - BLOCK * np.arange(blocks)).astype(np.int64)
-    crcs = [zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].tobytes()) for k in range(blocks)]
-    words, dense = [], dense.reshape(-1)
-    for at in range(0, blocks, side := _side(len(alphabet))):
-        words += _encode(dense[at * BLOCK : (at + side) * BLOCK], lengths[at : at + side], len(alphabet))
-    out = MAGIC + struct.pack(HEAD, blocks, len(alphabet), len(ids)) + alphabet.astype("<u4").tobytes()
-    out += np.array([lengths, [len(w) for w in words], crcs], np.uint32).T.tobytes() + b"".join(w.astype("<u4").tobytes() for w in words)
+    sections, at = [], 0
+    while at < len(ids):
+        upto = min(len(ids), at + SECTION)
+        if upto - at > MOST_IDS and len(np.unique(ids[at:upto])) > MOST_IDS:
+            upto = at + MOST_IDS
+        sections.append(_encode(ids[at:upto]))
+        at = upto
+    out = MAGIC + struct.pack("<I", len(sections)) + b"".join(sections)
     return out + struct.pack("<I", zlib.crc32(out))
 
 
 def decode(payload: bytes) -> np.ndarray:
     """The ids of a payload; CorruptBlock if any checksum does not fit."""
-    if len(payload) < 28 or payload[:8] != MAGIC or struct.unpack("<I", payload[-4:])[0] != zlib.crc32(payload[:-4]):
+    if len(payload) < 16 or payload[:8] != MAGIC or struct.unpack("<I", payload[-4:])[0] != zlib.crc32(payload[:-4]):
         raise CorruptBlock("the payload is damaged")
-    blocks, v, n = struct.unpack_from(HEAD, payload, 8)
-    alphabet = np.frombuffer(payload, "<u4", v, 24)
-    table = np.frombuffer(payload, "<u4", 3 * blocks, 24 + 4 * v).reshape(-1, 3).astype(np.int64)
-    words = np.frombuffer(payload[24 + 4 * v + 12 * blocks : -4], "<u4")
-    side, first = _side(v), np.concatenate(([0], np.cumsum(table[:, 1])))
-    parts = [_decode(words[first[at] : first[min(at + side, blocks)]], table[at : at + side, 0], table[at : at + side, 1], v) for at in range(0, blocks, side)]
-    ids = alphabet[np.concatenate(parts)] if parts else np.zeros(0, np.uint32)
-    for k, (length, _, crc) in enumerate(table.tolist()):
-        if zlib.crc32(ids[k * BLOCK : k * BLOCK + length].tobytes()) != crc:
-            raise CorruptBlock(f"block {k} is damaged")
-    return ids
-
-
-def _side(v: int) -> int:
-    """The blocks coded side by side, so that their models stay within CELLS."""
-    return max(1, CELLS // (v + 1))
-
-
-def _stretches(longest: int):
-    at = 0
-    for n in STRETCHES:
-        if at >= longest:
-            return
-        yield at, min(n, longest - at)
-        at += n
-
-
-def _encode(dense: np.ndarray, lengths: np.ndarray, v: int) -> list[np.ndarray]:
-    n = len(lengths)
-    ids = np.zeros((n, BLOCK), np.int32)
-    ids.reshape(-1)[: len(dense)] = dense
-    model = _Models(n, v)
+    at, parts = 12, []
+    for _ in range(struct.unpack_from("<I", payload, 8)[0]):
+        head, blocks, size = struct.unpack_from("<III", payload, at)
+        at += 12
+        table = np.frombuffer(payload, "<u4", 3 * blocks, at + head).reshape(-1, 3).astype(np.int64)
+        words = np.frombuffer(payload, "<u4", size // 4, at + head + 12 * blocks)
+        tables = _Tables.unpack(payload[at : at + head])
+        ids = _decode(tables, words, table[:, 0], table[:, 1])
+        for k, (length, _, crc) in enumerate(table.tolist()):
+            if zlib.crc32(ids[k * BLOCK : k * BLOCK + length]) != crc:
+                raise CorruptBlock(f"block {k} is damaged")
+        parts.append(ids)
+        at += head + 12 * blocks + size
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ids, how often each occurs, and the ids as places among them."""
+    if ids.max() < MOST_IDS:
+        times = np.bincount(ids)
+        alphabet = np.flatnonzero(times)
+        place = np.zeros(len(times), np.int32)
+        place[alphabet] = np.arange(len(alphabet))
+        return alphabet, times[alphabet], place[ids]
+    alphabet, dense, times = np.unique(ids, return_inverse=True, return_counts=True)
+    return alphabet.astype(np.int64), times, dense.reshape(-1).astype(np.int32)
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the keys (below 2**41) in the keys' order, equal ones as they stand, and the keys in that order. Sorting the two packed is much faster than argsort."""
+    packed = np.sort((keys << 22) | np.arange(len(keys)))
+    return packed & ((1 << 22) - 1), packed >> 22
+
+
+def _encode(ids: np.ndarray) -> bytes:
+    n = len(ids)
+    alphabet, seen, dense = _alphabet(ids)
+    v = len(alphabet)
+    last = np.concatenate(([v], dense[:-1])).astype(np.int32)
+    last[::BLOCK] = v
+    before = np.concatenate(([v], last[:-1])).astype(np.int32)
+    before[::BLOCK] = v
+    # The different pairs of an id and the one before it, and which of them each place has.
+    order, ordered = _grouped(last.astype(np.int64) * v + dense)
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    which = np.empty(n, np.int32)
+    which[order] = (np.cumsum(new) - 1).astype(np.int32)
+    starts = np.flatnonzero(new)
+    times, owner, symbol = np.diff(np.append(starts, n)), ordered[starts] // v, ordered[starts] % v
+    del order, ordered, new
+    listed = (times >= LEAST) & (owner < v)
+    held = np.bincount(owner[listed], times[listed], minlength=v + 1)
+    met = np.bincount(owner, times, minlength=v + 1)
+    share = np.clip(np.rint(256 * (met - held + 1) / (met + 2)), 1, 255).astype(np.uint8)[:v]
+    miss = ~listed[which]
+    tables = _Tables(alphabet, _small(seen), share, np.bincount(owner[listed], minlength=v)[:v], symbol[listed], _small(times[listed]), min(65535, int(miss.mean() * 65536)))
+    # Each pair's place in the lists: the last entry at or before it.
+    entry = tables.first[owner] + np.cumsum(listed) - np.concatenate(([0], np.cumsum(np.bincount(owner[listed], minlength=v + 1))))[owner]
+    low, high = np.where(listed, tables.before[entry], tables.after[entry]), tables.after[entry]
+
+    blocks = -(-n // BLOCK)
+    lengths = np.minimum(BLOCK, n - BLOCK * np.arange(blocks)).astype(np.int64)
+    # Order 2: the pair that stood at the slot's last use in the block, if it began with the same id.
+    order, slot = _grouped(np.repeat(np.arange(blocks) * SLOTS, lengths) + _slot(before, last))
+    same = np.concatenate(([False], slot[1:] == slot[:-1]))
+    met = which[order]
+    found = np.concatenate((met[:1], met[:-1]))
+    right = same & (found == met)
+    sure = same.astype(np.int8)
+    streak = same
+    for _ in range(3):  # one more for each of the last predictions at the slot that was right
+        streak = same & np.concatenate(([False], (streak & right)[:-1]))
+        sure += streak
+    kind, guess = np.zeros(n, np.int8), np.zeros(n, np.int32)
+    kind[order], guess[order] = sure * (same & (owner[found] == owner[met])), found
+    del order, slot, same, met, found, right, sure, streak
+
+    gone = np.concatenate(([0], np.cumsum(miss)))
+    start, end, width, side = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n, np.int8)
+    ends = tables.ends
+    for a in range(0, n, STEP):  # in steps that stay in the cache
+        now = slice(a, min(n, a + STEP))
+        at = np.arange(a, now.stop)
+        own = tables.level(gone[at] - gone[np.maximum(at - WINDOW, at // BLOCK * BLOCK)]) * (v + 1) + last[now]
+        scale, rest = tables.share[own], tables.rest[own]
+        place = lambda d, part: ((scale * ends[d]) >> 8) + ((part * rest) >> SHARE)  # noqa: E731, B023
+        d, u, g = dense[now], which[now], guess[now]
+        start[now], end[now] = place(d, low[u]), place(d + 1, high[u])
+        other = symbol[g]
+        width[now] = place(other + 1, high[g]) - place(other, low[g])
+        side[now] = np.where(kind[now] == 0, 0, np.where(g == u, 1, 2 * (other < d)))  # the added mass stands behind, in or before the id's place
+    del gone, guess, which, miss
+
+    def columns(x: np.ndarray, fill) -> np.ndarray:
+        padded = np.full(blocks * BLOCK, fill, x.dtype)
+        padded[:n] = x
+        return np.ascontiguousarray(padded.reshape(blocks, BLOCK)[:, : int(lengths.max())].T)
+
+    rows = [columns(x, fill) for x, fill in ((start, 0), (end, 1 << tables.bits), (kind, 0), (width, 0), (side, 0))]
+    out = _code(*rows, lengths, tables.bits)
+    crcs = [zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK]) for k in range(blocks)]
+    head, words = tables.pack(), b"".join(w.astype("<u4").tobytes() for w in out)
+    return struct.pack("<III", len(head), blocks, len(words)) + head + np.array([lengths, [len(w) for w in out], crcs], np.uint32).T.tobytes() + words
+
+
+def _code(start: np.ndarray, end: np.ndarray, kind: np.ndarray, width: np.ndarray, side: np.ndarray, lengths: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The range coder's words of each block; the arrays have a row for each position."""
+    n, second, fine = len(lengths), _Second(len(lengths), bits), np.uint64(bits + FINER)
     low, span = np.zeros(n, np.uint64), np.full(n, 2**63 - 1, np.uint64)
-    out, filled, rows = np.zeros((n, BLOCK * 5 // 4 + 16), np.uint64), np.zeros(n, np.int64), np.arange(n)
-    longest = int(lengths.max())
-    padded = np.concatenate((np.full((n, 2), v, np.int32), ids), axis=1)
-    for at, size in _stretches(longest):
-        now, last, before = ids[:, at : at + size], padded[:, at + 1 : at + 1 + size], padded[:, at : at + size]
-        valid = np.arange(at, at + size) < lengths[:, None]
-        two, one, kind = model.predict(rows[:, None], before, last)
-        which = np.where(now == two, 0, np.where(now == one, 1, 2))
-        p2, p1 = model.two_ends[rows[:, None], kind], model.one_ends[rows[:, None], kind]
-        first = np.where(which == 0, 0, np.where(which == 1, p2, p1))
-        width = np.where(which == 2, 1 << MIX, np.where(which == 0, p2, p1)) - first
-        end = model.ends[rows[:, None], now]
-        start = np.where(now > 0, model.ends[rows[:, None], np.maximum(now - 1, 0)], 0)
-        plain = which == 2
-        steps = [(first, width, MIX), (np.where(plain, start, 0), np.where(plain, end - start, 1 << COUNTS), COUNTS)]
-        steps = [(np.ascontiguousarray(np.where(valid, a, 0).T.astype(np.uint64)), np.ascontiguousarray(np.where(valid, b, 1 << bits).T.astype(np.uint64)), np.uint64(bits)) for a, b, bits in steps]
-        for k in range(size):
-            for a, b, bits in steps:
-                unit = span >> bits
-                low += unit * a[k]
-                span = unit * b[k]
-                small = np.flatnonzero(span < _LOW)
-                if len(small):
-                    x = low[small]
-                    out[small, filled[small]] = x >> np.uint64(31)
-                    filled[small] += 1
-                    low[small] = (x & (_LOW - np.uint64(1))) << np.uint64(32)
-                    span[small] <<= np.uint64(32)
-        model.learn(before, last, now, kind, which, valid)
+    out, filled, rows = np.zeros((n, len(start) * 5 // 4 + 16), np.uint64), np.zeros(n, np.int64), np.arange(n)
+    for k in range(len(start)):
+        mass, at = second.mass(kind[k], width[k])
+        left = (1 << (bits + FINER)) - mass
+        a = ((left * start[k]) >> bits) + mass * (side[k] > 1)
+        b = ((left * end[k]) >> bits) + mass * (side[k] > 0)
+        second.learn(at, side[k] == 1)
+        unit = span >> fine
+        whole = k >= lengths  # blocks that are over stay as they are
+        if whole.any():
+            a[whole], b[whole] = 0, 1
+            unit[whole] = span[whole]
+        low += unit * a.view(np.uint64)
+        span = unit * (b - a).view(np.uint64)
+        small = np.flatnonzero(span < _LOW)
+        if len(small):
+            x = low[small]
+            out[small, filled[small]] = x >> np.uint64(31)
+            filled[small] += 1
+            low[small] = (x & (_LOW - np.uint64(1))) << np.uint64(32)
+            span[small] <<= np.uint64(32)
     for _ in range(2):
         out[rows, filled] = low >> np.uint64(31)
         filled += 1
@@ -180,55 +304,79 @@ def _encode(dense: np.ndarray, lengths: np.ndarray, v: int) -> list[np.ndarray]:
     return [out[k, : filled[k]] for k in range(n)]
 
 
-def _decode(words: np.ndarray, lengths: np.ndarray, counts: np.ndarray, v: int) -> np.ndarray:
-    n = len(lengths)
-    model, rows = _Models(n, v), np.arange(n)
+def _decode(tables: _Tables, words: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    n, v, bits = len(lengths), tables.v, tables.bits
+    second, rows, fine = _Second(n, bits), np.arange(n), np.uint64(bits + FINER)
     stream = np.append(words.astype(np.uint64), np.zeros(4, np.uint64))
     place = np.cumsum(counts) - counts
     code = (stream[place] << np.uint64(31)) | (stream[np.minimum(place + 1, len(words))] >> np.uint64(1))
-    # The register has 63 bits: the second word's last bit waits for the next one.
-    spare = stream[np.minimum(place + 1, len(words))] & np.uint64(1)
+    spare = stream[np.minimum(place + 1, len(words))] & np.uint64(1)  # the register has 63 bits: the last bit waits for the next word
     place += 2
     span = np.full(n, 2**63 - 1, np.uint64)
-    ids = np.full((n, BLOCK + 2), v, np.int64)
-    lifted = rows * (1 << COUNTS)
-    lift = lifted.astype(np.int32) if n < 1 << 12 else lifted  # the ends of all blocks in one rising row
-    for at, size in _stretches(int(lengths.max())):
-        flat = (model.ends.astype(lift.dtype) + lift[:, None]).reshape(-1)
-        kinds, whiches = np.zeros((size, n), np.int64), np.zeros((size, n), np.int64)
-        full = bool((lengths >= at + size).all())
-        for k in range(size):
-            before, last = ids[:, at + k], ids[:, at + k + 1]
-            live = True if full else at + k < lengths
-            two, one, kind = model.predict(rows, before, last)
-            p2, p1 = model.two_ends[rows, kind], model.one_ends[rows, kind]
-            unit = span >> np.uint64(MIX)
-            x = np.minimum(code // unit, np.uint64((1 << MIX) - 1)).astype(np.int64)
-            which = (x >= p2).astype(np.int64) + (x >= p1)
-            first = np.where(which == 0, 0, np.where(which == 1, p2, p1))
-            width = np.where(which == 2, 1 << MIX, np.where(which == 0, p2, p1)) - first
-            if not full:
-                first[~live], width[~live] = 0, 1 << MIX
-            code -= unit * first.astype(np.uint64)
-            span = unit * width.astype(np.uint64)
-            code, span, spare, place = _refill(code, span, spare, place, stream)
-            unit = span >> np.uint64(COUNTS)
-            x = np.minimum(code // unit, np.uint64((1 << COUNTS) - 1)).astype(np.int64)
-            found = np.searchsorted(flat, x.astype(lift.dtype) + lift, side="right")
-            end = flat[found] - lifted
-            local = found - rows * v
-            start = np.where(local > 0, flat[found - 1] - lifted, 0)
-            plain = (which == 2) & live
-            now = np.where(which == 2, local, np.where(which == 0, two, one))
-            code -= unit * np.where(plain, start, 0).astype(np.uint64)
-            span = unit * np.where(plain, end - start, 1 << COUNTS).astype(np.uint64)
-            code, span, spare, place = _refill(code, span, spare, place, stream)
-            ids[:, at + k + 2] = now if full else np.where(live, now, 0)
-            kinds[k], whiches[k] = kind, which
-        valid = np.arange(at, at + size) < lengths[:, None]
-        model.learn(ids[:, at : at + size], ids[:, at + 1 : at + 1 + size], ids[:, at + 2 : at + 2 + size], kinds.T, whiches.T, valid)
-    own = ids[:, 2:]
-    return np.concatenate([own[k, : lengths[k]] for k in range(n)])
+    longest, full = int(lengths.max()), int(lengths.min())
+    ids = np.full((longest + 2, n), v, np.int64)
+    misses, recent, old = np.zeros((WINDOW, n), np.int64), np.zeros(n, np.int64), rows * SLOTS
+    ends, following, shares, rest = tables.ends[:-1], tables.ends[1:], tables.share, tables.rest
+    # Entries of the lists, with one behind that is in none. All by share, list and place in one rising row.
+    many, symbol, own = len(tables.symbol), tables.symbol, tables.owner
+    owner, before, after = (np.append(x, last) for x, last in ((own, -1), (tables.before, 0), (tables.after, 0)))
+    line = []
+    for k in range(0, 3 * (v + 1), v + 1):
+        start = ((shares[k + own] * ends[np.maximum(symbol, 0)]) >> 8) + ((tables.before * rest[k + own]) >> SHARE)
+        line.append(((k + own) << (bits + 1)) + np.where(symbol < 0, 0, start))
+    line, many_times = np.concatenate(line), np.arange(3) * many
+    ids_at = np.repeat(np.arange(v), np.diff(tables.ends)) if bits <= 22 else None  # order 0's id at each place
+    # What order 2 remembers: the entry (times two, and one if it is the id itself), the id, and how sure it is.
+    memory = np.full(n * SLOTS, 2 * many << 22, np.int64)
+    whole, sure_ones = 1 << (bits + FINER), 3
+    for k in range(longest):
+        last = ids[k + 1]
+        level = tables.level(recent)
+        own = level * (v + 1) + last
+        scale, other = shares[own], rest[own]
+        # What order 2 expects.
+        slot = old + _slot(ids[k], last)
+        kept = memory[slot]
+        entry = kept >> 22
+        j = entry >> 1
+        usable = owner[j] == last
+        guess = ((kept >> 2) & (MOST_IDS - 1)) * usable
+        sure = kept & sure_ones
+        high = after[j]
+        a = ((scale * ends[guess]) >> 8) + ((np.where(entry & 1, before[j], high) * other) >> SHARE)
+        b = ((scale * following[guess]) >> 8) + ((high * other) >> SHARE)
+        mass, at = second.mass((1 + sure) * usable, (b - a) * usable)
+        left = whole - mass
+        first, end = (left * a) >> bits, ((left * b) >> bits) + mass
+        unit = span >> fine
+        spot = np.minimum((code // unit).view(np.int64), whole - 1)
+        passed = usable & (spot >= end)
+        hit = usable & (spot >= first) & ~passed
+        # What orders 0 and 1 have there.
+        plain = np.where(hit, a, (((spot - mass * passed + 1) << bits) - 1) // left)
+        e = np.searchsorted(line, (own << (bits + 1)) + plain, side="right") - 1 - many_times[level]
+        s, high = symbol[e], after[e]
+        into = (high * other) >> SHARE
+        listed = (s >= 0) & (plain < ((scale * following[s]) >> 8) + into)
+        base = ((plain - into + 1) * 256 - 1) // scale
+        now = np.where(listed, s, ids_at[np.minimum(np.maximum(base, 0), len(ids_at) - 1)] if ids_at is not None else np.searchsorted(ends, base, side="right") - 1)
+        a = ((scale * ends[now]) >> 8) + (np.where(listed, before[e], high) * other >> SHARE)
+        b = ((scale * following[now]) >> 8) + into
+        first, end = ((left * a) >> bits) + mass * passed, ((left * b) >> bits) + mass * (passed | hit)
+        if k >= full:
+            live = k < lengths
+            first, end, unit, now = np.where(live, first, 0), np.where(live, end, 1), np.where(live, unit, span), np.where(live, now, 0)
+        second.learn(at, hit)
+        code -= unit * first.view(np.uint64)
+        span = unit * (end - first).view(np.uint64)
+        code, span, spare, place = _refill(code, span, spare, place, stream)
+        memory[slot] = ((2 * e + listed) << 22) | (now << 2) | (np.minimum(sure + 1, 3) * hit)
+        recent += (new := ~listed) - misses[k % WINDOW]
+        misses[k % WINDOW] = new
+        ids[k + 2] = now
+    own = ids[2:]
+    dense = np.concatenate([own[: lengths[k], k] for k in range(n)]) if full < longest else own.T.reshape(-1)
+    return tables.alphabet[dense].astype("<u4")
 
 
 def _refill(code, span, spare, place, stream):

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,10 +37,9 @@ def test_damage_is_found():
 @given(st.lists(st.text(alphabet="ab \t\n'sé.1<|endoftext|>\0 ", max_size=30), max_size=8))
 def test_pieces_give_the_tokenizers_ids(texts):
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
     want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
-    for pattern in (None, public_tokenizers.PATTERN):
-        flat, n = o.PieceEncoder.at(PATH, pattern).encode(texts)
+    for pattern in (None, public_tokenizers.PATTERN, public_tokenizers.PATTERN + "|x"):
+        flat, n = o.PieceEncoder.at(PATH, pattern).encode([t.encode() for t in texts])
         assert flat.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
 
 
@@ -55,7 +55,7 @@ def test_files(spark, monkeypatch, remembered):
         ids = plain.encode(t or "", add_special_tokens=False).ids + [2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids))
         at += len(ids)
-    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.tokens) for r in o.round_trip(df, PATH, public_tokenizers.PATTERN).collect())
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.tokens) for r in o.round_trip(df, PATH, public_tokenizers.PATTERN, tokens=True).collect())
     assert got == want
     assert o.round_trip(df.limit(0), PATH).collect() == []
 
@@ -65,6 +65,39 @@ def test_strings_of_added_tokens(pattern):
     plain = Tokenizer.from_file(PATH)
     for texts in (["a b<|endoftext|>c d"], ["", "x y", "a b<|endoftext|>c d", "<|endoftext|>", "z  <|endoftext|> <|endoftext|>", "<|endoftext|", "x y"]):
         want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
-        flat, n = o.PieceEncoder.at(PATH, pattern).encode(texts)
+        flat, n = o.PieceEncoder.at(PATH, pattern).encode([t.encode() for t in texts])
         assert flat.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
     assert 50256 in plain.encode("a b<|endoftext|>c d", add_special_tokens=False).ids
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "b", 0), (None, "a", 0), (3, "x", 0), (3, "x", 1), (3, "y", 2), (1, None, 3)]
+    got = o.round_trip(spark.createDataFrame(rows, "doc_id long, text string, part int"), PATH, public_tokenizers.PATTERN, tokens=True).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 1, 3, 3, 3]
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    assert sorted(tuple(r.tokens) for r in got) == sorted(tuple(Tokenizer.from_file(PATH).encode(t or "", add_special_tokens=False).ids + [2]) for _, t, _ in rows)
+
+
+def test_smaller_than_order_0_and_zlib():
+    """On real text a payload, with its tables, is well below the entropy of single ids and below zlib."""
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    ids = np.concatenate([np.append(o.PieceEncoder.at(PATH, public_tokenizers.PATTERN).encode([(t or "").encode()])[0], 2) for t in texts])
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    size = 8 * len(c.encode(ids)) / len(ids)
+    assert size < 0.8 * -(share * np.log2(share)).sum()
+    assert size < 0.75 * 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
+
+
+def test_blocks_are_independent_of_each_other():
+    ids = np.random.default_rng(5).integers(0, 40, 3 * c.BLOCK + 5)
+    changed = ids.copy()
+    changed[: c.BLOCK] = np.roll(ids[: c.BLOCK], 1)  # the same counts of ids in the head
+    assert (c.decode(c.encode(changed)) == changed).all()
+
+
+def test_sections(monkeypatch):
+    monkeypatch.setattr(c, "SECTION", 3000)
+    monkeypatch.setattr(c, "MOST_IDS", 1 << 11)
+    for v in (5, 2**32):
+        ids = np.random.default_rng(v).integers(0, v, 10_000).astype(np.uint32)
+        assert (c.decode(c.encode(ids)) == ids).all()
