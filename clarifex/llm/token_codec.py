@@ -31,11 +31,11 @@ MAGIC = b"CLXT\x02\0\0\0"
 #: Ids of a block and of a section; different ids of a section at most.
 BLOCK, SECTION, MOST_IDS = 2048, 1 << 21, 1 << 20
 #: Occurrences that make a follower listed; ids that the order 0/1 mix looks back on; slots of order 2 in a block.
-LEAST, WINDOW, SLOTS = 3, 32, 1024
+LEAST, WINDOW, SLOTS = 4, 32, 512
 #: Bits of list shares; bits by which the mix is finer than order 0 and 1; range of the order 0 share in 1/256.
 SHARE, FINER, LOWEST, HIGHEST = 16, 4, 8, 248
-#: Right and all predictions that an order-2 prediction of each sureness starts from (the first stands for no prediction).
-RIGHT, ALL = (0.0, 0.4, 1.0, 2.0, 3.0), (1.0, 1.5, 2.0, 3.0, 4.0)
+#: How often predictions of order 2 are right at first, by their sureness (the first stands for no prediction), and how fast that is corrected.
+RATES, PACE = (0.0, 0.25, 0.5, 0.7, 0.8), 1 / 16
 #: Places that an encoder looks at in one go.
 STEP = 1 << 16
 _LOW = np.uint64(2**31)
@@ -121,24 +121,21 @@ class _Tables:
 
 
 class _Second:
-    """How often order 2 was right in each block, by the sureness of its predictions."""
+    """How often order 2 is right in each block, by the sureness of its predictions."""
 
     def __init__(self, blocks: int, bits: int):
-        self.right, self.all = (np.tile(np.array(x), blocks) for x in (RIGHT, ALL))
-        self.row = np.arange(blocks) * len(ALL)
-        self.scale = float(1 << bits)
-        self.top = float(1 << (bits + FINER))
+        self.rate, self.row = np.tile(np.array(RATES), blocks), np.arange(blocks) * len(RATES)
+        self.top, self.finer = float(1 << (bits + FINER)), float(1 << FINER)
         self.most = float((1 << (bits + FINER)) - (1 << bits))
 
-    def mass(self, kind: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The mass to add for predictions of these kinds (0: none), whose ids have ``width`` of 2**bits without it; the places of the counts."""
+    def mass(self, kind: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The mass to add for predictions of these kinds (0: none), whose ids have ``width`` of 2**bits without it; what ``learn`` needs."""
         at = self.row + kind
-        rate, own = self.right[at] / self.all[at], width / self.scale
-        return np.minimum(np.maximum((rate - own) / np.maximum(1.0 - own, 1e-9), 0.0) * self.top, self.most).astype(np.int64), at
+        rate = self.rate[at]
+        return np.minimum(np.maximum(rate * self.top - width * self.finer, 0.0), self.most).astype(np.int64), at, rate
 
-    def learn(self, at: np.ndarray, right: np.ndarray) -> None:
-        self.right[at] += right
-        self.all[at] += at != self.row  # what is counted where there was no prediction does not matter
+    def learn(self, at: np.ndarray, rate: np.ndarray, right: np.ndarray) -> None:
+        self.rate[at] = rate + (right - rate) * PACE  # without a prediction it stays 0
 
 
 def _slot(before: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -275,11 +272,11 @@ def _code(start: np.ndarray, end: np.ndarray, kind: np.ndarray, width: np.ndarra
     low, span = np.zeros(n, np.uint64), np.full(n, 2**63 - 1, np.uint64)
     out, filled, rows = np.zeros((n, len(start) * 5 // 4 + 16), np.uint64), np.zeros(n, np.int64), np.arange(n)
     for k in range(len(start)):
-        mass, at = second.mass(kind[k], width[k])
+        mass, at, rate = second.mass(kind[k], width[k])
         left = (1 << (bits + FINER)) - mass
         a = ((left * start[k]) >> bits) + mass * (side[k] > 1)
         b = ((left * end[k]) >> bits) + mass * (side[k] > 0)
-        second.learn(at, side[k] == 1)
+        second.learn(at, rate, side[k] == 1)
         unit = span >> fine
         whole = k >= lengths  # blocks that are over stay as they are
         if whole.any():
@@ -324,7 +321,10 @@ def _decode(tables: _Tables, words: np.ndarray, lengths: np.ndarray, counts: np.
     for k in range(0, 3 * (v + 1), v + 1):
         start = ((shares[k + own] * ends[np.maximum(symbol, 0)]) >> 8) + ((tables.before * rest[k + own]) >> SHARE)
         line.append(((k + own) << (bits + 1)) + np.where(symbol < 0, 0, start))
-    line, many_times = np.concatenate(line), np.arange(3) * many
+    longest_list = int(np.diff(np.append(tables.first, many)).max())
+    halves = [1 << h for h in range(longest_list.bit_length() - 1, -1, -1)]
+    line = np.concatenate((*line, np.full(2 * halves[0], np.iinfo(np.int64).max)))
+    stops, many_times = np.concatenate([tables.first + k * many for k in range(3)]), np.arange(3) * many
     ids_at = np.repeat(np.arange(v), np.diff(tables.ends)) if bits <= 22 else None  # order 0's id at each place
     # What order 2 remembers: the entry (times two, and one if it is the id itself), the id, and how sure it is.
     memory = np.full(n * SLOTS, 2 * many << 22, np.int64)
@@ -345,7 +345,7 @@ def _decode(tables: _Tables, words: np.ndarray, lengths: np.ndarray, counts: np.
         high = after[j]
         a = ((scale * ends[guess]) >> 8) + ((np.where(entry & 1, before[j], high) * other) >> SHARE)
         b = ((scale * following[guess]) >> 8) + ((high * other) >> SHARE)
-        mass, at = second.mass((1 + sure) * usable, (b - a) * usable)
+        mass, at, rate = second.mass((1 + sure) * usable, b - a)
         left = whole - mass
         first, end = (left * a) >> bits, ((left * b) >> bits) + mass
         unit = span >> fine
@@ -354,7 +354,10 @@ def _decode(tables: _Tables, words: np.ndarray, lengths: np.ndarray, counts: np.
         hit = usable & (spot >= first) & ~passed
         # What orders 0 and 1 have there.
         plain = np.where(hit, a, (((spot - mass * passed + 1) << bits) - 1) // left)
-        e = np.searchsorted(line, (own << (bits + 1)) + plain, side="right") - 1 - many_times[level]
+        key, e = (own << (bits + 1)) + plain, stops[own]
+        for h in halves:  # the last entry of the list at or before it; for many lists at once this is faster than searchsorted
+            e += (line[e + h] <= key) * h
+        e -= many_times[level]
         s, high = symbol[e], after[e]
         into = (high * other) >> SHARE
         listed = (s >= 0) & (plain < ((scale * following[s]) >> 8) + into)
@@ -366,7 +369,7 @@ def _decode(tables: _Tables, words: np.ndarray, lengths: np.ndarray, counts: np.
         if k >= full:
             live = k < lengths
             first, end, unit, now = np.where(live, first, 0), np.where(live, end, 1), np.where(live, unit, span), np.where(live, now, 0)
-        second.learn(at, hit)
+        second.learn(at, rate, hit)
         code -= unit * first.view(np.uint64)
         span = unit * (end - first).view(np.uint64)
         code, span, spare, place = _refill(code, span, spare, place, stream)
@@ -382,7 +385,7 @@ def _decode(tables: _Tables, words: np.ndarray, lengths: np.ndarray, counts: np.
 def _refill(code, span, spare, place, stream):
     small = np.flatnonzero(span < _LOW)
     if len(small):
-        word = stream[np.minimum(place[small], len(stream) - 1)]
+        word = stream[place[small]]
         code[small] = (code[small] << np.uint64(32)) | (spare[small] << np.uint64(31)) | (word >> np.uint64(1))
         spare[small] = word & np.uint64(1)
         place[small] += 1

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from clarifex.llm.common import fresh_dir, text_bytes
 from clarifex.llm.token_codec import SECTION, decode, encode
 
-#: Tokens at which a chunk is closed; distinct pieces that a worker remembers; bytes of text split at once.
-CHUNK_TOKENS, REMEMBERED, AT_ONCE = SECTION - (1 << 18), 400_000, 4 << 20
+#: Tokens at which a chunk is closed; distinct pieces that a worker remembers; bytes of text encoded and split at once.
+CHUNK_TOKENS, REMEMBERED, AT_ONCE, SPLIT = SECTION - (1 << 18), 1_000_000, 16 << 20, 2 << 20
 SCHEMA = "part int, chunk int, ahead long, n long, ids array<long>, counts array<long>, payload binary"
 _CACHE: dict[tuple[str, str | None], PieceEncoder] = {}
 
@@ -128,9 +128,15 @@ class PieceEncoder:
 
     def _starts(self, data: bytes, first: np.ndarray) -> np.ndarray:
         """The byte at which each piece starts."""
-        if self.kinds is not None:
-            return split(data, first, self.kinds)
         out = []
+        if self.kinds is not None:
+            at = 0
+            while at < len(first):  # some texts at a time
+                upto = max(at + 1, int(np.searchsorted(first, first[at] + SPLIT)))
+                begin, end = int(first[at]), int(first[upto]) if upto < len(first) else len(data)
+                out.append(begin + split(data[begin:end], first[at:upto] - begin, self.kinds))
+                at = upto
+            return np.concatenate(out)
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(data)], strict=True):
             text = data[a:b].decode()
             own = np.array([m.start() for m in self.pieces(text)], np.int64)
