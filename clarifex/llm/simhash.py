@@ -107,17 +107,62 @@ def plan(sample: np.ndarray, n: int, tau: int) -> list[tuple[list[int], int]]:
     return min(plans, key=lambda p: p[0])[1]
 
 
+def _mask(bits) -> np.uint64:
+    return np.uint64(sum(1 << b for b in bits))
+
+
+def _salt(part: int) -> np.uint64:
+    return np.uint64(int(part) * 0x9E3779B97F4A7C15 % 2**64)
+
+
 def _keys(fps: np.ndarray, probed: list[tuple[list[int], int]]) -> Iterator[tuple[np.ndarray, bool]]:
     """The bucket keys of each fingerprint: of its variants within t // 2 bits (stored), and of those beyond within t - t // 2 (probes).
 
-    Two values within t bits have a common variant among the stored of one and all of the other.
+    Two values within t bits have a common variant among the stored of one and all of the other. The
+    part's number stands in a key's three low bits.
     """
     for k, (own, t) in enumerate(probed):
-        value = fps & np.uint64(sum(1 << b for b in own))
-        salt = np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        value = fps & _mask(own)
         for flips in range(t - t // 2 + 1):
             for some in combinations(own, flips):
-                yield _mixed(value ^ np.uint64(sum(1 << b for b in some)), salt), flips > t // 2
+                yield _key(value ^ _mask(some), k), flips > t // 2
+
+
+def _key(value: np.ndarray, part: int) -> np.ndarray:
+    return (_mixed(value, _salt(part)) & np.uint64(2**64 - 8)) | np.uint64(part)
+
+
+def _slices(level: int, tau: int) -> list[int]:
+    """The bits of each of tau + 1 slices by which large buckets are dealt at a level."""
+    return [sum(1 << b for b in range(64) if (b * (level * 2 + 1) // (level + 1)) % (tau + 1) == k) for k in range(tau + 1)]
+
+
+def first_meeting(probed: list[tuple[list[int], int]], tau: int):
+    """A function of fingerprints a, b (those of a stored) in a bucket of this first key and path: whether this is the one of all buckets they share that answers for them.
+
+    It is in the first part in which they are near enough, at the variant of a with the least of the bits
+    in which they differ flipped; where buckets were dealt again, in the first slice that they share.
+    """
+    masks = [_mask(own) for own, _ in probed]
+
+    def answers(a: np.ndarray, b: np.ndarray, key: int, path: int) -> np.ndarray:
+        apart, part = a ^ b, key & 7
+        ok = np.ones(len(a), bool)
+        for j in range(part):
+            ok &= np.bitwise_count(apart & masks[j]) > probed[j][1]
+        rest = apart & masks[part]
+        flipped = np.zeros(len(a), np.uint64)
+        for _ in range(probed[part][1] // 2):
+            bit = rest & (~rest + np.uint64(1))
+            flipped, rest = flipped | bit, rest ^ bit
+        ok &= _key((a & masks[part]) ^ flipped, part).view(np.int64) == key
+        for level in range(LEVELS):
+            if k := path // 64**level % 64:
+                for j, s in enumerate(_slices(level, tau)[:k]):
+                    ok &= ((apart & np.uint64(s)) == 0) == (j == k - 1)
+        return ok
+
+    return answers
 
 
 def _mixed(value: np.ndarray, salt: np.uint64) -> np.ndarray:
@@ -195,7 +240,7 @@ def _by_bucket(links):
 
 
 def _verify(tau: int):
-    def links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, *_) -> Iterator[pa.RecordBatch]:
         left, right = [], []
         starts, lengths = runs(key)
         small = np.repeat(lengths, lengths) <= 32
@@ -222,16 +267,21 @@ def _verify(tau: int):
     return _by_bucket(links)
 
 
-def buckets(distinct: DataFrame, tau: int, large_bucket: int) -> DataFrame:
-    """(key, fp, probe, ...) for the rows of ``distinct`` (fp, ...): any two within tau bits share a key, which for one at least is no probe.
+def planned(distinct: DataFrame, tau: int) -> list[tuple[list[int], int]]:
+    """The plan of a search among the rows of ``distinct`` (fp, ...), from their number and a bounded sample."""
+    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    return plan(sample, distinct.count(), tau)
+
+
+def buckets(rows: DataFrame, probed: list[tuple[list[int], int]], tau: int, large_bucket: int) -> DataFrame:
+    """(key, fp, probe, ...) for ``rows`` (fp, ...): any two within tau bits share a key, which for one at least is no probe.
 
-    Buckets of more than ``large_bucket`` rows are dealt out again by slices of their bits.
+    Nothing is stored: keys are quickly made again. Buckets of about ``large_bucket`` rows or more, as
+    a hash sample of the rows shows, are dealt out again by slices of their bits; then all rows also
+    say what ``first_meeting`` needs: their key at first (own) and the path.
     """
-    more = [c for c in distinct.columns if c != "fp"]
-    schema = "".join(f", {c} {t}" for c, t in distinct.select(*more).dtypes)
-    n = distinct.count()
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    probed = plan(sample, n, tau)
+    more = [c for c in rows.columns if c != "fp"]
+    schema = "key long, fp long, probe boolean" + "".join(f", {c} {t}" for c, t in rows.select(*more).dtypes)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,20 +289,33 @@ def buckets(distinct: DataFrame, tau: int, large_bucket: int) -> DataFrame:
             for key, probe in _keys(fps.view(np.uint64), probed):
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fps), pa.array(np.full(len(fps), probe)), *batch.columns[1:]], ["key", "fp", "probe", *more])
 
-    rows = cut(distinct.select("fp", *more).mapInArrow(keyed, f"key long, fp long, probe boolean{schema}"))
-    for level in range(3):
-        sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("alone")))
-        large = sizes.where((F.col("n") > large_bucket) & ~F.col("alone"))
+    share = 16 if large_bucket >= 1600 else 1
+    seen = rows.select("fp", *more).where(F.pmod(F.xxhash64("fp", *more), F.lit(share)) == 0).mapInArrow(keyed, schema)
+    out = rows.select("fp", *more).mapInArrow(keyed, schema)
+    for level in range(LEVELS):
+        sizes = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("probe").alias("alone"))
+        large = cut(sizes.where((F.col("n") * share > large_bucket) & ~F.col("alone")).select("key"))  # fewer than rows / large_bucket
         if not large.take(1):
             break
-        # There are fewer large buckets than rows / large_bucket; their rows are dealt by tau + 1 slices, one of which two near fingerprints share.
-        hot = large.select("key", F.lit(True).alias("hot"))
-        marked = skew_join(rows, sizes.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), ["key"], "n")
-        slices = [sum(1 << b for b in range(64) if (b * (level * 2 + 1) // (level + 1)) % (tau + 1) == k) for k in range(tau + 1)]
-        signed = [s - 2**64 if s >= 2**63 else s for s in slices]
-        dealt = F.explode(F.array(*[F.xxhash64("key", F.lit(level * 64 + k), F.col("fp").bitwiseAND(F.lit(s))) for k, s in enumerate(signed)]))
-        rows = cut(marked.where("not hot").select("key", "fp", "probe", *more).unionByName(marked.where("hot").select(dealt.alias("key"), "fp", "probe", *more)))
-    return rows
+        if "own" not in out.columns:
+            out, seen = (x.withColumn("own", F.col("key")).withColumn("path", F.lit(0)) for x in (out, seen))
+        out, seen = (_dealt(x, large, tau, level) for x in (out, seen))
+    return out
+
+
+def _dealt(rows: DataFrame, large: DataFrame, tau: int, level: int) -> DataFrame:
+    """``rows`` with those of large buckets dealt by tau + 1 slices, one of which two near fingerprints share."""
+    marked = rows.join(F.broadcast(large.withColumn("hot", F.lit(True))), "key", "left")
+    signed = [s - 2**64 if s >= 2**63 else s for s in _slices(level, tau)]
+    dealt = F.array(*[F.struct(F.xxhash64("key", F.lit(level * 64 + k), F.col("fp").bitwiseAND(F.lit(s))).alias("key"), F.lit((k + 1) * 64**level).alias("step")) for k, s in enumerate(signed)])
+    stays = F.array(F.struct(F.col("key"), F.lit(0).alias("step")))
+    to = marked.withColumn("to", F.explode(F.when(F.col("hot"), dealt).otherwise(stays)))
+    return to.withColumn("key", F.col("to.key")).withColumn("path", F.col("path") + F.col("to.step")).select(*rows.columns)
+
+
+def by_bucket(rows: DataFrame, *then: str) -> DataFrame:
+    """The rows of buckets, each bucket in one task and together."""
+    return rows.repartition("key").sortWithinPartitions("key", *then)
 
 
 def near_links(distinct: DataFrame, tau: int, large_bucket: int) -> DataFrame:
@@ -260,8 +323,8 @@ def near_links(distinct: DataFrame, tau: int, large_bucket: int) -> DataFrame:
 
     Each linked pair is in one component of the links; a bucket gives at most one link for each of its rows.
     """
-    sorted_rows = buckets(distinct.select("fp"), tau, large_bucket).repartition("key").sortWithinPartitions("key", "probe")
-    return sorted_rows.mapInArrow(_verify(tau), "a long, b long")
+    fps = distinct.select("fp")
+    return by_bucket(buckets(fps, planned(fps, tau), tau, large_bucket), "probe").mapInArrow(_verify(tau), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, tau: int = 3, id_col: str = "doc_id", text_col: str = "text", large_bucket: int = LARGE_BUCKET) -> DataFrame:
@@ -281,8 +344,11 @@ def near_dedup(docs: DataFrame, width: int = 5, tau: int = 3, id_col: str = "doc
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Meetings for each row of a bucket up to which near copies are settled by all pairs at once.
-FEW_PAIRS = 20
+#: Pairs for each document left up to which near copies are settled by all pairs at once. Rows of a bucket beyond which its pairs are estimated from so many.
+FEW_PAIRS, MANY, SOME = 20, 2048, 256
+
+#: Times that large buckets are dealt again at most.
+LEVELS = 3
 
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -329,7 +395,7 @@ def _near(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def _lowest(tau: int):
     """(node, low) for each row of a bucket that has another within ``tau`` bits there: the least node of these and itself."""
 
-    def links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, node: np.ndarray, *_) -> Iterator[pa.RecordBatch]:
         nodes, lows = [], []
         for s, n in zip(*runs(key), strict=True):
             held = probe[s : s + n]
@@ -339,8 +405,16 @@ def _lowest(tau: int):
             own, at, times = np.unique(fp[s : s + n], return_inverse=True, return_counts=True)
             least = np.full(len(own), np.iinfo(np.int64).max)
             np.minimum.at(least, at, mine)
-            low, met = least.copy(), times > 1
-            for a, b in close_pairs(np.unique(fp[s : s + n][~held]), own, tau):
+            low, met, open_ = least.copy(), times > 1, np.ones(len(own), bool)
+            # What is near the least nodes is settled by them: a large group of near copies is not compared with itself.
+            for head in np.argsort(least)[:4] if len(own) > SOME else ():
+                near = open_ & (np.bitwise_count(own ^ own[head]) <= tau)
+                near[head] = False
+                if near.any():
+                    low[near], open_[near] = np.minimum(low[near], least[head]), False
+                    met[near] = met[head] = True
+            stored = np.unique(fp[s : s + n][~held])
+            for a, b in (close_pairs(own[open_], own, tau) if len(own) > SOME else close_pairs(stored, own, tau)):
                 i, j = np.searchsorted(own, a), np.searchsorted(own, b)
                 i, j = i[i != j], j[i != j]
                 np.minimum.at(low, i, least[j])
@@ -357,10 +431,15 @@ def _lowest(tau: int):
     return _by_bucket(links)
 
 
-def _pairs(tau: int):
-    """(u, v) for each u that is ready and v that is not, within ``tau`` bits in a bucket; no two that are ready are."""
+def _way(key: np.ndarray, way: tuple, s: int) -> tuple[int, int]:
+    """The first key and the path of the bucket that starts at row s."""
+    return (int(way[0][s]), int(way[1][s])) if way else (int(key[s]), 0)
+
+
+def _pairs(tau: int, answers):
+    """(u, v) for each u that is ready and v that is not, within ``tau`` bits in a bucket, from the one bucket that answers for them; no two that are ready are."""
 
-    def links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, node: np.ndarray, ready: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, node: np.ndarray, ready: np.ndarray, *way) -> Iterator[pa.RecordBatch]:
         for s, n in zip(*runs(key), strict=True):
             now = ready[s : s + n]
             if now.all() or not now.any():
@@ -370,30 +449,39 @@ def _pairs(tau: int):
             order = np.argsort(fps[~now], kind="stable")
             rest, others = fps[~now][order], mine[~now][order]
             for a, b in close_pairs(heads, np.unique(rest), tau):
+                first_time = answers(a, b, *_way(key, way, s))
+                a, b = a[first_time], b[first_time]
+                if not len(a):
+                    continue
                 lo, hi = np.searchsorted(rest, b), np.searchsorted(rest, b, side="right")
                 u = np.repeat(mine[now][first[np.searchsorted(heads, a)]], hi - lo)
-                v = others[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange((hi - lo).sum())] if len(b) else others[:0]
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                v = others[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange((hi - lo).sum())]
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return _by_bucket(links)
 
 
-def _every_pair(tau: int, count: bool):
-    """(u, v), u < v, for all nodes within ``tau`` bits in a bucket, or only (n), the numbers of them."""
+def _every_pair(tau: int, answers, count: bool):
+    """(u, v), u < v, for all nodes within ``tau`` bits in a bucket, from the one that answers for them; or only (n), about how many, which is estimated in large buckets."""
 
-    def links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, node: np.ndarray, *way) -> Iterator[pa.RecordBatch]:
         for s, n in zip(*runs(key), strict=True):
             held = probe[s : s + n]
             if n == 1 or held.all():
                 continue
             order = np.argsort(fp[s : s + n], kind="stable")
             fps, mine = fp[s : s + n][order], node[s : s + n][order]
-            for a, b in close_pairs(np.unique(fp[s : s + n][~held]), np.unique(fps), tau):
+            stored, times = np.unique(fp[s : s + n][~held]), 1.0
+            if count and len(stored) > MANY:
+                times = len(stored) / SOME
+                stored = np.sort(np.random.default_rng(n).choice(stored, SOME, replace=False))
+            for a, b in close_pairs(stored, np.unique(fps), tau):
+                once = (a <= b) & answers(a, b, *_way(key, way, s))
+                a, b = a[once], b[once]
                 (at, to), (at_b, to_b) = ((np.searchsorted(fps, x), np.searchsorted(fps, x, side="right")) for x in (a, b))
                 many, wide = (to - at) * (to_b - at_b), to_b - at_b
                 if count:
-                    yield pa.RecordBatch.from_arrays([pa.array([int(many.sum())])], ["n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(many[a < b].sum() * times + (many[a == b] * (many[a == b] > 1)).sum() * times / 2)])], ["n"])
                 elif many.sum():
                     k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                     i, j = np.repeat(at, many) + k // np.repeat(wide, many), np.repeat(at_b, many) + k % np.repeat(wide, many)
@@ -431,25 +519,27 @@ def drop_near_copies(docs: DataFrame, width: int = 5, tau: int = 14, least: floa
     found = marked.join(order, "_row").groupBy("_class").agg(F.min("o").alias("o"), F.min("fp").alias("fp"))
     firsts = table(found.orderBy("o").select(F.monotonically_increasing_id().alias("node"), F.col("o.row").alias("_row"), "fp"), "firsts")  # nodes in the order of ids
     gone = marked.select("_row").join(firsts.select("_row"), "_row", "left_anti")
-    rows_left, sets, out = buckets(firsts.select("fp", "node"), tau, LARGE_BUCKET), None, docs.sparkSession.createDataFrame([], "v long")
+    left, probed = firsts.select("fp", "node"), planned(firsts, tau)
+    answers, among = first_meeting(probed, tau), lambda rows: by_bucket(buckets(rows, probed, tau, LARGE_BUCKET))
+    sets, out = None, docs.sparkSession.createDataFrame([], "v long")
     while True:
         # A node without one before it stays, and is compared with all that are near it by their fingerprints; those leave or wait for the next round.
-        low = cut(rows_left.repartition("key").sortWithinPartitions("key").mapInArrow(_lowest(tau), "node long, low long").groupBy("node").agg(F.min("low").alias("low")))
+        low = cut(among(left).mapInArrow(_lowest(tau), "node long, low long").groupBy("node").agg(F.min("low").alias("low")))
         if not low.take(1):
             break
         if sets is None:
             of_nodes = cut(_by_id(firsts.select("node", "_row"), low.select("node"), "inner"))
             sets = table(shingle_sets(_by_id(texts, of_nodes.select("_row"), "inner"), width).select("_row", "_set").join(of_nodes, "_row").select("node", "_set"), "sets")
-        marked_rows = _by_id(rows_left, low.select("node", (F.col("low") == F.col("node")).alias("ready")), "inner").select("key", "fp", "probe", "node", "ready")
-        pairs = cut(marked_rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(tau), "u long, v long").distinct())
+        marked_nodes = _by_id(left, low.select("node", (F.col("low") == F.col("node")).alias("ready")), "inner").select("fp", "node", "ready")
+        pairs = cut(among(marked_nodes).mapInArrow(_pairs(tau, answers), "u long, v long").distinct())
         near = cut(_near(pairs, sets, least).select("v").distinct())
         out = cut(out.unionByName(near))
         waiting = low.where("low < node").select("node").join(near.withColumnRenamed("v", "node"), "node", "left_anti")
-        rows_left = cut(_by_id(rows_left, waiting, "inner").select("key", "fp", "probe", "node").repartition("key").sortWithinPartitions("key"))
+        left = cut(_by_id(left, waiting, "inner").select("fp", "node"))
         # Groups of near copies have left now. If what waits has few pairs, all are compared at once; dense groups go on by rounds.
-        met = rows_left.mapInArrow(_every_pair(tau, count=True), "n long").agg(F.sum("n")).first()[0] or 0
-        if met <= FEW_PAIRS * rows_left.count():
-            pairs = cut(rows_left.mapInArrow(_every_pair(tau, count=False), "u long, v long").distinct())
+        met = among(left).mapInArrow(_every_pair(tau, answers, count=True), "n long").agg(F.sum("n")).first()[0] or 0
+        if met <= FEW_PAIRS * left.count():
+            pairs = cut(among(left).mapInArrow(_every_pair(tau, answers, count=False), "u long, v long").distinct())
             if pairs.take(1):
                 out = cut(out.unionByName(_later(cut(_near(pairs, sets, least)))))
             break

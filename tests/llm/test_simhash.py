@@ -160,3 +160,16 @@ def test_pairs_at_the_threshold_are_found(spark):
     df = spark.createDataFrame([*enumerate(base), *enumerate(near, 100)], "doc_id long, text string")
     kept = {r.doc_id for r in simhash.drop_near_copies(df).collect()}
     assert kept >= set(range(100)) and len(kept) <= 110
+
+
+@pytest.mark.parametrize("large_bucket", [10**6, 8])
+def test_each_near_pair_is_answered_for_once(spark, large_bucket):
+    tau, rng = 5, np.random.default_rng(3)
+    heads = rng.integers(0, 2**64, 20, np.uint64)
+    flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(200)]
+    fps = np.unique(np.array([int(heads[k % 20]) ^ f for k, f in enumerate(flips)], np.uint64))
+    nodes = spark.createDataFrame([(int(f), k) for k, f in enumerate(fps.view(np.int64))], "fp long, node long")
+    probed = simhash.planned(nodes, tau)
+    found = simhash.by_bucket(simhash.buckets(nodes, probed, tau, large_bucket)).mapInArrow(simhash._every_pair(tau, simhash.first_meeting(probed, tau), count=False), "u long, v long").collect()
+    want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= tau}
+    assert len(found) == len(want) and {(r.u, r.v) for r in found} == want
