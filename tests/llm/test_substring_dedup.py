@@ -20,8 +20,8 @@ def brute(texts, width):
     return [(len(w), len(g), b" ".join(x for k, x in enumerate(w) if k not in g).decode()) for w, g in zip(split, gone, strict=True)]
 
 
-@pytest.mark.parametrize("width,max_blocks,at_once", [(35, None, 400_000), (5, None, 50), (35, 0, 100), (2, None, 300)])
-def test_against_brute_force(spark, width, max_blocks, at_once):
+@pytest.mark.parametrize("width,max_bits,at_once", [(35, s.MAX_BITS, 400_000), (5, s.MAX_BITS, 50), (35, 64, 100), (2, s.MAX_BITS, 300)])
+def test_against_brute_force(spark, monkeypatch, width, max_bits, at_once):
     rng = random.Random(width)
     common = [[f"p{k}w{i}é" for i in range(width + rng.randint(-1, 40))] for k in range(6)]
     texts = [None, "", " \t", "a " * 200, "b a " * 100, "same text again " * 30, "same text again " * 30]
@@ -33,15 +33,22 @@ def test_against_brute_force(spark, width, max_blocks, at_once):
             at = rng.randint(0, len(body))
             body[at:at] = p[a : a + rng.randint(1, len(p))]
         texts.append("\n".join(body) if d % 9 == 0 else " ".join(body))
+    texts += ["x" * 300 + " " + "y z " * 40 + "x" * 300, "only here: " + "p q r " * 30, " ".join(f"n{i % 7}" for i in range(90))]
     texts += texts[20:24]
     rows = [(k, t, "x", 1) for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, seed string, n int")
-    s.AT_ONCE, kept, s.BROADCAST_IDS = at_once, s.AT_ONCE, 500_000 if max_blocks is None else 10
-    try:
-        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in s.substring_dedup(df, width, max_blocks=max_blocks).collect()}
-    finally:
-        s.AT_ONCE = kept
-    assert got == dict(enumerate(brute(texts, width)))
+    monkeypatch.setattr(s, "AT_ONCE", at_once)
+    monkeypatch.setattr(s, "MAX_BITS", max_bits)
+    monkeypatch.setattr(s, "LONG_WORD", 6)
+    found = s.substring_dedup(df, width).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in found} == dict(enumerate(brute(texts, width)))
+    words = [(t or "").split() for t in texts]
+    for r in found:  # factors do not overlap, cover what is removed, and have the words of their sources
+        assert sum(f.length for f in r.factors) == r.n_removed
+        assert all(a.start + a.length <= b.start for a, b in zip(r.factors, r.factors[1:], strict=False))
+        for f in r.factors:
+            assert words[r.doc_id][f.start : f.start + f.length] == words[f.source][f.place : f.place + f.length]
+            assert (f.source, f.place) <= (r.doc_id, f.start)
 
 
 def test_repeated_ids_and_nulls(spark):
@@ -58,4 +65,5 @@ def test_chosen_blocks():
 
 
 def test_factors():
-    assert s.factors([(0, 2), (2, 1), (40, 1)], 5) == [(0, 7), (40, 5)]
+    assert s.factors([(0, 2, 8, 10), (2, 1, 8, 12), (40, 1, 8, 50)], 5) == [[0, 7, 8, 10], [40, 5, 8, 50]]
+    assert s.factors([(0, 2, 8, 10), (3, 4, 9, 0), (3, 1, 8, 13)], 5) == [[0, 6, 8, 10], [6, 5, 9, 3]]
