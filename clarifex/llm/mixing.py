@@ -70,17 +70,44 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     return got
 
 
+def sainte_lague_classes(votes: np.ndarray, members: np.ndarray, seats: int, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for classes of members with equal votes: seats of each member, and how many members have one more; of equal quotients the larger votes come first."""
+    votes, members, most = np.asarray(votes, np.float64), np.asarray(members, np.int64), np.asarray(most, np.int64)
+    extra = np.zeros(len(votes), np.int64)
+    seats = min(int(seats), int((most * members)[votes > 0].sum()))
+    if seats <= 0:
+        return extra, extra.copy()
+    at = lambda limit: np.minimum(np.floor((votes / limit + 1) / 2), most * (votes > 0)).astype(np.int64)
+    low, high = votes[votes > 0].min() / (4.0 * most.max() + 4), votes.max() * 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        if (at(mid) * members).sum() > seats:
+            low = mid
+        else:
+            high = mid
+    got = at(high)
+    while (left := seats - int((got * members).sum())) > 0:  # ties, and what rounding left
+        quotients = np.where(got < most, votes / (2.0 * got + 1), -1)
+        best = int(np.lexsort((-votes, -quotients))[0])
+        if members[best] > left:
+            extra[best] = left
+            break
+        got[best] += 1
+    return got, extra
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), seed: int = 1, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, most_times: int = MOST_TIMES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: id, source, size, source_size, target, taken, times, spans, and ``row_col`` if one is named.
 
     Sources in order of code points, null last, have the weights in turn and share as many words as
     there are. The mix takes the whole document ``times`` times, and once more the words of ``spans``
     (first, end). Null and empty texts have size 0 and take nothing; repeated rows are rows of their
-    own. A rerun on the same rows takes the same words. No rows give no rows.
+    own. Documents are dealt to shards by a hash of id and text, so null or repeated ids do not share
+    one. A rerun on the same rows takes the same words. No rows give no rows.
     """
     text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`")
     row = [F.col(row_col), F.xxhash64(text).alias("_tie")] if row_col else []
-    sized = cut(docs.select(*row, F.col(f"`{id_col}`").alias("_id"), source.alias("_source"), n_words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.length(text)).alias("_order")))
+    sized = cut(docs.select(*row, F.col(f"`{id_col}`").alias("_id"), source.alias("_source"), n_words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), text).alias("_order")))
     found = sized.groupBy("_source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"{source_col} has over {MAX_SOURCES} values; a mix is made of fewer sources")
@@ -99,13 +126,17 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), seed: int = 1, bloc
     own = np.array([blocks.get(k, 0) for k in range(len(found))], np.int64)
     seats = dict(enumerate(sainte_lague(votes, round(votes.sum()), most_times * own).tolist())) if len(found) else {}
 
-    def quotas(key, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_shard")
-        part["quota"] = sainte_lague(part["blocks"].to_numpy(), seats[key[0]], most_times * part["blocks"].to_numpy())
+    def quotas(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("blocks")
+        part["quota"], part["extra"] = sainte_lague_classes(part["blocks"].to_numpy(), part["members"].to_numpy(), seats[key[0]], most_times * part["blocks"].to_numpy())
         return part
 
     hashed = lambda b: F.xxhash64(F.lit(seed), F.col("_s"), F.col("_shard"), b)
-    quota = shards.groupBy("_s").applyInPandas(quotas, "_s int, _shard int, words long, blocks long, quota long")
+    # Shards of a source with as many blocks have the same quotients: they are apportioned as classes, of which there are few whatever the source's size.
+    classes = shards.groupBy("_s", "blocks").agg(F.count(F.lit(1)).alias("members")).groupBy("_s").applyInPandas(quotas, "_s int, blocks long, members long, quota long, extra long")
+    rank = F.row_number().over(Window.partitionBy("_s", "blocks").orderBy("_shard"))
+    ranked = shards.withColumn("rank", rank).join(classes, ["_s", "blocks"])
+    quota = ranked.withColumn("quota", F.col("quota") + (F.col("rank") <= F.col("extra")).cast("long")).select("_s", "_shard", "words", "blocks", "quota")
     quota = quota.withColumn("times", F.floor(F.col("quota") / F.col("blocks"))).withColumn("more", (F.col("quota") - F.col("times") * F.col("blocks")).cast("int"))
     least = F.get(F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), hashed)), F.col("more") - 1)
     quota = cut(quota.withColumn("last", F.when(F.col("more") > 0, least)))
