@@ -134,6 +134,10 @@ class Files:
         found = self._fs.listStatus(self._path(name))
         return {s.getPath().getName(): s.getLen() for s in found if s.isFile() and s.getPath().getName().endswith(suffix)}
 
+    def folders(self, name: str) -> list[str]:
+        """The names of the folders directly in a folder; none if it is missing."""
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(name)) if s.isDirectory()] if self._fs.exists(self._path(name)) else []
+
     def read(self, name: str) -> str:
         stream = self._fs.open(self._path(name))
         try:
@@ -142,7 +146,11 @@ class Files:
             stream.close()
 
     def commit(self, name: str, text: str) -> bool:
-        """Write a file by way of a rename that fails if the name is taken; False if it was."""
+        """Write a file by way of a rename that fails if the name is taken; False if it was.
+
+        The rename decides between writers on file systems where it is atomic, as on HDFS; on others, such as
+        plain object stores, one writer at a time must be seen to from outside.
+        """
         hidden = self._path(f"_new-{uuid.uuid4().hex}")
         self._fs.mkdirs(self._path(""))
         out = self._fs.create(hidden)

@@ -58,12 +58,26 @@ class ShardStore:
         return {f"{name}/{n}": size for n, size in self.files.sizes(name, ".parquet").items()}
 
     def append(self, df: DataFrame) -> dict:
-        """Add rows, a shard for each of their partitions. All appends must have the first one's schema."""
+        """Add rows, a shard for each of their partitions. All appends must have the first one's schema, which is checked again as the version is committed."""
         schema = df.schema.json()
-        if (known := self.manifest()["schema"]) and json.loads(known)["fields"] != json.loads(schema)["fields"]:
-            raise ValueError(f"the store has another schema: {T.StructType.fromJson(json.loads(known)).simpleString()}")
+
+        def fits(m: dict) -> dict:
+            if m["schema"] and json.loads(m["schema"])["fields"] != json.loads(schema)["fields"]:
+                raise ValueError(f"the store has another schema: {self._schema(m).simpleString()}")
+            return m
+
+        fits(self.manifest())  # before anything is written
         shards = self._write(df)
-        return self._commit(lambda m: m | {"schema": schema, "shards": m["shards"] | shards})
+        try:
+            return self._commit(lambda m: fits(m) | {"schema": schema, "shards": m["shards"] | shards})
+        except ValueError:
+            self._drop(shards)
+            raise
+
+    def _drop(self, shards: dict[str, int]) -> None:
+        """Delete the folders of shards that no manifest names."""
+        for folder in {n.split("/")[0] for n in shards}:
+            self.files.delete(folder)
 
     def tier(self, size: int) -> int:
         return max(0, int(math.log(max(1, size / self.least), self.fanout)))
@@ -87,7 +101,11 @@ class ShardStore:
                 raise Conflict("another writer has merged these shards")
             return m | {"shards": {n: s for n, s in m["shards"].items() if n not in set(names)} | merged}
 
-        return self._commit(change)
+        try:
+            return self._commit(change)
+        except Conflict:
+            self._drop(merged)
+            raise
 
     def compact(self) -> dict:
         """Merge full tiers until none is left; the last manifest."""
@@ -110,23 +128,30 @@ class ShardStore:
         return self.spark.read.schema(self._schema(manifest)).parquet(*[f"{self.path}/{n}" for n in manifest["shards"]])
 
     def vacuum(self, keep: int = 1) -> list[str]:
-        """Delete all but the last ``keep`` manifests, and the shards that only those deleted name. Not while others write."""
+        """Delete all but the last ``keep`` manifests, the shards that only those deleted name, and folders of writes that were never committed. Not while others write."""
         known = self.versions()
         held = {n for v in known[-keep:] for n in self.manifest(v)["shards"]}
         gone = sorted({n for v in known[:-keep] for n in self.manifest(v)["shards"]} - held)
         for name in [*gone, *(f"manifest-{v}.json" for v in known[:-keep])]:
             self.files.delete(name)
+        used = {n.split("/")[0] for v in known[-keep:] for n in self.manifest(v)["shards"]}
+        for folder in self.files.folders(""):
+            if folder.startswith("data-") and folder not in used:
+                self.files.delete(folder)
         return gone
 
 
-def compacted(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """``docs`` appended to a new store in the shared folder, compacted, and read back from the committed version.
+def compacted(docs: DataFrame, target_bytes: int = TARGET_BYTES, arrivals: int = FANOUT) -> DataFrame:
+    """``docs`` appended to a new store in the shared folder in several arrivals, compacted after each, and read back from the last committed version.
 
-    All rows and columns come back as they were, nulls and repeated rows included; no rows give no rows.
+    An arrival has the rows whose first column's hash says so; each scans ``docs`` again. All rows and
+    columns come back as they were, nulls and repeated rows included; no rows give no rows.
     """
     store = ShardStore(docs.sparkSession, fresh_dir(docs.sparkSession, "store"), target_bytes)
-    store.append(docs)
-    store.compact()
+    own = F.pmod(F.xxhash64(F.col("`" + docs.columns[0].replace("`", "``") + "`")), F.lit(arrivals))
+    for k in range(arrivals):
+        store.append(docs.where(own == k))
+        store.compact()
     return store.read()
 
 

@@ -51,3 +51,29 @@ def test_edge_cases(spark, tmp_path):
     with pytest.raises(ValueError):
         store.append(spark.range(3))
     assert ids(s.compacted(store.read())) == [1, 1, 2]
+
+
+def test_two_first_appends_with_different_schemas(spark, tmp_path):
+    store, late = (s.ShardStore(spark, f"file://{tmp_path}/store") for _ in range(2))
+    empty = late.manifest()
+    store.append(frame(spark, range(4)))
+    seen = [empty, store.manifest()]  # it looks before the other commits
+    late.manifest = lambda version=None: seen.pop(0)
+    with pytest.raises(ValueError):
+        late.append(spark.range(3))
+    assert store.files.folders("") == [n.split("/")[0] for n in store.manifest()["shards"]][:1]
+
+
+def test_vacuum_deletes_what_was_never_committed(spark, tmp_path):
+    store = s.ShardStore(spark, f"file://{tmp_path}/store")
+    store.append(frame(spark, range(4)))
+    store._write(frame(spark, range(9)))
+    store.vacuum()
+    assert len(store.files.folders("")) == 1 and ids(store.read()) == list(range(4))
+
+
+def test_the_query_merges(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(s.ShardStore, "_merge", lambda self, names, merge=s.ShardStore._merge: made.append(len(names)) or merge(self, names))
+    df = spark.createDataFrame([(k, "long text " * 20_000 if k == 5 else f"t{k}", "x", 1) for k in [*range(40), None, None, 7]], "doc_id long, text string, shards string, version int")
+    assert sorted(map(str, s.compacted(df.coalesce(1)).collect())) == sorted(map(str, df.collect())) and made
