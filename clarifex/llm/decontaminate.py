@@ -11,6 +11,7 @@ The test set is used in blocks of bounded size; each block is broadcast to the s
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from clarifex.llm.common import of, table, text_bytes
 
-#: Words of a segment at which it is closed; words of test items in one block.
-SEGMENT_WORDS, BLOCK_WORDS = 1_000_000, 2_000_000
+#: Words of a segment at which it is closed; words of test items in one block, whose windows take some 300 bytes each in a worker.
+SEGMENT_WORDS, BLOCK_WORDS = 1_000_000, 300_000
 SEGMENT = "ids binary, starts binary, terms binary, term_ends binary, places binary"
 #: A-Z in lower case, and a space for each byte that is in no word; bytes from 0x80 are in words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -136,6 +137,34 @@ def windows_of(items: list[tuple[object, list[int]]], width: int) -> dict[tuple[
     return {w: sorted(own) for w, own in out.items()}
 
 
+class Windows:
+    """The windows of a block of items, found by their rarest term: the one that is in the fewest of them. Sent as lists of terms, opened once by each worker."""
+
+    def __init__(self, items: list[tuple[object, list[int]]], width: int):
+        self.names = [str(i) for i, _ in items]
+        self.terms, self.ends, self.width = np.array([t for _, own in items for t in own], np.int32), np.cumsum([len(own) for _, own in items]), width
+
+    def by_lead(self) -> dict[int, list[tuple[tuple[int, ...], list[int]]]]:
+        """The windows with each rarest term, and the numbers of their items."""
+        if not hasattr(self, "_leads"):
+            items = [(None, own.tolist()) for own in np.split(self.terms, self.ends[:-1])] if len(self.ends) else []
+            windows, held, self._leads = windows_of(items, self.width), Counter(), {}
+            for w in windows:
+                held.update(set(w))
+            for w, own in windows.items():
+                self._leads.setdefault(min(w, key=lambda t: (held[t], t)), []).append((w, own))
+        return self._leads
+
+    def within(self, seg: Segment) -> Iterator[tuple[tuple[int, ...], list[int], np.ndarray]]:
+        """The windows that stand in a segment, their items, and where; windows whose rarest term the segment lacks are not looked at."""
+        leads = self.by_lead()
+        for lead in (seg.at.keys() & leads.keys()) if len(seg.at) < len(leads) else (t for t in leads if t in seg.at):
+            for terms, own in leads[lead]:
+                starts = seg.phrase(terms)
+                if len(starts):
+                    yield terms, own, starts
+
+
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[object, bytes]]]:
     """The test items in blocks of a bounded number of bytes; one block is on the driver at a time."""
     block, size = [], 0
@@ -151,21 +180,19 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int)
 
 
 def _hits(index: DataFrame, items: list[tuple[object, list[int]]], width: int) -> DataFrame:
-    windows = windows_of(items, width)
-    names = [str(i) for i, _ in items]
+    held = index.sparkSession.sparkContext.broadcast(Windows(items, width))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = held.value
         for batch in batches:
             for row in batch.to_pylist():
                 seg = Segment(**row)
                 hit, owners = np.zeros(int(seg.starts[-1]) + 1, np.int32), [set() for _ in seg.ids]
-                for terms, own in windows.items():
-                    starts = seg.phrase(terms)
-                    if len(starts):
-                        np.add.at(hit, starts, 1)
-                        np.add.at(hit, starts + len(terms), -1)
-                        for doc in np.unique(np.searchsorted(seg.starts, starts, side="right") - 1).tolist():
-                            owners[doc].update(own)
+                for terms, own, starts in windows.within(seg):
+                    np.add.at(hit, starts, 1)
+                    np.add.at(hit, starts + len(terms), -1)
+                    for doc in np.unique(np.searchsorted(seg.starts, starts, side="right") - 1).tolist():
+                        owners[doc].update(own)
                 covered = np.concatenate(([0], np.cumsum(np.cumsum(hit) > 0)))
                 n_hit = covered[seg.starts[1:]] - covered[seg.starts[:-1]]
                 yield pa.RecordBatch.from_arrays(
@@ -173,7 +200,7 @@ def _hits(index: DataFrame, items: list[tuple[object, list[int]]], width: int) -
                         pa.array([None if i == NO_ID else i for i in seg.ids.tolist()], pa.int64()),
                         pa.array(seg.counts),
                         pa.array(n_hit.astype(np.int64)),
-                        pa.array([sorted({names[k] for k in own}) for own in owners], pa.list_(pa.string())),
+                        pa.array([sorted({windows.names[k] for k in own}) for own in owners], pa.list_(pa.string())),
                     ],
                     ["doc_id", "n_words", "n_hit", "items"],
                 )
@@ -241,8 +268,7 @@ def _many_blocks(docs: DataFrame, held: list, rest: Iterator, width: int, share:
 
 
 def _spans(index: DataFrame, items: list[tuple[object, list[int]]], width: int) -> DataFrame:
-    windows = windows_of(items, width)
-    names = [str(i) for i, _ in items]
+    held = index.sparkSession.sparkContext.broadcast(Windows(items, width))
     pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,12 +276,12 @@ def _spans(index: DataFrame, items: list[tuple[object, list[int]]], width: int)
             for row in batch.to_pylist():
                 seg = Segment(**row)
                 spans, owners = [[] for _ in seg.ids], [set() for _ in seg.ids]
-                for terms, own in windows.items():
-                    for s in seg.phrase(terms).tolist():
+                for terms, own, starts in held.value.within(seg):
+                    for s in starts.tolist():
                         doc = int(np.searchsorted(seg.starts, s, side="right")) - 1
                         at = s - int(seg.starts[doc])
                         spans[doc].append({"a": at, "b": at + len(terms)})
-                        owners[doc].update(names[k] for k in own)
+                        owners[doc].update(held.value.names[k] for k in own)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(seg.ids), pa.array(seg.counts), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, pa.list_(pair)), pa.array([sorted(o) for o in owners], pa.list_(pa.string()))],
                     ["_row", "n_words", "n_hit", "spans", "items"],
