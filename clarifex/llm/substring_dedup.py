@@ -35,7 +35,7 @@ from clarifex.llm.common import cut, skew_join, table, text_bytes
 
 #: Bits of a filter (of repeated blocks, of documents with repeats) at most, 16 MB, and the bits wanted for each entry. Words hashed at once.
 #: A filter that is too small for its entries lets through more of what the joins then leave out; results are the same.
-MAX_BITS, BITS_EACH, AT_ONCE = 1 << 27, 16, 400_000
+MAX_BITS, BITS_EACH, AT_ONCE = 1 << 27, 16, 150_000
 #: Bytes from which a word is hashed by XXH64.
 LONG_WORD = 256
 NO_ID = -(2**63)
