@@ -38,9 +38,15 @@ def integer_guard(df: DataFrame, column: str, bound: int) -> bool:
     return df.agg(F.coalesce(ok, F.lit(True))).first()[0]
 
 
+def whole_beyond(df: DataFrame, column: str, bound: int) -> bool:
+    """Whether all values are whole and some are beyond ``bound``."""
+    x = present(name(column), kind_of(df, column)).cast("double")
+    return bool(df.agg(F.bool_and(x % 1 == 0) & F.bool_or(F.abs(x) > bound)).first()[0])
+
+
 @register("type_caster")
 def type_caster(df: DataFrame, column: str, context=None, target_type: str | None = None) -> DataFrame:
-    """Cast to ``target_type`` ("cast:Int16"); to an integer type only if no value would change. What cannot be cast becomes null.
+    """Cast to ``target_type`` ("cast:Int16"); to an integer type, or from whole numbers to Float32, only if no value would change. What cannot be cast becomes null.
 
     A category stays text, with the field's metadata saying so.
     """
@@ -59,4 +65,6 @@ def type_caster(df: DataFrame, column: str, context=None, target_type: str | Non
         return replace(df, column, present(x, kind) != 0)
     if known == "timestamp" and isinstance(kind, T.TimestampNTZType):
         return df  # it has no time zone that a cast could shift
+    if known == "float" and is_numeric(kind) and whole_beyond(df, column, 2**24):
+        return df  # a float has no place for all of these whole numbers
     return replace(df, column, x.try_cast(known))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clarifex.functions.columns import is_numeric, name, present
+from clarifex.functions.columns import name, present
 from clarifex.operators.basic import kind_of, replace
 from clarifex.operators.registry import ToolContext, register
 
@@ -100,56 +100,78 @@ def flag_missing_text(df: DataFrame, column: str, context: ToolContext) -> DataF
     return replace(flagged, column, F.coalesce(name(column).cast("string"), F.lit("MISSING")))
 
 
-#: Ranges that an order key is cut into at most.
-SEGMENTS = 256
+#: Ranges that an order key is cut into at most, and rows of the sample that the cuts are taken from, for each range.
+SEGMENTS, SAMPLED = 256, 50
 
 
-def _segments(df: DataFrame, order: str, parts: int) -> Column:
-    """The number of an order key's range, of which there are ``parts``: windows over a segment need one task each, not one for all rows."""
-    key = F.unix_micros(name(order).cast("timestamp")).cast("double") if isinstance(kind_of(df, order), (T.TimestampType, T.TimestampNTZType)) else name(order).cast("double")
-    bounds = sorted(set(df.select(key.alias("k")).approxQuantile("k", [k / parts for k in range(1, parts)], 0.001))) if parts > 1 else []
-    out = F.lit(0)
-    for b in bounds:
-        out += (key > b).cast("int")
-    return F.coalesce(out, F.lit(-1))
+def _segment(df: DataFrame, parts: int) -> Column:
+    """The number of the range that a row's ``_key`` is in, of about ``parts`` of like size: windows over a range need one task each, not one for all rows.
+
+    The cuts are taken from the rows with the least hashes, and a row finds its range by halving.
+    """
+    cuts = sorted_cuts(df.select("_key").orderBy("_key.tie", "_key").limit(SAMPLED * parts), parts) if parts > 1 else []
+    kinds = df.schema["_key"].dataType.fields
+
+    def find(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        at = F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(cuts[mid], kinds, strict=True)])
+        return F.when(F.col("_key") > at, find(mid + 1, high)).otherwise(find(low, mid))
+
+    return find(0, len(cuts))
 
 
-def _around(df: DataFrame, column: str, context: ToolContext, tool: str, extra: list[str]) -> tuple[DataFrame, list[str]]:
-    """``df`` with, for each of the column and ``extra``, the last value at or before a row and the first at or after (in _last_*, _next_*), where the column is present.
+def sorted_cuts(sample: DataFrame, parts: int) -> list:
+    """``parts - 1`` keys that cut a bounded sample into equal ranges."""
+    found = [r[0] for r in sample.orderBy("_key").collect()]
+    return [found[k * len(found) // parts] for k in range(1, parts) if k * len(found) // parts > (k - 1) * len(found) // parts]
 
-    Without partition_by, a single numeric or temporal order key is cut into ranges; each range gets
-    what the ranges before and after hold, so no task sorts all rows.
+
+def around(df: DataFrame, values: dict[str, Column], order: list[Column], parts: list[str]) -> DataFrame:
+    """``df`` with, for each value, the last one at or before a row and the first at or after it, nulls left out, as _last_* and _next_* (null where there is none).
+
+    Rows are ordered by ``order``, within ``parts`` if there are any, nulls first; rows with equal keys
+    by a hash of the whole row, so results do not depend on partitions. The order is cut into ranges;
+    each range gets what the ranges before and after it hold, so no task sorts all rows or all of one
+    part. Both windows end at the current row: one that ends at the last row would be quadratic.
     """
-    order = list(context.need_order(tool))
-    x = present(name(column), kind_of(df, column))
-    values = {column: x} | {e: F.when(x.isNotNull(), name(e)) for e in extra}
-    parts = list(context.partition_by)
-    alone = not parts and len(order) == 1 and (is_numeric(kind_of(df, order[0])) or isinstance(kind_of(df, order[0]), (T.TimestampType, T.TimestampNTZType)))
+    hashed = [name(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    rows = df.withColumns({"_key": F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.xxhash64(*hashed).alias("tie"))} | {f"_v_{k}": v for k, v in values.items()})
     count = min(SEGMENTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    segment = _segments(df, order[0], count) if alone else F.lit(0)
-    rows = df.withColumn("_segment", segment)
-    by = [*map(name, parts), F.col("_segment")]
-    past = Window.partitionBy(*by).orderBy(*map(name, order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    coming = Window.partitionBy(*by).orderBy(*map(name, order)).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = rows.withColumns({f"_{w}_{k}": f(v, ignorenulls=True).over(over) for k, (c, v) in enumerate(values.items()) for w, f, over in (("last", F.last, past), ("next", F.first, coming))})
-    if alone:
-        at = name(order[0])
-        ends = df.withColumn("_segment", segment).where(x.isNotNull()).groupBy("_segment").agg(*[a for k, v in enumerate(values.values()) for a in (F.max_by(v, at).alias(f"hi{k}"), F.min_by(v, at).alias(f"lo{k}"))])
-        # One row for each range.
-        every = df.sparkSession.range(-1, count + 1).withColumn("_segment", F.col("id").cast("int")).drop("id").join(ends, "_segment", "left")
-        before = Window.orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
-        after = Window.orderBy("_segment").rowsBetween(1, Window.unboundedFollowing)
-        near = every.select("_segment", *[a for k in range(len(values)) for a in (F.last(f"hi{k}", ignorenulls=True).over(before).alias(f"b{k}"), F.first(f"lo{k}", ignorenulls=True).over(after).alias(f"a{k}"))])
-        rows = rows.join(F.broadcast(near), "_segment", "left")
-        rows = rows.withColumns({f"_last_{k}": F.coalesce(f"_last_{k}", f"b{k}") for k in range(len(values))} | {f"_next_{k}": F.coalesce(f"_next_{k}", f"a{k}") for k in range(len(values))})
-    return rows, df.columns
+    rows = rows.withColumn("_segment", _segment(rows, count))
+    own = [name(p) for p in parts]
+    by = [*own, F.col("_segment")]
+    past = Window.partitionBy(*by).orderBy(F.col("_key").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    coming = Window.partitionBy(*by).orderBy(F.col("_key").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = {f"_{w}_{k}": F.last(f"_v_{k}", ignorenulls=True).over(over) for w, over in (("last", past), ("next", coming)) for k in values}
+    at = {k: F.when(F.col(f"_v_{k}").isNotNull(), F.col("_key")) for k in values}
+    ends = rows.groupBy(*[c.alias(f"_p{k}") for k, c in enumerate(own)], F.col("_segment").alias("_s")).agg(*[f(f"_v_{k}", at[k]).alias(f"_{w}{k}") for k in values for w, f in (("hi", F.max_by), ("lo", F.min_by))])
+    # One row for each range of each part.
+    ranges = [F.col(f"_p{k}") for k in range(len(own))]
+    before = Window.partitionBy(*ranges).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*ranges).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    near = ends.select(*ranges, "_s", *[F.last(f"_{w}{k}", ignorenulls=True).over(over).alias(f"_{w}_far_{k}") for k in values for w, over in (("hi", before), ("lo", after))])
+    same = F.col("_segment") == F.col("_s")
+    for k, c in enumerate(own):
+        same &= c.eqNullSafe(F.col(f"_p{k}"))
+    filled_in = rows.withColumns(inside).join(near if own else F.broadcast(near), same, "left")
+    out = {f"_last_{k}": F.coalesce(f"_last_{k}", f"_hi_far_{k}") for k in values} | {f"_next_{k}": F.coalesce(f"_next_{k}", f"_lo_far_{k}") for k in values}
+    return filled_in.withColumns(out).select(*map(name, df.columns), *out)
+
+
+def _around(df: DataFrame, column: str, context: ToolContext, tool: str, extra: list[str]) -> DataFrame:
+    """``around`` for a column (number 0) and ``extra`` (from 1), where the column is present, in the order of the context."""
+    x = present(name(column), kind_of(df, column))
+    values = {"0": x} | {str(k): F.when(x.isNotNull(), name(e)) for k, e in enumerate(extra, 1)}
+    return around(df, values, [name(c) for c in context.need_order(tool)], list(context.partition_by))
 
 
 @register("ffill_bfill_imputer")
 def ffill_bfill_imputer(df: DataFrame, column: str, context: ToolContext) -> DataFrame:
     """The last value before, else the first after, in the order given."""
-    rows, names = _around(df, column, context, "ffill_bfill_imputer", [])
-    return rows.select(*[F.coalesce("_last_0", "_next_0").alias(c) if c == column else name(c) for c in names])
+    rows = _around(df, column, context, "ffill_bfill_imputer", [])
+    return rows.select(*[F.coalesce("_last_0", "_next_0").alias(c) if c == column else name(c) for c in df.columns])
 
 
 @register("spline_interpolation")
@@ -163,12 +185,12 @@ def spline_interpolation(df: DataFrame, column: str, context: ToolContext) -> Da
         return _cubic(df, column, order, list(context.partition_by))
     temporal = isinstance(kind_of(df, order), (T.TimestampType, T.TimestampNTZType))
     spot = lambda c: F.unix_micros(c.cast("timestamp")).cast("double") if temporal else c.cast("double")
-    rows, names = _around(df, column, context, "spline_interpolation", [order])
+    rows = _around(df, column, context, "spline_interpolation", [order])
     x, a, b = name(column).cast("double"), F.col("_last_0").cast("double"), F.col("_next_0").cast("double")
     here, at, to = spot(name(order)), spot(F.col("_last_1")), spot(F.col("_next_1"))
     line = a + (b - a) * (here - at) / F.when(to != at, to - at)
     value = F.coalesce(present(x, T.DoubleType()), line, a, b)
-    return rows.select(*[value.alias(c) if c == column else name(c) for c in names])
+    return rows.select(*[value.alias(c) if c == column else name(c) for c in df.columns])
 
 
 def natural_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:

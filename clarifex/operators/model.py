@@ -1,15 +1,14 @@
 """Filling missing numbers (and texts) from other columns.
 
-The predictors of a column are the other numeric columns that are not 0/1 alone, up to
-options["predictors"] (8) of them in order, their own gaps filled with their means. Linear fits need
-one aggregation of sums of products, whatever the number of rows. Neighbours are sought among donors:
-all rows with a value, or a sample of at most ``DONORS`` of them drawn by hash, which is broadcast.
+The predictors of a column are the other numeric columns (or options["columns"], or the first
+options["predictors"] of them), their own gaps filled with their means. Linear fits need one
+aggregation of sums of products, whatever the number of rows. Neighbours are sought among all donors,
+the rows with a value: they are dealt into ranges along one direction, and a row is sent only to the
+ranges that may hold a nearer donor than it has found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,17 +17,17 @@ from pyspark.sql import types as T
 
 from clarifex.functions.columns import is_numeric, name, present
 from clarifex.operators.basic import kind_of
-from clarifex.operators.impute import filled, mean_imputer, mode, mode_imputer
+from clarifex.operators.impute import around, filled, mean_imputer, mode, mode_imputer
 from clarifex.operators.registry import ToolContext, register
 from clarifex.operators.scale import number
 
-#: Donors that neighbours are sought among at most; neighbours taken; rounds of iterated fits.
-DONORS, NEIGHBOURS, ROUNDS = 20_000, 5, 3
+#: Donors of a range; rows that are sent to a range at once; neighbours taken; rounds of iterated fits; aggregates of a job.
+RANGE, SENT, NEIGHBOURS, ROUNDS, AT_ONCE = 4_000, 20_000, 5, 3, 500
 
 
 def predictors(df: DataFrame, column: str, context: ToolContext) -> dict[str, Column]:
     """The predictors' expressions, without gaps."""
-    chosen = context.options.get("columns") or [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name != column][: context.options.get("predictors", 8)]
+    chosen = context.options.get("columns") or [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name != column][: context.options.get("predictors")]
     if not chosen:
         return {}
     means = df.agg(*[F.avg(number(df, c)) for c in chosen]).first()
@@ -41,7 +40,7 @@ def moments(df: DataFrame, columns: list[Column], where: Column | None = None) -
     first = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in columns]).first()
     means = np.array([m or 0.0 for m in first[1:]])
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
-    found = rows.agg(*[F.avg((columns[i] - float(means[i])) * (columns[j] - float(means[j]))) for i, j in pairs]).first()
+    found = [x for at in range(0, len(pairs), AT_ONCE) for x in rows.agg(*[F.avg((columns[i] - float(means[i])) * (columns[j] - float(means[j]))) for i, j in pairs[at : at + AT_ONCE]]).first()]
     cov = np.zeros((len(columns), len(columns)))
     for (i, j), v in zip(pairs, found, strict=True):
         cov[i, j] = cov[j, i] = v or 0.0
@@ -147,13 +146,14 @@ def xgboost_non_linear_imputer(df: DataFrame, column: str, context: ToolContext)
 
 @register("missforest_categorical_imputer")
 def missforest_categorical_imputer(df: DataFrame, column: str, context: ToolContext) -> DataFrame:
-    """A random forest of Spark's ML library that predicts the category; the mode if there are no predictors or over 100 categories."""
+    """A random forest of Spark's ML library that predicts the category; the mode if there are no predictors, or over options["categories"] (1,000) categories, whose counts a tree's nodes could not hold."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 
     others, x = predictors(df, column, context), name(column)
-    classes = df.select(x).where(x.isNotNull()).distinct().limit(101).count()
-    if not others or not 2 <= classes <= 100:
+    most = context.options.get("categories", 1000)
+    classes = df.select(x).where(x.isNotNull()).distinct().limit(most + 1).count()
+    if not others or not 2 <= classes <= most:
         return mode_imputer(df, column, context)
     named = {f"_p{k}": c for k, c in enumerate(others.values())}
     rows = VectorAssembler(inputCols=list(named), outputCol="_features").transform(df.withColumns(named))
@@ -164,20 +164,90 @@ def missforest_categorical_imputer(df: DataFrame, column: str, context: ToolCont
     return back.transform(forest.transform(rows)).select(*[F.coalesce(x, F.col("_category")).alias(c) if c == column else name(c) for c in df.columns])
 
 
-def donors(df: DataFrame, target: Column, others: list[Column], seed: int) -> pd.DataFrame:
-    """Rows with a value: y and the predictors, at most DONORS of them, in an order that does not depend on partitions."""
-    named = [c.alias(f"p{k}") for k, c in enumerate(others)]
-    rows = df.where(target.isNotNull()).select(target.alias("y"), *named)
-    return rows.orderBy(F.xxhash64(F.lit(seed), *rows.columns), *rows.columns).limit(DONORS).toPandas().astype(float)
+def best_donors(asked: np.ndarray, donors: np.ndarray, values: np.ndarray, k: int) -> tuple[list, list]:
+    """For each point asked, the squared distances and values of its ``k`` nearest donors; of equally near ones those with the least values."""
+    order = np.argsort(values, kind="stable")
+    donors, values, k = donors[order], values[order], min(k, len(values))
+    far, found = [], []
+    for at in range(0, len(asked), 64):
+        some = asked[at : at + 64]
+        distance = np.zeros((len(some), len(donors)))
+        for i in range(donors.shape[1]):
+            distance += (some[:, i : i + 1] - donors[:, i]) ** 2
+        last = np.partition(distance, k - 1, axis=1)[:, k - 1]
+        for row, limit in zip(distance, last, strict=True):
+            near = np.flatnonzero(row <= limit)
+            near = near[np.argsort(row[near], kind="stable")[:k]]
+            far.append(row[near].tolist())
+            found.append(values[near].tolist())
+    return far, found
+
+
+def _searched(asked: DataFrame, donors: DataFrame, names: list[str], k: int) -> DataFrame:
+    """The rows of ``asked`` (names, s) with the ``k`` nearest of the donors (names, y, s) in range s, as ``best``: (d, y) in order.
+
+    Rows of a range are sent in bundles of about SENT, each of which gets the range's donors.
+    """
+    spark = asked.sparkSession
+    many = asked.groupBy("s").count()
+    bundles = {r.s: -(-r["count"] // SENT) for r in many.where(F.col("count") > SENT).collect()}
+    split = spark.createDataFrame(list(bundles.items()), "s int, bundles int")
+    of = lambda df: df.join(F.broadcast(split), "s", "left").withColumn("bundles", F.coalesce("bundles", F.lit(1)))
+    bundled = of(asked).withColumn("b", F.pmod(F.xxhash64(*names), "bundles").cast("int")).drop("bundles")
+    copies = of(donors).select(*[F.col(c).alias(c) for c in donors.columns], F.explode(F.sequence(F.lit(0), F.col("bundles") - 1)).alias("b"))
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({n: [] for n in names} | {"best": pd.Series([], dtype=object)})
+        far, found = best_donors(left[names].to_numpy(float), right[names].to_numpy(float), right["y"].to_numpy(float), k)
+        return left[names].assign(best=[[{"d": d, "y": y} for d, y in zip(a, b, strict=True)] for a, b in zip(far, found, strict=True)])
+
+    schema = ", ".join(f"{n} double" for n in names) + ", best array<struct<d:double,y:double>>"
+    return bundled.groupBy("s", "b").cogroup(copies.groupBy("s", "b")).applyInPandas(search, schema)
+
+
+def nearest(df: DataFrame, target: Column, coordinates: list[Column], k: int) -> DataFrame:
+    """``df`` with, in _guess, the mean of the ``k`` nearest donors' values for rows without a value; null if there is no donor.
+
+    Donors at one point count as one, with their mean. The search is exact: a row is first compared
+    with the donors of its own range along one direction, which gives a distance that the others must
+    beat, then with those of every range that reaches as near in this direction.
+    """
+    names = [f"_z{i}" for i in range(len(coordinates))]
+    work = df.withColumns(dict(zip(names, coordinates, strict=True)))
+    along = np.sqrt(np.arange(2, len(names) + 2))
+    along /= np.sqrt((along**2).sum())
+    spot = lambda: sum((F.col(n) * float(a) for n, a in zip(names, along, strict=True)), F.lit(0.0))
+    donors = work.where(target.isNotNull()).groupBy(*names).agg(F.avg(target).alias("y")).withColumn("p", spot())
+    n = donors.count()
+    ranges = -(-n // RANGE)
+    cuts = np.unique(donors.approxQuantile("p", [i / ranges for i in range(1, ranges)], 0.1 / ranges)) if ranges > 1 else np.zeros(0)
+    held = df.sparkSession.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("int")
+    def number_of(p: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(held.value, p.to_numpy(float), side="right").astype(np.int32))
+
+    @F.pandas_udf("array<int>")
+    def others(p: pd.Series, reach: pd.Series, own: pd.Series) -> pd.Series:
+        low, high = (np.searchsorted(held.value, p + sign * (reach * (1 + 1e-9) + 1e-12), side="right") for sign in (-1, 1))
+        return pd.Series([[s for s in range(a, b + 1) if s != o] for a, b, o in zip(low, high, own, strict=True)])
+
+    donors = donors.withColumn("s", number_of("p")).drop("p")
+    asked = work.where(target.isNull()).select(*names).distinct().withColumn("p", spot()).withColumn("s", number_of("p"))
+    first = _searched(asked.select(*names, "s"), donors, names, k)
+    reach = F.when(F.size("best") >= min(k, n), F.sqrt(F.element_at("best", -1)["d"])).otherwise(F.lit(float("inf")))
+    again = first.withColumn("p", spot()).withColumn("s", F.explode(others("p", reach, number_of("p")))).select(*names, "s")
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
+    found = first.unionByName(_searched(again, donors, names, k)).groupBy(*names).agg(best.alias("best"))
+    guess = F.aggregate("best", F.lit(0.0), lambda a, b: a + b["y"]) / F.size("best")
+    return work.join(found.select(*names, guess.alias("_found")), names, "left").withColumn("_guess", F.when(target.isNull(), F.col("_found"))).select(*map(name, df.columns), "_guess")
 
 
 def _nearest(df: DataFrame, column: str, context: ToolContext, whiten: bool) -> DataFrame:
     x, others = number(df, column), list(predictors(df, column, context).values())
     if not others:
         return mean_imputer(df, column, context)
-    pool = donors(df, x, others, context.seed)
-    if pool.empty:
-        return df
     _, means, cov = moments(df, others)
     if whiten:
         values, vectors = np.linalg.eigh(cov)
@@ -185,26 +255,12 @@ def _nearest(df: DataFrame, column: str, context: ToolContext, whiten: bool) ->
         turn = vectors[:, keep] / np.sqrt(values[keep])
     else:
         turn = np.diag(1 / np.sqrt(np.where(np.diag(cov) > 0, np.diag(cov), 1.0)))
-    k, y = min(context.options.get("neighbours", NEIGHBOURS), len(pool)), pool["y"].to_numpy()
-    held = df.sparkSession.sparkContext.broadcast(((pool.iloc[:, 1:].to_numpy() - means) @ turn, y))
-
-    @F.pandas_udf("double")
-    def guess(rows: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        at, values = held.value
-        norms = (at**2).sum(axis=1)
-        for batch in rows:
-            gap, own = batch[0].to_numpy(bool), np.stack([c.to_numpy(float) for c in batch[1:]], axis=1)
-            out = np.full(len(own), np.nan)
-            wanted = np.flatnonzero(gap)
-            for some in np.array_split(wanted, max(1, len(wanted) // 64)) if len(wanted) else []:
-                q = (own[some] - means) @ turn
-                distance = norms - 2 * q @ at.T
-                near = np.argsort(distance, axis=1, kind="stable")[:, :k]
-                out[some] = values[near].mean(axis=1)
-            yield pd.Series(out)
-
-    found = guess(x.isNull(), *others)
-    return filled(df, column, present(found, T.DoubleType()))
+    about = [c - float(m) for c, m in zip(others, means, strict=True)]
+    coordinates = [sum((c * float(w) for c, w in zip(about, column_of, strict=True)), F.lit(0.0)) for column_of in turn.T]
+    if not coordinates:
+        return mean_imputer(df, column, context)
+    found = nearest(df, x, coordinates, context.options.get("neighbours", NEIGHBOURS))
+    return filled(found, column, F.col("_guess")).drop("_guess")
 
 
 @register("knn_imputer")
@@ -221,21 +277,16 @@ def mahalanobis_knn_imputer(df: DataFrame, column: str, context: ToolContext) ->
 
 @register("pmm_imputer")
 def pmm_imputer(df: DataFrame, column: str, context: ToolContext) -> DataFrame:
-    """Predictive mean matching: the value of the donor whose prediction is nearest, the lower one of two."""
+    """Predictive mean matching: the value of the donor whose prediction is nearest, in the order of (prediction, value); the one below if two are equally near.
+
+    Of donors with one prediction the greatest value is taken from below, the least at or above. All
+    donors are searched, by windows over ranges of the predictions.
+    """
     x, others = number(df, column), list(predictors(df, column, context).values())
     value = regression(df, x, others)
     if value is None:
         return filled(df, column, F.lit(mode(df, column)).cast(kind_of(df, column)))
-    pool = donors(df, x, [value], context.seed).sort_values(["p0", "y"], kind="stable")
-    held = df.sparkSession.sparkContext.broadcast((pool["p0"].to_numpy(), pool["y"].to_numpy()))
-
-    @F.pandas_udf("double")
-    def match(guesses: pd.Series) -> pd.Series:
-        at, y = held.value
-        g = guesses.to_numpy(float)
-        right = np.clip(np.searchsorted(at, g), 0, len(at) - 1)
-        left = np.maximum(right - 1, 0)
-        chosen = np.where(np.abs(g - at[left]) <= np.abs(at[right] - g), left, right)
-        return pd.Series(y[np.searchsorted(at, at[chosen])])
-
-    return filled(df, column, F.when(x.isNull(), match(value)).cast(kind_of(df, column)))
+    known, guess = x.isNotNull(), F.col("_prediction")
+    rows = around(df.withColumn("_prediction", value), {"0": x, "1": F.when(known, guess)}, [guess, known, x], [])
+    below = F.coalesce(guess - F.col("_last_1") <= (F.col("_next_1") - guess) * (1 + 1e-9), F.col("_next_1").isNull())
+    return filled(rows, column, F.when(below, F.col("_last_0")).otherwise(F.col("_next_0")).cast(kind_of(df, column))).select(*map(name, df.columns))

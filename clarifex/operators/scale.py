@@ -88,8 +88,8 @@ def z_filter(df: DataFrame, column: str, limit: float = 3.5) -> DataFrame:
     return df.where(x.isNull() | (F.abs((x - mean) / std) <= limit))
 
 
-#: Trees of the forest, and values in the sample that each is grown on.
-TREES, TREE_SAMPLE = 100, 256
+#: Trees of the forest, values that each is grown on, and rows (about) that these are drawn from.
+TREES, TREE_SAMPLE, SAMPLE = 100, 256, 20_000
 
 
 def isolation_depths(values: np.ndarray, seed: int, trees: int = TREES, size: int = TREE_SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
@@ -122,12 +122,17 @@ def isolation_depths(values: np.ndarray, seed: int, trees: int = TREES, size: in
 def isolation_forest_outlier_remover(df: DataFrame, column: str, context: ToolContext) -> DataFrame:
     """Rows whose isolation score is at most options["score"] (0.7 by default), and rows without a value.
 
-    The forest is grown on a sample of at most 20,000 values, drawn by a seeded hash of the value, and scored in
-    Arrow batches. Fewer than 8 values: no row goes.
+    The forest is grown on a sample of about SAMPLE rows and scored in Arrow batches: of the n rows with one
+    value, n * SAMPLE / all are drawn, rounded up or down by a seeded hash of the value, so each row is as
+    likely as any other and the sample does not depend on partitions. Fewer than 8 values: no row goes.
     """
     x = number(df, column)
     rows = df.select(x.alias("x")).where("x is not null")
-    sample = rows.orderBy(F.xxhash64(F.lit(context.seed), "x"), "x").limit(20_000).toPandas()["x"].to_numpy()
+    if (n := rows.count()) < 8:
+        return df
+    chance = F.pmod(F.xxhash64(F.lit(context.seed), "x"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.groupBy("x").count().select("x", F.floor(F.col("count") * min(1.0, SAMPLE / n) + chance * float(n > SAMPLE)).alias("times")).where("times > 0").orderBy("x").toPandas()
+    sample = np.repeat(drawn["x"].to_numpy(float), drawn["times"].to_numpy(np.int64))
     if len(sample) < 8:
         return df
     breaks, depths, normal = isolation_depths(sample, context.seed)

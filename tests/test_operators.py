@@ -211,4 +211,108 @@ def test_empty_frames(spark):
         assert apply(numbers, tool, "x").collect() == []
     for tool in ("empty_string_imputer", "flag_missing_text", "nlp_text_cleaner", "smote_oversampler_prep", "missforest_categorical_imputer", "datetime_caster"):
         assert apply(texts, tool, "x").collect() == []
-    assert model.DONORS and scale.TREES
+    assert model.RANGE and scale.TREES
+
+
+def gapped(spark, n=60, parts=3):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(5, 2, n), rng.integers(0, 9, n)
+    x = 3 * a - b + rng.normal(0, 0.3, n)
+    rows = [(k, float(a[k]), int(b[k]), None if k % 6 == 0 else float(x[k])) for k in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, a double, b long, x double").repartition(parts)
+
+
+@pytest.mark.parametrize("tool,centred", [("svd_matrix_factorization", False), ("autoencoder_deep_imputer", True)])
+def test_low_rank_against_numpy(spark, tool, centred):
+    rows, df = gapped(spark)
+    got = {r.id: r.x for r in apply(df, tool, "x", ToolContext(options={"columns": ["a", "b"], "rank": 1, "rounds": 4})).collect()}
+    data = np.array([[np.nan if v is None else v for v in (r[3], r[1], r[2])] for r in rows], float)
+    scaled = data / np.nanstd(data, axis=0)
+    gap = np.isnan(scaled[:, 0])
+    scaled[gap, 0] = np.nanmean(scaled[:, 0])
+    for _ in range(4):
+        about = scaled.mean(axis=0) if centred else np.zeros(3)
+        _, _, v = np.linalg.svd(scaled - about, full_matrices=False)
+        scaled[gap, 0] = (about + (scaled - about) @ v[:1].T @ v[:1])[gap, 0]
+    assert np.allclose([got[r[0]] for r in rows], scaled[:, 0] * np.nanstd(data[:, 0]))
+
+
+@pytest.mark.parametrize("tool", ["knn_imputer", "mahalanobis_knn_imputer"])
+def test_neighbours_over_many_ranges_against_all_pairs(spark, monkeypatch, tool):
+    """Donors in several ranges, rows in several bundles, donors at one point."""
+    monkeypatch.setattr(model, "RANGE", 7)
+    monkeypatch.setattr(model, "SENT", 2)
+    rows, _ = gapped(spark)
+    rows += [(1000 + k, 5.0, 4, 10.0 * k) for k in range(4)] + [(2000 + k, 5.0, 4, None) for k in range(9)]
+    df = spark.createDataFrame(rows, "id long, a double, b long, x double").repartition(3)
+    got = {r.id: r.x for r in apply(df, tool, "x", ToolContext(options={"columns": ["a", "b"]})).collect()}
+    z = np.array([r[1:3] for r in rows], float)
+    whiten = np.linalg.inv(np.cov(z.T, bias=True) if tool.startswith("maha") else np.diag(z.var(axis=0)))
+    donors = {}
+    for r in rows:
+        if r[3] is not None:
+            donors.setdefault(r[1:3], []).append(r[3])
+    for r in rows:
+        if r[3] is None:
+            far = sorted(((np.subtract(p, r[1:3]) @ whiten @ np.subtract(p, r[1:3])), np.mean(y)) for p, y in donors.items())
+            assert got[r[0]] == pytest.approx(np.mean([y for _, y in far[:5]]))
+        else:
+            assert got[r[0]] == r[3]
+
+
+def test_isolation_scores_against_walks_down_the_trees(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate((rng.normal(0, 1, 200), [30.0, -25.0], np.full(50, 2.0)))
+    breaks, depths, normal = scale.isolation_depths(values, 5, trees=7, size=16)
+    rng, want = np.random.default_rng(5), np.zeros(len(values))
+    expected = lambda n: 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+    for _ in range(7):
+        cuts, stack, leaves = {}, [(rng.choice(values, 16, replace=False), 0, ())], {}
+        while stack:
+            part, depth, way = stack.pop()
+            if depth >= 4 or len(part) <= 1 or part.min() == part.max():
+                leaves[way] = depth + expected(len(part))
+                continue
+            cuts[way] = at = rng.uniform(part.min(), part.max())
+            stack += [(part[part < at], depth + 1, (*way, 0)), (part[part >= at], depth + 1, (*way, 1))]
+        for k, x in enumerate(values):
+            way = ()
+            while way in cuts:
+                way = (*way, int(x >= cuts[way]))
+            want[k] += leaves[way] / 7
+    assert np.allclose(depths[np.searchsorted(breaks, values, side="right")], want) and normal == expected(16)
+
+
+def test_isolation_sample_is_of_rows(spark, monkeypatch):
+    """Frequent values are as frequent in the sample, however the rows are dealt."""
+    drawn = []
+    monkeypatch.setattr(scale, "SAMPLE", 1000)
+    monkeypatch.setattr(scale, "isolation_depths", lambda values, seed: drawn.append(np.unique(values, return_counts=True)) or (np.zeros(0), np.zeros(1), 1.0))
+    df = spark.range(50_000).selectExpr("cast(id % 50 as double) as x", "id as i")
+    for rows in (df, df.repartition(5)):
+        apply(rows, "isolation_forest_outlier_remover", "x")
+    assert (drawn[0][1] == 20).all() and len(drawn[0][0]) == 50 and (drawn[0][1] == drawn[1][1]).all()
+
+
+def test_windows_over_text_and_several_keys(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"k{rng.integers(0, 30):02d}", int(rng.integers(0, 4)), k % 2, None if rng.random() < 0.6 else float(k)) for k in range(200)]
+    df = spark.createDataFrame(rows, "a string, b long, g long, x double").dropDuplicates(["a", "b", "g"])
+    for parts in ((), ("g",)):
+        context = ToolContext(order_by=("a", "b", "g"), partition_by=parts)
+        got = {(r.a, r.b, r.g): r.x for r in apply(df.repartition(5), "ffill_bfill_imputer", "x", context).collect()}
+        for group in {0, 1} if parts else {None}:
+            own = sorted((r.a, r.b, r.g, r.x) for r in df.collect() if group in (None, r.g))
+            want, last = [], None
+            for r in own:
+                last = r[3] if r[3] is not None else last
+                want.append(last)
+            first = next((r[3] for r in own if r[3] is not None), None)
+            assert [got[r[:3]] for r in own] == [first if w is None else w for w in want]
+
+
+def test_whole_numbers_too_large_for_a_float_stay(spark):
+    df = spark.createDataFrame([(2**24 + 1, float(2**24 + 1), 0.5), (None, None, 3e7)], "a long, b double, c double")
+    for c in "abc":
+        df = type_caster(df, c, target_type="cast:Float32")
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "float"] and df.first()[:2] == (2**24 + 1, 2**24 + 1)
