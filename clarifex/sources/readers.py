@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import csv
+import gzip
 import io
 import warnings
 import zipfile
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
+from itertools import islice
 
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clarifex.errors import FormatError, MemoryLimitError, SecurityError, ValidationError
 from clarifex.functions.columns import NULL_TOKENS, name, null_standardize
 from clarifex.sources.excel import ExcelDataSource
-from clarifex.sources.sniff import SNIFF_BYTES, Dialect, sniff
+from clarifex.sources.sniff import SNIFF_BYTES, Dialect, head_of, sniff
 
 TEXTS, BOOKS = (".csv", ".tsv", ".txt"), (".xlsx", ".xls")
-#: Bytes that are read whole on the driver (workbooks, zip archives) at most.
+#: Bytes of a workbook, which is read whole on the driver, at most.
 WHOLE_BYTES = 256 << 20
 #: Encodings that Spark's readers know, by the names that are sniffed.
 SPARK_ENCODINGS = {"latin-1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1", "utf-8": "UTF-8"}
@@ -34,6 +36,9 @@ class DataLoader:
 
     fault_tolerance is about lines with more fields than the header: skip and warn drop them, error fails.
     Shorter lines are filled with nulls. Text columns are typed after null tokens are taken out.
+    A folder is read as its first file says: its format, dialect and compression. Text is split among
+    tasks line by line; where a quoted field has a line break, and for zip archives and encodings that
+    Spark does not know, a file (of at most 2 GB, Spark's bound for one value) is one task.
     """
 
     spark: SparkSession
@@ -67,10 +72,17 @@ class DataLoader:
         if not self.is_folder and not self.bytes:
             raise SecurityError(f"{self.filepath} is empty")
         self.suffix, self.compression = self._kind(str(self.filepath))
+        if self.is_folder:
+            held = sorted((f.getPath().getName(), f) for f in self._fs.listStatus(self._path) if f.isFile() and f.getLen() and f.getPath().getName()[0] not in "._")
+            if held:
+                self._path, self.bytes = held[0][1].getPath(), held[0][1].getLen()
+                inner, self.compression = self._kind(held[0][0])
+                self.suffix = self.suffix if self.suffix in (*TEXTS, ".json", ".jsonl", ".parquet", ".pq") else inner
         self.dialect = Dialect(compression=self.compression)
-        if self.suffix in TEXTS and not self.is_folder:
-            whole = self._bytes(self.bytes if self.compression == "zip" else max(self.sniff_bytes, 1 << 16))
-            self.dialect = sniff(whole, self.compression, self.fallback_encodings, self.possible_delimiters, self.detect_metadata_headers, self.sniff_bytes)
+        if self.suffix in TEXTS and self.bytes:
+            head = self._zip_head() if self.compression == "zip" else self._bytes(max(self.sniff_bytes, 1 << 16))
+            found = sniff(head, "none" if self.compression == "zip" else self.compression, self.fallback_encodings, self.possible_delimiters, self.detect_metadata_headers, self.sniff_bytes)
+            self.dialect = replace(found, compression=self.compression)
         self._cached: DataFrame | None = None
 
     @staticmethod
@@ -97,54 +109,76 @@ class DataLoader:
         """How the source is read."""
         return {"encoding": self.dialect.encoding, "delimiter": self.dialect.delimiter, "skiprows": self.dialect.skip_rows, "compression": self.compression, "na_values": NULL_TOKENS if self.standardize_nulls else None}
 
-    def _lines(self) -> DataFrame:
-        """The text as lines, in files' order; encodings that Spark does not know are decoded here."""
-        encoding = SPARK_ENCODINGS.get(self.dialect.encoding)
-        if self.compression == "zip":
-            with zipfile.ZipFile(io.BytesIO(self._bytes(self.bytes))) as z:
-                text = z.read(z.namelist()[0]).decode(self.dialect.encoding)
-            return self.spark.createDataFrame([(x,) for x in text.splitlines()], "value string")
-        if encoding == "UTF-8":
-            return self.spark.read.text(str(self.filepath))
-        own = encoding or self.dialect.encoding
-        # Bytes come through as Latin-1 characters, one each, and are decoded anew where that is not the encoding.
-        raw = self.spark.read.option("encoding", "ISO-8859-1").option("sep", "\u0001").option("quote", "\u0002").option("header", False).schema("value string").csv(str(self.filepath))
-        if own == "ISO-8859-1":
-            return raw
-
-        @F.pandas_udf("string")
-        def decoded(lines: pd.Series) -> pd.Series:
-            return lines.map(lambda x: x if x is None else x.encode("latin-1").decode(own))
-
-        return raw.select(decoded("value").alias("value"))
+    def _zip_head(self) -> bytes:
+        """The first bytes of the archive's first member, unpacked by an executor."""
+        size = max(self.sniff_bytes, 1 << 16)
+
+        def head(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in files:
+                for content in batch["content"]:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(z.namelist()[0]) as f:
+                        yield pd.DataFrame({"head": [f.read(size)]})
+
+        return bytes(self.spark.read.format("binaryFile").load(str(self._path)).select("content").mapInPandas(head, "head binary").first()[0])
+
+    def _head_lines(self) -> list[str]:
+        head = self._zip_head() if self.compression == "zip" else head_of(self._bytes(max(self.sniff_bytes, 1 << 16)), self.compression, 1 << 20)
+        return head.decode(self.dialect.encoding, errors="replace").removeprefix("\ufeff").splitlines()
+
+    def _whole_files(self, ahead: int, columns: list[str]) -> DataFrame:
+        """Fields as texts, parsed a file at a time by Python; the first ``ahead`` lines are left out."""
+        sep, encoding, compression = self.dialect.delimiter, self.dialect.encoding, self.compression
+
+        def records(content: bytes) -> Iterator[list[str]]:
+            if compression == "zip":
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    content = z.read(z.namelist()[0])
+            elif compression == "gzip":
+                content = gzip.decompress(content)
+            lines = io.TextIOWrapper(io.BytesIO(content), encoding, newline="")
+            for _ in islice(lines, ahead):
+                pass
+            return csv.reader(lines, delimiter=sep)
+
+        def parsed(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            csv.field_size_limit(2**31 - 1)
+            for batch in files:
+                for content in batch["content"]:
+                    rows = (r for r in records(content) if any(x.strip() for x in r) or len(r) > 1)
+                    while some := list(islice(rows, 10_000)):
+                        yield pd.DataFrame([[x or None for x in r[: len(columns)]] + [None] * (len(columns) - len(r)) for r in some], columns=columns, dtype=object)
+
+        return self.spark.read.format("binaryFile").load(str(self.filepath)).select("content").mapInPandas(parsed, ", ".join(f"{c} string" for c in columns))
+
+    def _breaks_lines(self) -> bool:
+        """Whether a quoted field may have a line break: a line then has an odd number of quotes."""
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        return bool(self.spark.read.text(str(self.filepath)).where(quotes % 2 == 1).take(1))
 
     def _csv(self) -> DataFrame:
-        sep = self.dialect.delimiter
-        options = {"sep": sep, "header": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-        if self.is_folder:
-            return self._tidy(self.spark.read.options(**options).csv(str(self.filepath)))
-        lines = self._lines()
-        if self.dialect.skip_rows:
-            # Titles stand in the head of the file, which is in its first partition.
-            ahead = lines.rdd.zipWithIndex().filter(lambda x, n=self.dialect.skip_rows: x[1] >= n).map(lambda x: x[0][0])
-            header = ahead.filter(lambda line: bool(line and line.strip())).first()
+        sep, skip = self.dialect.delimiter, self.dialect.skip_rows
+        options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+        lines = self._head_lines()
+        at = next((k for k, line in enumerate(lines) if k >= skip and line.strip()), 0)  # the header's place
+        names = next(csv.reader([lines[at]], delimiter=sep)) if lines else []
+        columns = [f"c{k}" for k in range(len(names) + 1)]  # one more shows lines that are too long
+        schema, encoding = ", ".join(f"{c} string" for c in columns), SPARK_ENCODINGS.get(self.dialect.encoding)
+        if not encoding or self.compression == "zip" or (skip and (self.is_folder or encoding != "UTF-8")) or ((broken := self._breaks_lines()) and skip):
+            rows = self._whole_files(at + 1, columns)
+        elif not skip:
+            rows = self.spark.read.options(**options, header=True, encoding=encoding, multiLine=broken).schema(schema).csv(str(self.filepath))
         else:
-            ahead = None
-            header = lines.where(F.length(F.trim("value")) > 0).first()[0]
-        names = next(csv.reader([header], delimiter=sep))
-        schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names) + 1)])  # one more shows lines that are too long
-        encoding = SPARK_ENCODINGS.get(self.dialect.encoding)
-        if ahead is None and encoding and self.compression != "zip":
-            rows = self.spark.read.options(**options, encoding=encoding).schema(schema).csv(str(self.filepath))
-        else:  # lines that were decoded or cut here are parsed as lines
-            ahead = lines.rdd.map(lambda r: r[0]) if ahead is None else ahead
-            rows = self.spark.read.options(**options | {"header": False}).schema(schema).csv(ahead.filter(lambda line, h=header: line != h))
-        extra = F.col(f"c{len(names)}").isNotNull()
+            # Titles and header stand in the file's first block, the first of its partition; they go by their place.
+            place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+            text = self.spark.read.text(str(self.filepath)).select("value", F.col("_metadata.file_block_start").alias("block"), place.alias("place"))
+            text = text.where(((F.col("block") > 0) | (F.col("place") > at)) & (F.length(F.trim("value")) > 0))
+            rows = text.select(F.from_csv("value", schema, options).alias("r")).select("r.*")
+        extra = F.col(columns[-1]).isNotNull()
         if self.fault_tolerance == "error":
             extra = F.when(extra, F.raise_error(F.lit("a line has more fields than the header"))).otherwise(False)
         elif self.fault_tolerance == "warn" and (bad := rows.where(extra).count()):
             warnings.warn(f"{bad} lines with more fields than the header are left out", stacklevel=3)
-        flat = rows.where(~extra).drop(f"c{len(names)}")
+        flat = rows.where(~extra).drop(columns[-1])
         return self._tidy(flat.toDF(*self._unique(names)))
 
     @staticmethod
@@ -177,8 +211,6 @@ class DataLoader:
     def _json(self) -> DataFrame:
         head = b"" if self.is_folder else self._bytes(1 << 16)
         if self.compression == "gzip":
-            from clarifex.sources.sniff import head_of
-
             head = head_of(head, "gzip")
         array = head.lstrip(b"\xef\xbb\xbf \t\r\n")[:1] == b"["
         return self.spark.read.option("multiLine", array).json(str(self.filepath))

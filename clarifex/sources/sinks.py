@@ -49,13 +49,18 @@ def write(df: DataFrame, destination: str, single_file: bool = False, max_record
 
 def _write(rows: DataFrame, destination: str, kind: str, single_file: bool, max_records: int) -> None:
     folder = f"{destination.rstrip('/')}.{uuid.uuid4().hex}.tmp" if single_file else destination
-    writer = (rows.coalesce(1) if single_file else rows).write.mode("overwrite").option("maxRecordsPerFile", 0 if single_file else max_records)
+    writer = (rows.repartition(1) if single_file else rows).write.mode("overwrite").option("maxRecordsPerFile", 0 if single_file else max_records)
     writer.option("header", True).option("escape", '"').csv(folder) if kind == "csv" else getattr(writer, kind)(folder)
     if single_file:
         jvm, context = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext
         at, to = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(destination)
         fs = at.getFileSystem(context._jsc.hadoopConfiguration())
         part = next(s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-"))
-        fs.delete(to, True)
-        fs.rename(part, to)
+        # The old file goes last, by the rename itself where the file system can replace.
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), context._jsc.hadoopConfiguration())
+        if fs.exists(to) and fs.getFileStatus(to).isDirectory():
+            fs.delete(to, True)
+        modes = context._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        modes[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files.rename(fs.makeQualified(part), fs.makeQualified(to), modes)
         fs.delete(at, True)

@@ -127,3 +127,28 @@ def test_cache(spark, tmp_path):
     loader = DataLoader(spark, put(tmp_path, "a.csv", "a,b\n1,2\n"), cache_in_memory=True)
     assert loader.load() is loader.reset()
     loader.load().unpersist()
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    text = 'a,b\n1,"two\nlines, and ""quotes"""\n2,plain\n'
+    want = [(1, 'two\nlines, and "quotes"'), (2, "plain")]
+    assert rows(read(spark, put(tmp_path, "a.csv", text))) == want
+    assert rows(read(spark, put(tmp_path, "b.csv", "a title\n" + text))) == want
+    assert rows(read(spark, put(tmp_path, "c.csv.gz", gzip.compress(text.encode())))) == want
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
+        z.writestr("d.csv", text)
+    assert rows(read(spark, str(tmp_path / "d.zip"))) == want
+
+
+def test_rows_that_equal_the_header_stay(spark, tmp_path):
+    for titles in ("", "made by hand\n\n"):
+        df = read(spark, put(tmp_path, "a.csv", titles + "x,y\na,b\nx,y\nc,d\n"))
+        assert df.columns == ["x", "y"] and rows(df) == [("a", "b"), ("c", "d"), ("x", "y")]
+
+
+@pytest.mark.parametrize("titles", ["", "one\ntwo\n"])
+def test_folders_of_text(spark, tmp_path, titles):
+    for k in range(3):
+        put(tmp_path, f"part{k}.csv", f"{titles}id;name\n{k};n{k}\n{k + 10};m{k};too;long\n{k + 20};o{k}\n")
+    df = read(spark, str(tmp_path))
+    assert df.dtypes == [("id", "bigint"), ("name", "string")] and sorted(rows(df)) == [(k, f"n{k}") for k in range(3)] + [(k + 20, f"o{k}") for k in range(3)]
