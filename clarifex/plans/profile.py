@@ -1,4 +1,4 @@
-"""Column statistics of a whole DataFrame, from one aggregation over all columns.
+"""Column statistics of a whole DataFrame, from one aggregation over all columns and one of their values.
 
 ``profile_row`` builds the aggregation; ``profile`` melts its one row into a row for each column;
 ``collect_profile`` brings it to the driver as plain dictionaries, which the blueprint is made of.
@@ -34,7 +34,8 @@ def _base(column: str, kind: T.DataType, approximate: bool) -> dict[str, Column]
     if is_nested(kind) or isinstance(kind, T.BinaryType):
         return out
     numeric, text = is_numeric(kind), x.cast("string")
-    out["distinct_count"] = F.approx_count_distinct(x) if approximate else F.count_distinct(x)
+    if approximate:
+        out["distinct_count"] = F.approx_count_distinct(x)
     if isinstance(kind, T.BooleanType):
         out["only_bits"] = F.lit(True)
     elif numeric:
@@ -88,6 +89,25 @@ def _derived(column: str, kind: T.DataType, get, whitespace_is_null: bool) -> di
     }
 
 
+def _distinct(df: DataFrame, kinds: dict[str, T.DataType], place: dict[str, dict[str, str]]) -> DataFrame:
+    """One row with the exact distinct counts of the columns in ``place``, by one grouping of (column, value) pairs.
+
+    Values go as short texts, long ones as their MD5. Pairs are grouped before they are shuffled, so
+    frequent values and columns move little. Several distinct aggregates at once would copy each row
+    with all its columns once for each of them.
+    """
+    pairs = []
+    for k, (column, own) in enumerate(place.items()):
+        if "distinct_count" in own:
+            x, kind = present(name(column), kinds[column]), kinds[column]
+            value = F.unix_micros(x) if isinstance(kind, T.TimestampType) else x + 0.0 if isinstance(kind, (T.FloatType, T.DoubleType)) else x  # -0.0 is 0.0
+            text = value.cast("string")
+            text = F.when(F.length(text) > 40, F.md5(text.cast("binary"))).otherwise(text) if isinstance(kind, T.StringType) else text
+            pairs.append(F.struct(F.lit(k).alias("k"), text.alias("v")))
+    counts = df.select(F.inline(F.array(*pairs))).where("v is not null").distinct().groupBy("k").count()
+    return counts.agg(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("count"))), F.lit(0)).alias(own["distinct_count"]) for k, own in enumerate(place.values()) if "distinct_count" in own])
+
+
 def profile_row(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> tuple[DataFrame, dict[str, dict[str, str]]]:
     """One row with the aggregates of all columns, and where each is: column -> statistic -> name in the row."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -99,7 +119,11 @@ def profile_row(df: DataFrame, columns: list[str] | None = None, approximate: bo
         for stat, value in _base(column, kinds[column], approximate).items():
             place[column][stat] = f"c{k}_{stat}"
             found.append(value.alias(f"c{k}_{stat}"))
-    return df.agg(*(found or [F.count(F.lit(1)).alias("rows")])), place
+        if not approximate and not is_nested(kinds[column]) and not isinstance(kinds[column], T.BinaryType):
+            place[column]["distinct_count"] = f"c{k}_distinct_count"
+    row = df.agg(*(found or [F.count(F.lit(1)).alias("rows")]))
+    exact = not approximate and any("distinct_count" in own for own in place.values())
+    return row.crossJoin(F.broadcast(_distinct(df, kinds, place))) if exact else row, place  # one row each
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, approximate: bool = False, whitespace_is_null: bool = True) -> DataFrame:

@@ -48,7 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clarifex-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="clarifex-")
     return f"{base.rstrip('/')}/queries-{uuid.uuid4().hex}"
 
 
@@ -235,6 +239,39 @@ def blueprint_orders(spark, sf_dir):
     return planned(profile(gapped_orders(spark, sf_dir), ["o_orderkey", "o_custkey", "o_totalprice"]))
 
 
+BRANCHES = {
+    "all_null": ("CASE WHEN event_id < 0 THEN value END", lambda k, v: F.when(k < 0, v)),
+    "zero_inflated": ("CASE WHEN event_id % 20 <> 0 THEN CASE WHEN event_id % 5 < 2 THEN 0 ELSE event_id % 100 END END", lambda k, v: F.when(k % 20 != 0, F.when(k % 5 < 2, 0).otherwise(k % 100).cast("double"))),
+    "volatile": ("event_id % 21 - 9.5", lambda k, v: k % 21 - 9.5),
+    "tall": ("power((event_id % 100) / 100.0, 20)", lambda k, v: F.pow(k % 100 / 100.0, F.lit(20.0))),
+}
+
+
+def branches(spark, sf_dir, names: list[str]) -> DataFrame:
+    return table(spark, sf_dir, "events").select(*[BRANCHES[n][1](F.col("event_id"), F.col("value")).alias(n) for n in names])
+
+
+@query(NUMERIC_PLAN.format(stats=" UNION ALL ".join(NUMERIC_STATS.format(c=c, e=BRANCHES[c][0], t="events") for c in ("all_null", "zero_inflated", "volatile"))))
+def blueprint_branches(spark, sf_dir):
+    return planned(profile(branches(spark, sf_dir, ["all_null", "zero_inflated", "volatile"])))
+
+
+@query(NUMERIC_PLAN.replace("> 3.5 OR kurt > 3 ", "> 1000 OR kurt > 1000 ").format(stats=NUMERIC_STATS.format(c="tall", e=BRANCHES["tall"][0], t="events")))
+def blueprint_box_cox(spark, sf_dir):
+    return planned(profile(branches(spark, sf_dir, ["tall"])), outlier_z_threshold=1000.0, kurtosis_threshold=1000.0)
+
+
+@query("SELECT * FROM (VALUES ('o_custkey', 'ffill_bfill_imputer', 'cast:Float32'), ('o_totalprice', 'spline_interpolation', 'cast:Float32'), ('o_orderdate', 'datetime_caster,ffill_bfill_imputer,temporal_feature_extractor', 'cast:datetime64[ns]')) t(column_name, tools, target_type)")
+def blueprint_time_series(spark, sf_dir):
+    rows = gaps(table(spark, sf_dir, "orders"), "o_orderkey", o_custkey=9, o_totalprice=9, o_orderdate=9)
+    return planned(profile(rows, ["o_custkey", "o_totalprice", "o_orderdate"]), is_time_series=True)
+
+
+@query("SELECT * FROM (VALUES ('o_orderpriority', 'mode_imputer,smote_oversampler_prep,regex_whitespace_cleaner', 'cast:category'), ('o_orderstatus', 'smote_oversampler_prep,regex_whitespace_cleaner', 'cast:category')) t(column_name, tools, target_type)")
+def blueprint_deep(spark, sf_dir):
+    return planned(profile(gapped_orders(spark, sf_dir), ["o_orderpriority", "o_orderstatus"]), deep_learning=True)
+
+
 # Missing values
 
 @query("SELECT event_id, CASE WHEN t NOT IN ('?', 'N/A', 'n/a', 'NA', 'na', 'null', 'Null', 'NULL', '#N/A', '#N/A N/A', '#DIV/0!', '#VALUE!', ' ', '') THEN t END AS t FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'N/A' WHEN 1 THEN '' WHEN 2 THEN '#DIV/0!' ELSE event_type END AS t FROM events)")
@@ -263,6 +300,22 @@ LINE = """
                last_value(CASE WHEN o_totalprice IS NOT NULL THEN o_orderkey END IGNORE NULLS) OVER p AS ka, first_value(CASE WHEN o_totalprice IS NOT NULL THEN o_orderkey END IGNORE NULLS) OVER n AS kb
         FROM {t} WINDOW p AS (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 """
+# The nearest donors: all pairs of a row with a gap and one without, by standardised or whitened keys.
+NEIGHBOURS = """
+    WITH t AS (SELECT * FROM {t}), s AS (SELECT var_pop(o_orderkey) AS kk, var_pop(o_custkey) AS cc, covar_pop(o_orderkey, o_custkey) AS kc FROM t),
+    pairs AS (SELECT g.o_orderkey, d.o_totalprice AS y, g.o_orderkey - d.o_orderkey AS dk, g.o_custkey - d.o_custkey AS dc FROM t g JOIN t d ON g.o_totalprice IS NULL AND d.o_totalprice IS NOT NULL),
+    near AS (SELECT o_orderkey, list_avg(arg_min(y, {distance}, 5)) AS guess FROM pairs, s GROUP BY o_orderkey)
+    SELECT o_orderkey, round(coalesce(o_totalprice, guess), 4) AS o_totalprice FROM t LEFT JOIN near USING (o_orderkey)
+"""
+MATCHES = """
+    WITH t AS (SELECT * FROM {t}),
+    s AS (SELECT avg(o_totalprice) AS my, avg(o_orderkey) AS mk, avg(o_custkey) AS mc, var_pop(o_orderkey) AS kk, var_pop(o_custkey) AS cc, covar_pop(o_orderkey, o_custkey) AS kc,
+                 covar_pop(o_orderkey, o_totalprice) AS ky, covar_pop(o_custkey, o_totalprice) AS cy FROM t WHERE o_totalprice IS NOT NULL),
+    p AS (SELECT o_orderkey, o_totalprice AS x, my + (cc * ky - kc * cy) / (kk * cc - kc * kc) * (o_orderkey - mk) + (kk * cy - kc * ky) / (kk * cc - kc * kc) * (o_custkey - mc) AS g FROM t, s),
+    w AS (SELECT o_orderkey, x, g, last_value(x IGNORE NULLS) OVER b AS xb, last_value(CASE WHEN x IS NOT NULL THEN g END IGNORE NULLS) OVER b AS gb, first_value(x IGNORE NULLS) OVER a AS xa, first_value(CASE WHEN x IS NOT NULL THEN g END IGNORE NULLS) OVER a AS ga
+          FROM p WINDOW b AS (ORDER BY g, x IS NOT NULL, x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (ORDER BY g, x IS NOT NULL, x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT o_orderkey, round(coalesce(x, CASE WHEN xa IS NULL OR g - gb <= ga - g THEN xb ELSE xa END), 4) AS o_totalprice FROM w
+"""
 REGRESSION = f"(SELECT regr_intercept(o_totalprice, o_custkey) FROM {ORDER_GAPS}) + (SELECT regr_slope(o_totalprice, o_custkey) FROM {ORDER_GAPS}) * o_custkey"
 PRICE = {"order_by": ("o_orderkey",)}
 for _name, _query, _sql in (
@@ -274,9 +327,9 @@ for _name, _query, _sql in (
     ("impute_linear", imputed("spline_interpolation", **PRICE), LINE.format(t=ORDER_GAPS)),
     ("impute_em", imputed("em_algorithm_imputer", digits=3, options={"columns": ["o_custkey"]}), impute_sql(REGRESSION).replace(", 4)", ", 3)")),
     ("impute_mice", imputed("mice_iterative_imputer", digits=3, options={"columns": ["o_custkey"], "rounds": 1}), impute_sql(REGRESSION).replace(", 4)", ", 3)")),
-    ("impute_pmm", imputed("pmm_imputer"), None),
-    ("impute_knn", imputed("knn_imputer"), None),
-    ("impute_mahalanobis", imputed("mahalanobis_knn_imputer"), None),
+    ("impute_pmm", imputed("pmm_imputer"), MATCHES.format(t=ORDER_GAPS)),
+    ("impute_knn", imputed("knn_imputer"), NEIGHBOURS.format(t=ORDER_GAPS, distance="dk * dk / kk + dc * dc / cc")),
+    ("impute_mahalanobis", imputed("mahalanobis_knn_imputer"), NEIGHBOURS.format(t=ORDER_GAPS, distance="(dk * dk * cc - 2 * dk * dc * kc + dc * dc * kk) / (kk * cc - kc * kc)")),
     ("impute_svd", imputed("svd_matrix_factorization"), None),
     ("impute_autoencoder", imputed("autoencoder_deep_imputer"), None),
     ("impute_gbt", imputed("xgboost_non_linear_imputer", options={"trees": 5}), None),
@@ -291,7 +344,15 @@ def impute_flag_text(spark, sf_dir):
     return tool(gapped_orders(spark, sf_dir).select("o_orderkey", "o_orderpriority"), "flag_missing_text", "o_orderpriority")
 
 
-@query()
+@query("""
+    WITH RECURSIVE c AS (SELECT event_id, CASE WHEN event_id % 20 <> 0 THEN CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE floor(value) END END AS n FROM events),
+    s AS (SELECT count(n)::double AS n, count(*) FILTER (WHERE n = 0)::double AS zeros, avg(n) AS mean FROM c),
+    em AS (
+        SELECT 0 AS step, 0.5 * zeros / n AS extra, mean AS rate, n, zeros, mean FROM s
+        UNION ALL SELECT step + 1, zeros * chance / n, n * mean / greatest(n - zeros * chance, 1e-12), n, zeros, mean
+        FROM (SELECT *, CASE WHEN extra = 0 THEN 0 ELSE extra / (extra + (1 - extra) * exp(-rate)) END AS chance FROM em WHERE step < 200))
+    SELECT event_id, round(coalesce(n, (SELECT (1 - extra) * rate FROM em WHERE step = 200)), 4) AS n FROM c
+""")
 def impute_zero_inflated(spark, sf_dir):
     counts = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 20 != 0, F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(F.floor("value").cast("double"))).alias("n"))
     return tool(counts, "zero_inflated_poisson_imputer", "n").select("event_id", *rounded("n", digits=4))
@@ -306,12 +367,18 @@ def scaled(name: str, **context) -> Query:
     return run
 
 
+YEO_JOHNSON = "(CASE WHEN value >= 0 THEN CASE WHEN p = 0 THEN ln(value + 1) ELSE ((value + 1) ** p - 1) / nullif(p, 0) END ELSE CASE WHEN p = 2 THEN -ln(1 - value) ELSE -((1 - value) ** (2 - p) - 1) / nullif(2 - p, 0) END END)"
 for _name, _query, _sql in (
     ("scale_standard", scaled("standard_scaler"), "SELECT event_id, round((value - avg(value) OVER ()) / stddev_pop(value) OVER (), 6) AS value FROM events"),
     ("scale_robust", scaled("robust_scaler"), "SELECT event_id, round((value - q[2]) / (q[3] - q[1]), 6) AS value FROM events, (SELECT quantile_cont(value, [0.25, 0.5, 0.75]) AS q FROM events)"),
     ("yeo_johnson_fixed", scaled("yeo_johnson_transformer", options={"power": 0.5}), "SELECT event_id, round(CASE WHEN value >= 0 THEN ((value + 1) ** 0.5 - 1) / 0.5 ELSE -((1 - value) ** 1.5 - 1) / 1.5 END, 6) AS value FROM events"),
     ("box_cox_fixed", scaled("box_cox_transformer", options={"power": 0.5}), "SELECT event_id, round(((CASE WHEN lo <= 0 THEN value - lo + 1 ELSE value END) ** 0.5 - 1) / 0.5, 6) AS value FROM events, (SELECT min(value) AS lo FROM events)"),
-    ("yeo_johnson_fitted", scaled("yeo_johnson_transformer"), None),
+    ("yeo_johnson_fitted", scaled("yeo_johnson_transformer"), f"""
+        WITH g AS (SELECT unnest(range(-8, 9)) / 4.0 AS p),
+        s AS (SELECT p, -0.5 * count(*) * ln(var_pop({YEO_JOHNSON})) + (p - 1) * sum(sign(value) * ln(1 + abs(value))) AS score FROM events, g GROUP BY p),
+        best AS (SELECT p FROM s ORDER BY score DESC, abs(p - 1), p DESC LIMIT 1)
+        SELECT event_id, round({YEO_JOHNSON}, 6) AS value FROM events, best
+    """),
     ("isolation_forest", scaled("isolation_forest_outlier_remover"), None),
 ):
     _query.__name__ = _name
@@ -409,6 +476,40 @@ def optimize_headers(spark, sf_dir):
     return SchemaOptimizer().optimize_dataframe(rows)[0]
 
 
+@query("SELECT o_orderkey AS UNNAMED_LEVEL_ROW_0, o_custkey AS a_b_c, o_orderstatus AS a_b_c_1, o_orderpriority AS a_UNNAMED_LEVEL, o_totalprice AS top FROM orders")
+def flatten_collisions(spark, sf_dir):
+    """Levels with blanks about them, a blank level, two paths that flatten alike, and a key without a name."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias(" "), F.struct(F.col("o_custkey").alias("b_c"), F.struct(F.col("o_orderstatus").alias(" c ")).alias("b"), F.col("o_orderpriority").alias(" ")).alias("a"), F.col("o_totalprice").alias("top"))
+    return flatten(rows, index=[" "])[0]
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS unnamed_col, o_totalprice AS email, o_orderstatus AS firstName FROM orders")
+def optimize_headers_options(spark, sf_dir):
+    """A name of one's own, a header of symbols alone, a misspelt term, and one left as it is."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("Order Key"), F.col("o_custkey").alias("--"), F.col("o_totalprice").alias("emial"), F.col("o_orderstatus").alias("first"))
+    return SchemaOptimizer(custom_columns_map={"Order Key": "id", "first": "firstName"}, ai_auto_correct=True, auto_correct_threshold=0.8).optimize_dataframe(rows)[0]
+
+
+@query("SELECT o_orderkey AS key, o_custkey AS customer_key, o_totalprice > 100000 AS high FROM orders")
+def rebuild_flat_headers(spark, sf_dir):
+    """Flat headers kept, keys first, and a new column; without a ledger a frame stays as it is."""
+    o = table(spark, sf_dir, "orders").select(F.struct(F.col("o_custkey").alias("key")).alias("customer"), F.col("o_orderkey").alias("key"))
+    flat, ledger = flatten(o, index=["key"])
+    high = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_totalprice") > 100000).alias("high"))
+    back = SchemaReconstructor().rebuild(flat.join(high, "key"), ledger, keep_optimized_headers=True)
+    return SchemaReconstructor().rebuild(back, None)
+
+
+@query("SELECT o_orderkey AS key, o_custkey AS inner_key, o_orderstatus AS blank FROM orders")
+def rebuild_keys_and_blanks(spark, sf_dir):
+    """Keys back at the front under their own names, a blank level as it was, new columns dropped."""
+    o = table(spark, sf_dir, "orders").select(F.struct(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias(" ")).alias("inner"), F.col("o_orderkey").alias("key"))
+    flat, ledger = flatten(o, index=["key"])
+    back = SchemaReconstructor(unmapped_strategy="drop").rebuild(flat.withColumn("new", F.lit(1)), ledger)
+    return back.select("key", F.col("inner.key").alias("inner_key"), F.col("inner.` `").alias("blank"))
+
+
 # Files and the whole way
 
 def round_trip(suffix: str, single: bool = False) -> Query:
@@ -426,6 +527,31 @@ for _name, _query in (("parquet_roundtrip", round_trip("parquet")), ("json_round
     query("SELECT * FROM customer")(_query)
 
 
+@query("SELECT c_custkey, concat(c_name, chr(10), 'line \"', c_mktsegment, '\"') AS c_note, c_acctbal FROM customer")
+def csv_quoted_lines(spark, sf_dir):
+    """Fields with line breaks, quotes and delimiters."""
+    note = F.concat(F.col("c_name"), F.lit('\nline "'), F.col("c_mktsegment"), F.lit('"'))
+    path = f"{scratch(spark)}/out.csv"
+    write(table(spark, sf_dir, "customer").select("c_custkey", note.alias("c_note"), "c_acctbal"), path, single_file=True)
+    return read(spark, path)
+
+
+@query("SELECT c_custkey, c_name FROM customer UNION ALL SELECT -1, 'c_name'")
+def csv_titles(spark, sf_dir):
+    """Title lines above the header, and a row that repeats part of the header."""
+    c = table(spark, sf_dir, "customer")
+    lines = c.select((F.col("c_custkey") + 10).alias("place"), F.concat_ws(";", "c_custkey", "c_name").alias("value"))
+    head = spark.createDataFrame([(0, "a report"), (1, "made by hand"), (2, "c_custkey;c_name"), (3, "-1;c_name")], "place long, value string")
+    path = f"{scratch(spark)}/titles"
+    head.unionByName(lines).repartition(1).sortWithinPartitions("place").select("value").write.text(path)
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    files.rename(part, fs.Path(f"{path}.csv"))
+    return read(spark, f"{path}.csv")
+
+
 @query(f"SELECT o_orderkey, round(coalesce(o_totalprice, (SELECT avg(o_totalprice) FROM {ORDER_GAPS})), 4) AS o_totalprice, coalesce(o_orderpriority, 'MISSING') AS o_orderpriority, o_orderpriority IS NULL AS o_orderpriority_was_missing FROM {ORDER_GAPS}")
 def purify_strict(spark, sf_dir):
     path = f"{scratch(spark)}/out.parquet"
