@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,13 +22,42 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+# The number formats that show dates and times without saying so in the workbook.
+DATE_FORMATS = {*range(14, 23), *range(45, 48)}
+
+
+def date_styles(z: zipfile.ZipFile) -> set[int]:
+    """The cell styles that show a number as a date or time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    styles = ElementTree.fromstring(z.read("xl/styles.xml"))
+    plain = lambda code: re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", code).lower()  # noqa: E731  without literals, colours and conditions
+    own = {int(f.get("numFmtId")) for f in styles.iter(f"{_MAIN}numFmt") if re.search("[ydhs]|m{2}", plain(f.get("formatCode", "")))}
+    formats = styles.find(f"{_MAIN}cellXfs")
+    return {k for k, x in enumerate(formats if formats is not None else []) if int(x.get("numFmtId", 0)) in DATE_FORMATS | own}
+
+
+def moment(serial: str, from_1904: bool) -> str:
+    """A date's number as text; numbers below 1 are times of day, and what is no number stays."""
+    try:
+        days = float(serial)
+    except ValueError:
+        return serial
+    at = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30)  # days count from a leap day that 1900 did not have
+    at += timedelta(seconds=round(days * 86400))
+    return at.strftime("%H:%M:%S") if 0 <= days < 1 else at.strftime("%Y-%m-%d %H:%M:%S")
+
+
 def first_sheet(data: bytes) -> Iterator[list[str | None]]:
-    """The rows of the first sheet as texts; a cell without a value is None."""
+    """The rows of the first sheet as texts; dates as YYYY-MM-DD hh:mm:ss; a cell without a value is None."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_MAIN}si")]
-        sheet = ElementTree.fromstring(z.read("xl/workbook.xml")).find(f"{_MAIN}sheets")[0]
+        book, dates = ElementTree.fromstring(z.read("xl/workbook.xml")), date_styles(z)
+        settings = book.find(f"{_MAIN}workbookPr")
+        from_1904 = settings is not None and settings.get("date1904") in ("1", "true")
+        sheet = book.find(f"{_MAIN}sheets")[0]
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         target = links[sheet.get(_LINK)].lstrip("/")
         with z.open(target if target.startswith("xl/") else f"xl/{target}") as f:
@@ -41,6 +71,8 @@ def first_sheet(data: bytes) -> Iterator[list[str | None]]:
                     value, kind = cell.find(f"{_MAIN}v"), cell.get("t")
                     if kind == "inlineStr":
                         out[at] = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
+                    elif value is not None and value.text is not None and kind in (None, "n") and int(cell.get("s", 0)) in dates:
+                        out[at] = moment(value.text, from_1904)
                     elif value is not None and value.text is not None:
                         out[at] = shared[int(value.text)] if kind == "s" else {"1": "true", "0": "false"}.get(value.text, value.text) if kind == "b" else value.text
                 yield out

@@ -193,14 +193,15 @@ class DataLoader:
             out.append(free)
         return out
 
-    def _tidy(self, df: DataFrame) -> DataFrame:
-        """Null tokens taken out, then types found by one pass over all columns."""
+    def _tidy(self, df: DataFrame, dates: bool = False) -> DataFrame:
+        """Null tokens taken out, then types found by one pass over all columns; timestamps only if the format has ``dates``."""
         if self.standardize_nulls:
             df = df.select(*[null_standardize(name(c)).alias(c) if t == "string" else name(c) for c, t in df.dtypes])
         texts = [c for c, t in df.dtypes if t == "string"]
         if not self.infer_types or not texts:
             return df
         kinds = [("bigint", r"^\s*[+-]?\d{1,18}\s*$"), ("double", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), ("boolean", r"^(?i)(true|false)$")]
+        kinds += [("timestamp_ntz", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$")] * dates
         found = df.agg(*[F.count_if(name(c).isNotNull() & ~F.coalesce(name(c).rlike(p), F.lit(False))).alias(f"k{i}_{t}") for i, c in enumerate(texts) for t, p in kinds], *[F.count(name(c)).alias(f"n{i}") for i, c in enumerate(texts)]).first()
         casts = {}
         for i, c in enumerate(texts):
@@ -219,7 +220,7 @@ class DataLoader:
         if self.suffix == ".xls":
             raise FormatError("old .xls workbooks are not read; save the workbook as .xlsx")
         self.spark.dataSource.register(ExcelDataSource)
-        return self._tidy(self.spark.read.format(ExcelDataSource.name()).option("data", self._bytes(self.bytes).hex()).load())
+        return self._tidy(self.spark.read.format(ExcelDataSource.name()).option("data", self._bytes(self.bytes).hex()).load(), dates=True)
 
     def load(self) -> DataFrame:
         """The source as a DataFrame; the same one again if it is cached."""

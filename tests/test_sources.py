@@ -91,6 +91,20 @@ def test_excel(spark, tmp_path):
         read(spark, put(tmp_path, "a.xls", "x"))
 
 
+@pytest.mark.parametrize("era,first", [("", "2024-02-29 12:00:00"), ('<workbookPr date1904="1"/>', "2028-03-01 12:00:00")])
+def test_excel_dates(spark, tmp_path, era, first):
+    workbook(tmp_path / "a.xlsx")
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx") as old, zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", old.read("xl/workbook.xml").decode().replace("<sheets>", f"{era}<sheets>"))
+        z.writestr("xl/_rels/workbook.xml.rels", old.read("xl/_rels/workbook.xml.rels"))
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="dd.mm.yyyy hh:mm"/><numFmt numFmtId="171" formatCode="0.0&quot; days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/><xf numFmtId="20"/><xf numFmtId="171"/></cellXfs></styleSheet>')
+        cells = '<c t="inlineStr"><is><t>{}</t></is></c>'
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row>{"".join(map(cells.format, ("day", "time", "n")))}</row><row><c s="1"><v>45351.5</v></c><c s="2"><v>0.75</v></c><c s="3"><v>1.5</v></c></row></sheetData></worksheet>')
+    df = read(spark, str(tmp_path / "b.xlsx"))
+    assert dict(df.dtypes)["day"] == "timestamp_ntz" and [(str(r.day), r.time, r.n) for r in df.collect()] == [(first, "18:00:00", 1.5)]
+
+
 def test_bad_paths(spark, tmp_path):
     with pytest.raises(SecurityError):
         read(spark, str(tmp_path / "none.csv"))
