@@ -28,10 +28,10 @@ import zlib
 import numpy as np
 
 MAGIC = b"CLXT\x02\0\0\0"
-#: Ids of a block and of a section; different ids of a section at most.
-BLOCK, SECTION, MOST_IDS = 2048, 1 << 21, 1 << 20
+#: Ids of a block and of a section; different ids of a section at most. Short blocks are many, which numpy needs to be coded side by side.
+BLOCK, SECTION, MOST_IDS = 1024, 1 << 21, 1 << 20
 #: Occurrences that make a follower listed; ids that the order 0/1 mix looks back on; slots of order 2 in a block.
-LEAST, WINDOW, SLOTS = 4, 32, 512
+LEAST, WINDOW, SLOTS = 4, 32, 64
 #: Bits of list shares; bits by which the mix is finer than order 0 and 1; range of the order 0 share in 1/256.
 SHARE, FINER, LOWEST, HIGHEST = 16, 4, 8, 248
 #: How often predictions of order 2 are right at first, by their sureness (the first stands for no prediction), and how fast that is corrected.

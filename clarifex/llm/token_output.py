@@ -89,6 +89,7 @@ class PieceEncoder:
     def __init__(self, path: str, pattern: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.pieces = regex.compile(pattern).finditer if pattern else None
         self.kinds = kinds() if pattern == BYTE_LEVEL else None
@@ -98,6 +99,11 @@ class PieceEncoder:
         if self.tokenizer.normalizer is not None and any(t.normalized for t in added):
             self.pieces = None  # such tokens may come about by normalising
         self.added = [t.content.encode() for t in added]
+        # What is a piece already need not be split again.
+        self.of_pieces = Tokenizer.from_file(path)
+        known = self.of_pieces.pre_tokenizer
+        if self.kinds is not None and isinstance(known, ByteLevel) and not known.add_prefix_space:
+            self.of_pieces.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.place: dict[bytes, int] = {}
         self.flat, self.ends = np.zeros(1 << 20, np.uint32), np.zeros((1 << 18) + 1, np.int64)
 
@@ -108,14 +114,15 @@ class PieceEncoder:
             _CACHE[path, pattern] = cls(path, pattern)
         return _CACHE[path, pattern]
 
-    def _plain(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _plain(tokenizer, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
         """Remember the ids of some pieces."""
         for at in range(0, len(words), 1 << 14):
             some = words[at : at + (1 << 14)]
-            found = self._plain([w.decode() for w in some])
+            found = self._plain(self.of_pieces, [w.decode() for w in some])
             known, ends = len(self.place), np.cumsum([len(x) for x in found])
             used = int(self.ends[known])
             if used + ends[-1] > len(self.flat):
@@ -148,7 +155,7 @@ class PieceEncoder:
         """The ids of all texts (as UTF-8) in a row, and the number of ids of each."""
         whole = [k for k, t in enumerate(texts) if self.pieces is None or any(x in t for x in self.added)]
         if whole:
-            found = dict(zip(whole, self._plain([texts[k].decode() for k in whole]), strict=True))
+            found = dict(zip(whole, self._plain(self.tokenizer, [texts[k].decode() for k in whole]), strict=True))
             flat, n = self.encode([t for k, t in enumerate(texts) if k not in found])
             rest = iter(np.split(flat, np.cumsum(n)[:-1]))
             own = [np.array(found[k], np.uint32) if k in found else next(rest) for k in range(len(texts))]
