@@ -156,13 +156,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """A model of ``labels`` (id, label), from ``sample`` labelled rows at most, drawn by a hash of the id.
 
-    Null labels are left out; of several labels of an id the least counts. Only the sampled rows'
-    statistics reach the driver.
+    Null labels are left out; of several labels of an id the least counts, and a row counts as often as
+    it is repeated, up to 4 * ``sample`` rows with the least hashes of their statistics. Only the sampled
+    rows' statistics reach the driver, in an order that does not depend on partitions.
     """
     each = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__quality_id")).agg(F.min(label_col).cast("int").alias("__quality_label"))
     some = cut(each.orderBy(F.xxhash64(F.lit(SEED), "__quality_id"), "__quality_id").limit(sample))
     rows = docs.join(F.broadcast(some), F.col(f"`{id_col}`") == F.col("__quality_id")).select("__quality_label", *[c.alias(n) for n, c in statistics(F.col(f"`{text_col}`")).items()])
-    got = rows.limit(4 * sample).toPandas()
+    got = rows.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(4 * sample).toPandas()
     return fit(got[FEATURES].to_numpy(np.float64), (got["__quality_label"].to_numpy() > 0).astype(int)) if len(got) else fit(np.zeros((0, len(FEATURES))), np.zeros(0))
 
 
