@@ -269,7 +269,7 @@ def _verify(tau: int):
 
 def planned(distinct: DataFrame, tau: int) -> list[tuple[list[int], int]]:
     """The plan of a search among the rows of ``distinct`` (fp, ...), from their number and a bounded sample."""
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    sample = np.array([r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     return plan(sample, distinct.count(), tau)
 
 
