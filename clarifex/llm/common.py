@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,12 @@ def release(spark: SparkSession, since: int) -> None:
         Files(spark, _MADE.pop()).delete("")
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of DataFrames that nothing refers to any more, which it does as the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` by way of a reliable checkpoint in the shared folder: lost executors lose nothing of it."""
     work_dir(df.sparkSession)

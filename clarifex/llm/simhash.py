@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clarifex.llm.common import ROW_KEY, cut, of, runs, skew_join, table, text_bytes, with_row_key
+from clarifex.llm.common import ROW_KEY, cut, made, of, release, runs, skew_join, table, text_bytes, tidy, with_row_key
 from clarifex.llm.components import components
 
 #: Fingerprints on the driver for the estimates. Rows of a bucket beyond which it is split further. Pairs compared at once.
@@ -361,17 +361,24 @@ def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    """(_row, _class, fp, _set) for each row of (_row, _text): its distinct shingles in order, their SimHash and a 128-bit digest."""
+    """(_row, _class, fp, _n, _set) for each row of (_row, _text): its distinct shingles in order, their number, their SimHash and a 128-bit digest."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in of(batches):
             sets = [np.unique(shingle_hashes(x, width)) for x in text_bytes(batch.column(1))]
             fps = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
             raw = [s.tobytes() for s in sets]
-            cols = [batch.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(fps), pa.array(raw, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["_row", "_class", "fp", "_set"])
+            cols = [batch.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["_row", "_class", "fp", "_n", "_set"])
 
-    return rows.mapInArrow(each, "_row long, _class binary, fp long, _set binary")
+    return rows.mapInArrow(each, "_row long, _class binary, fp long, _n long, _set binary")
+
+
+def _alike_in_size(pairs: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sets' sizes (node, n) allow a Jaccard similarity of ``least``: the smaller has that share of the larger. Whole sets are fetched for these alone."""
+    of = lambda side: sizes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    return both.where(F.least("nu", "nv") >= least * F.greatest("nu", "nv") - 1e-6).select("u", "v")
 
 
 def _near(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -513,11 +520,12 @@ def drop_near_copies(docs: DataFrame, width: int = 5, tau: int = 14, least: floa
     sets, once the earlier document is known to stay. Texts without words have equal (empty) sets.
     """
     rows = with_row_key(docs)
+    since = made()
     texts = rows.select(F.col(ROW_KEY).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
     marked = cut(shingle_sets(texts, width).drop("_set"))
     order = rows.select(F.col(ROW_KEY).alias("_row"), F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text"), F.col(ROW_KEY).alias("row")).alias("o"))
-    found = marked.join(order, "_row").groupBy("_class").agg(F.min("o").alias("o"), F.min("fp").alias("fp"))
-    firsts = table(found.orderBy("o").select(F.monotonically_increasing_id().alias("node"), F.col("o.row").alias("_row"), "fp"), "firsts")  # nodes in the order of ids
+    found = marked.join(order, "_row").groupBy("_class").agg(F.min("o").alias("o"), F.min("fp").alias("fp"), F.min("_n").alias("n"))
+    firsts = table(found.orderBy("o").select(F.monotonically_increasing_id().alias("node"), F.col("o.row").alias("_row"), "fp", "n"), "firsts")  # nodes in the order of ids
     gone = marked.select("_row").join(firsts.select("_row"), "_row", "left_anti")
     left, probed = firsts.select("fp", "node"), planned(firsts, tau)
     answers, among = first_meeting(probed, tau), lambda rows: by_bucket(buckets(rows, probed, tau, LARGE_BUCKET))
@@ -531,19 +539,22 @@ def drop_near_copies(docs: DataFrame, width: int = 5, tau: int = 14, least: floa
             of_nodes = cut(_by_id(firsts.select("node", "_row"), low.select("node"), "inner"))
             sets = table(shingle_sets(_by_id(texts, of_nodes.select("_row"), "inner"), width).select("_row", "_set").join(of_nodes, "_row").select("node", "_set"), "sets")
         marked_nodes = _by_id(left, low.select("node", (F.col("low") == F.col("node")).alias("ready")), "inner").select("fp", "node", "ready")
-        pairs = cut(among(marked_nodes).mapInArrow(_pairs(tau, answers), "u long, v long").distinct())
+        pairs = cut(_alike_in_size(among(marked_nodes).mapInArrow(_pairs(tau, answers), "u long, v long").distinct(), firsts, least))
         near = cut(_near(pairs, sets, least).select("v").distinct())
         out = cut(out.unionByName(near))
         waiting = low.where("low < node").select("node").join(near.withColumnRenamed("v", "node"), "node", "left_anti")
         left = cut(_by_id(left, waiting, "inner").select("fp", "node"))
+        tidy(docs.sparkSession)
         # Groups of near copies have left now. If what waits has few pairs, all are compared at once; dense groups go on by rounds.
         met = among(left).mapInArrow(_every_pair(tau, answers, count=True), "n long").agg(F.sum("n")).first()[0] or 0
         if met <= FEW_PAIRS * left.count():
-            pairs = cut(among(left).mapInArrow(_every_pair(tau, answers, count=False), "u long, v long").distinct())
+            pairs = cut(_alike_in_size(among(left).mapInArrow(_every_pair(tau, answers, count=False), "u long, v long").distinct(), firsts, least))
             if pairs.take(1):
                 out = cut(out.unionByName(_later(cut(_near(pairs, sets, least)))))
             break
-    gone = gone.unionByName(_by_id(firsts.select("node", "_row"), out.withColumnRenamed("v", "node"), "inner").select("_row"))
+    gone = cut(gone.unionByName(_by_id(firsts.select("node", "_row"), out.withColumnRenamed("v", "node"), "inner").select("_row")))
+    release(docs.sparkSession, since)  # all but the rows themselves
+    tidy(docs.sparkSession)
     return _by_id(rows, gone.withColumnRenamed("_row", ROW_KEY), "left_anti").drop(ROW_KEY)
 
 
