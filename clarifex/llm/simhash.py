@@ -344,9 +344,15 @@ def near_dedup(docs: DataFrame, width: int = 5, tau: int = 3, id_col: str = "doc
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Pairs for each document left up to which near copies are settled by all pairs at once. Rows of a bucket beyond which its pairs are estimated from so many.
+#: Candidates for each document left up to which near copies are settled by all pairs at once. Rows of a bucket beyond which its pairs are estimated from so many.
 FEW_PAIRS, MANY, SOME = 20, 2048, 256
 
+#: Candidates up to which all are verified at once, and the driver goes through those that are near.
+SETTLED = 10_000
+
+#: Rows of one size band that one task compares with as many others at least; a block has a hundredth of all rows if that is more.
+BLOCK = 16_384
+
 #: Times that large buckets are dealt again at most.
 LEVELS = 3
 
@@ -360,29 +366,63 @@ def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(side) if side.count() <= BROADCAST_IDS else side, ids.columns[0], how)
 
 
-def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    """(_row, _class, fp, _n, _set) for each row of (_row, _text): its distinct shingles in order, their number, their SimHash and a 128-bit digest."""
+def shingle_sets(rows: DataFrame, width: int, whole: bool = False) -> DataFrame:
+    """``rows`` with what is known of the distinct shingles in place of ``_text``: a 128-bit digest (_class), their SimHash (fp), number (_n) and sketch (_sketch); or all of them in order (_set)."""
+    others = [c for c in rows.columns if c != "_text"]
+    names = ["_set"] if whole else ["_class", "fp", "_n", "_sketch"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in of(batches):
-            sets = [np.unique(shingle_hashes(x, width)) for x in text_bytes(batch.column(1))]
-            fps = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            sets = [np.unique(shingle_hashes(x, width)) for x in text_bytes(batch.column("_text"))]
             raw = [s.tobytes() for s in sets]
-            cols = [batch.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array(raw, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["_row", "_class", "fp", "_n", "_set"])
+            if whole:
+                cols = [pa.array(raw, pa.binary())]
+            else:
+                fps = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+                cols = [pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *cols], [*others, *names])
+
+    kinds = {"_class": "binary", "fp": "long", "_n": "long", "_sketch": "binary", "_set": "binary"}
+    schema = ", ".join([f"{c} {dict(rows.dtypes)[c]}" for c in others] + [f"{c} {kinds[c]}" for c in names])
+    return rows.select(*others, "_text").mapInArrow(each, schema)
+
+
+def sketch(hashes: np.ndarray) -> bytes | None:
+    """How many of the distinct hashes fall into each of 2^k equal ranges, of 4 to 8 hashes on average, a byte each; None if one has over 255."""
+    k = max(1, (len(hashes) // 8).bit_length())
+    counts = np.bincount((hashes >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def most_alike(a: bytes, b: bytes) -> float:
+    """The largest Jaccard similarity that two sets with these sketches can have: no range has more in common than the fewer of its two counts."""
+    x, y = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (a, b))
+    if len(x) > len(y):
+        x, y = y, x
+    y = y.reshape(len(x), -1).sum(axis=1)
+    common = int(np.minimum(x, y).sum())
+    return common / max(1, int(x.sum() + y.sum()) - common)
+
+
+def _may_be_near(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sketches (node, _sketch) allow a Jaccard similarity of ``least``. Whole sets are fetched for these alone."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in of(batches):
+            may = [a is None or b is None or most_alike(a, b) >= least for a, b in zip(batch.column("_u").to_pylist(), batch.column("_v").to_pylist(), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(may, pa.bool_()))
 
-    return rows.mapInArrow(each, "_row long, _class binary, fp long, _n long, _set binary")
+    of_side = lambda side: sketches.select(F.col("node").alias(side), F.col("_sketch").alias(f"_{side}"))
+    return pairs.join(of_side("v"), "v").join(of_side("u"), "u").select("u", "v", "_u", "_v").mapInArrow(each, "u long, v long")
 
 
-def _alike_in_size(pairs: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (u, v) whose sets' sizes (node, n) allow a Jaccard similarity of ``least``: the smaller has that share of the larger. Whole sets are fetched for these alone."""
-    of = lambda side: sizes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"))
-    both = pairs.join(of("u"), "u").join(of("v"), "v")
-    return both.where(F.least("nu", "nv") >= least * F.greatest("nu", "nv") - 1e-6).select("u", "v")
+def _nodes(pairs: DataFrame) -> DataFrame:
+    """(node): whatever is in a pair."""
+    return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
 
 def _near(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (u, v) whose sets have a Jaccard similarity of ``least`` or more."""
+    """Those of the pairs (u, v) whose sets (node, _set) have a Jaccard similarity of ``least`` or more."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in of(batches):
@@ -394,80 +434,139 @@ def _near(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     counts = cut(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")))
-    heads = table(_by_id(sets.select(F.col("node").alias("u"), F.col("_set").alias("_first")), counts, "inner"), "heads")
+    heads = _by_id(sets.select(F.col("node").alias("u"), F.col("_set").alias("_first")), counts, "inner")
     own = pairs.join(sets.select(F.col("node").alias("v"), "_set"), "v")
     return skew_join(own, heads, ["u"], "n").select("u", "v", "_set", "_first").mapInArrow(each, "u long, v long")
 
 
-def _lowest(tau: int):
-    """(node, low) for each row of a bucket that has another within ``tau`` bits there: the least node of these and itself."""
+def by_size(rows: DataFrame, least: float, block: int) -> DataFrame:
+    """(key, fp, node, n, side, ...) for ``rows`` (fp, node, n, ...): any two nodes whose n allow a similarity of ``least`` meet under one key, and under one alone.
 
-    def links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, node: np.ndarray, *_) -> Iterator[pa.RecordBatch]:
-        nodes, lows = [], []
-        for s, n in zip(*runs(key), strict=True):
-            held = probe[s : s + n]
-            if n == 1 or held.all():
-                continue
-            mine = node[s : s + n]
-            own, at, times = np.unique(fp[s : s + n], return_inverse=True, return_counts=True)
-            least = np.full(len(own), np.iinfo(np.int64).max)
-            np.minimum.at(least, at, mine)
-            low, met, open_ = least.copy(), times > 1, np.ones(len(own), bool)
+    Bands of n are so wide that such nodes are in one band or in neighbours. A band is cut into blocks of
+    about ``block`` rows, and two blocks meet under a key of their own: side 0 with side 1, or a block (side 2)
+    with itself.
+    """
+    total, wide = rows.count(), max(-np.log(least), 1e-9) * 1.0001
+    block = max(block, total // 100)
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(float(wide)))
+    blocks = {r.band: -(-r.rows // block) for r in rows.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > block).collect()}  # 100 at most
+    more = [c for c in rows.columns if c not in ("fp", "node", "n")]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("band").to_numpy()
+            below, here, above = (np.array([blocks.get(b + d, 1) for b in at.tolist()], np.int64) for d in (-1, 0, 1))
+            mine = (_mixed(batch.column("node").to_numpy().view(np.uint64), _salt(1)) % here.view(np.uint64)).view(np.int64)
+            for cross, (left, right, width) in enumerate(((mine, None, here), (mine, None, above), (None, mine, below))):
+                for j in range(int(width.max(initial=0))):
+                    some = np.flatnonzero(j < width)
+                    m, other = mine[some], np.full(len(some), j)
+                    if cross == 0:
+                        i, k, side = np.minimum(m, j), np.maximum(m, j), np.where(m == j, 2, (m > j).astype(np.int64))
+                    else:
+                        i, k, side = (m, other, np.zeros(len(some), np.int64)) if right is None else (other, m, np.ones(len(some), np.int64))
+                    key = ((at[some] - (cross == 2)) * 2 + (cross > 0)) << 14 | i << 7 | k
+                    cols = [batch.column(c).take(pa.array(some)) for c in ("fp", "node", "n", *more)]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *cols[:3], pa.array(side.astype(np.int8)), *cols[3:]], ["key", "fp", "node", "n", "side", *more])
+
+    schema = "key long, fp long, node long, n long, side tinyint" + "".join(f", {c} {t}" for c, t in rows.select(*more).dtypes)
+    keyed = rows.select("fp", "node", "n", *more, band.alias("band")).mapInArrow(each, schema)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(parts, "key").sortWithinPartitions("key", "n")  # a number, as little data may be much to compare
+
+
+def _alike(fp: np.ndarray, n: np.ndarray, rows: np.ndarray, others: np.ndarray, tau: int, least: float, once: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (of ``rows``, of ``others``), both indices in the order of n, of fingerprints within ``tau`` bits and sizes that allow a similarity of ``least``; ``once``: of a set with itself, the first index is the lesser.
+
+    A few are compared at a time, which stay in a processor's cache.
+    """
+    a, b, an, bn = fp[rows], fp[others], n[rows], n[others]
+    lo, hi = np.searchsorted(bn, an * least - 1e-6), np.searchsorted(bn, (an + 1e-6) / least, side="right")
+    for s in range(0, len(a), 32):
+        e = min(s + 32, len(a))
+        for t in range(max(lo[s], s) if once else lo[s], hi[e - 1], 2048):
+            to = min(t + 2048, hi[e - 1])
+            hits = np.flatnonzero(np.bitwise_count(a[s:e, None] ^ b[None, t:to]) <= tau)
+            if len(hits):
+                i, j = rows[s + hits // (to - t)], others[t + hits % (to - t)]
+                ok = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-6
+                ok &= (i < j) | (not once)
+                yield i[ok], j[ok]
+
+
+def _meetings(side: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The indices, in a bucket, of rows in ``left`` and of those in ``right`` that they meet there."""
+    if (side == 2).all():
+        return [(np.flatnonzero(left), np.flatnonzero(right))]
+    return [(np.flatnonzero(left & (side == k)), np.flatnonzero(right & (side == 1 - k))) for k in (0, 1)]
+
+
+def _lowest(tau: int, least: float):
+    """(node, low) for each row of a bucket that has another alike there: the least node of some of these and itself, by which those without a lesser one are known."""
+
+    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, n: np.ndarray, side: np.ndarray, *_) -> Iterator[pa.RecordBatch]:
+        for s, m in zip(*runs(key), strict=True):
+            fps, mine, size = fp[s : s + m], node[s : s + m], n[s : s + m]
+            low, met, open_ = mine.copy(), np.zeros(m, bool), np.ones(m, bool)
             # What is near the least nodes is settled by them: a large group of near copies is not compared with itself.
-            for head in np.argsort(least)[:4] if len(own) > SOME else ():
-                near = open_ & (np.bitwise_count(own ^ own[head]) <= tau)
+            for head in np.argsort(mine)[:4] if m > SOME else ():
+                near = open_ & (np.bitwise_count(fps ^ fps[head]) <= tau) & (np.minimum(size, size[head]) >= least * np.maximum(size, size[head]) - 1e-6)
                 near[head] = False
                 if near.any():
-                    low[near], open_[near] = np.minimum(low[near], least[head]), False
+                    low[near], open_[near] = np.minimum(low[near], mine[head]), False
                     met[near] = met[head] = True
-            stored = np.unique(fp[s : s + n][~held])
-            for a, b in (close_pairs(own[open_], own, tau) if len(own) > SOME else close_pairs(stored, own, tau)):
-                i, j = np.searchsorted(own, a), np.searchsorted(own, b)
-                i, j = i[i != j], j[i != j]
-                np.minimum.at(low, i, least[j])
-                np.minimum.at(low, j, least[i])
-                met[i] = met[j] = True
-            nodes.append(mine[met[at]])
-            lows.append(low[at][met[at]])
-        if nodes:
-            x, at = np.unique(np.concatenate(nodes), return_inverse=True)
-            low = np.full(len(x), np.iinfo(np.int64).max)
-            np.minimum.at(low, at, np.concatenate(lows))
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(low)], ["node", "low"])
+            for rows, others in _meetings(side[s : s + m], open_, np.ones(m, bool)):
+                for i, j in _alike(fps, size, rows, others, tau, least):
+                    i, j = i[i != j], j[i != j]
+                    np.minimum.at(low, i, mine[j])
+                    np.minimum.at(low, j, mine[i])
+                    met[i] = met[j] = True
+            if met.any():
+                yield pa.RecordBatch.from_arrays([pa.array(mine[met]), pa.array(low[met])], ["node", "low"])
 
     return _by_bucket(links)
 
 
-def _way(key: np.ndarray, way: tuple, s: int) -> tuple[int, int]:
-    """The first key and the path of the bucket that starts at row s."""
-    return (int(way[0][s]), int(way[1][s])) if way else (int(key[s]), 0)
+def _pairs(tau: int, least: float):
+    """(u, v) for each u that is ready and v that is not, if they are alike; no two that are ready are."""
 
+    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, n: np.ndarray, side: np.ndarray, ready: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s, m in zip(*runs(key), strict=True):
+            now, mine = ready[s : s + m], node[s : s + m]
+            for rows, others in _meetings(side[s : s + m], now, ~now):
+                for i, j in _alike(fp[s : s + m], n[s : s + m], rows, others, tau, least):
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[i]), pa.array(mine[j])], ["u", "v"])
 
-def _pairs(tau: int, answers):
-    """(u, v) for each u that is ready and v that is not, within ``tau`` bits in a bucket, from the one bucket that answers for them; no two that are ready are."""
+    return _by_bucket(links)
 
-    def links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, node: np.ndarray, ready: np.ndarray, *way) -> Iterator[pa.RecordBatch]:
-        for s, n in zip(*runs(key), strict=True):
-            now = ready[s : s + n]
-            if now.all() or not now.any():
-                continue
-            mine, fps = node[s : s + n], fp[s : s + n]
-            heads, first = np.unique(fps[now], return_index=True)
-            order = np.argsort(fps[~now], kind="stable")
-            rest, others = fps[~now][order], mine[~now][order]
-            for a, b in close_pairs(heads, np.unique(rest), tau):
-                first_time = answers(a, b, *_way(key, way, s))
-                a, b = a[first_time], b[first_time]
-                if not len(a):
-                    continue
-                lo, hi = np.searchsorted(rest, b), np.searchsorted(rest, b, side="right")
-                u = np.repeat(mine[now][first[np.searchsorted(heads, a)]], hi - lo)
-                v = others[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange((hi - lo).sum())]
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+def _all_pairs(tau: int, least: float, count: bool):
+    """(u, v), u < v, for all nodes that are alike; or only (n), about how many, which is estimated in large buckets."""
+
+    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, n: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s, m in zip(*runs(key), strict=True):
+            mine = node[s : s + m]
+            rows, others = _meetings(side[s : s + m], *[np.ones(m, bool)] * 2)[0]
+            times, found, whole = 1.0, 0, True
+            if count and len(rows) > MANY:
+                times, whole = len(rows) / SOME, False
+                rows = np.sort(np.random.default_rng(m).choice(rows, SOME, replace=False))
+            for i, j in _alike(fp[s : s + m], n[s : s + m], rows, others, tau, least, once=side[s] == 2 and whole):
+                found += len(i) if whole or side[s] != 2 else int((mine[i] < mine[j]).sum())
+                if not count:
+                    x, y = mine[i], mine[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
+            if count and found:
+                yield pa.RecordBatch.from_arrays([pa.array([int(found * times)])], ["n"])
 
     return _by_bucket(links)
 
 
+def _way(key: np.ndarray, way: tuple, s: int) -> tuple[int, int]:
+    """The first key and the path of the bucket that starts at row s."""
+    return (int(way[0][s]), int(way[1][s])) if way else (int(key[s]), 0)
+
+
 def _every_pair(tau: int, answers, count: bool):
     """(u, v), u < v, for all nodes within ``tau`` bits in a bucket, from the one that answers for them; or only (n), about how many, which is estimated in large buckets."""
 
@@ -498,15 +597,23 @@ def _every_pair(tau: int, answers, count: bool):
     return _by_bucket(links)
 
 
-def _later(pairs: DataFrame) -> DataFrame:
-    """(v): of near pairs (u, v), u < v, the nodes that go when all are gone through in order."""
+def _later(pairs: DataFrame, near) -> DataFrame:
+    """(v): of candidates (u, v), u < v, the nodes that go when all are gone through in order.
+
+    ``near`` gives those of some pairs that are near. In a round it is asked of pairs whose u stays; once
+    there are ``SETTLED`` pairs or fewer, of all, and the driver goes through what is near.
+    """
     out = pairs.sparkSession.createDataFrame([], "v long")
-    while pairs.take(1):
+    while pairs.count() > SETTLED:
         held = cut(pairs.select(F.col("v").alias("u")).distinct())
-        going = cut(_by_id(pairs, held, "left_anti").select("v").distinct())
+        going = cut(near(cut(_by_id(pairs, held, "left_anti"))).select("v").distinct())
         out = cut(out.unionByName(going))
         pairs = cut(_by_id(_by_id(_by_id(pairs, held, "left_semi"), going, "left_anti"), going.withColumnRenamed("v", "u"), "left_anti"))
-    return out
+    gone: set[int] = set()
+    for u, v in sorted((r.u, r.v) for r in near(pairs).collect()) if pairs.take(1) else ():
+        if u not in gone:
+            gone.add(v)
+    return out.unionByName(pairs.sparkSession.createDataFrame([(v,) for v in gone], "v long"))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, tau: int = 14, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -521,37 +628,42 @@ def drop_near_copies(docs: DataFrame, width: int = 5, tau: int = 14, least: floa
     """
     rows = with_row_key(docs)
     since = made()
-    texts = rows.select(F.col(ROW_KEY).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
-    marked = cut(shingle_sets(texts, width).drop("_set"))
-    order = rows.select(F.col(ROW_KEY).alias("_row"), F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text"), F.col(ROW_KEY).alias("row")).alias("o"))
-    found = marked.join(order, "_row").groupBy("_class").agg(F.min("o").alias("o"), F.min("fp").alias("fp"), F.min("_n").alias("n"))
+    text = F.col(f"`{text_col}`")
+    texts = rows.select(F.col(ROW_KEY).alias("_row"), text.alias("_text"))
+    order = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text"), F.col(ROW_KEY).alias("row"))
+    marked = table(shingle_sets(rows.select(F.col(ROW_KEY).alias("_row"), order.alias("o"), text.alias("_text")), width), "marked")
+    found = marked.groupBy("_class").agg(F.min("o").alias("o"), F.min("fp").alias("fp"), F.min("_n").alias("n"))
     firsts = table(found.orderBy("o").select(F.monotonically_increasing_id().alias("node"), F.col("o.row").alias("_row"), "fp", "n"), "firsts")  # nodes in the order of ids
     gone = marked.select("_row").join(firsts.select("_row"), "_row", "left_anti")
-    left, probed = firsts.select("fp", "node"), planned(firsts, tau)
-    answers, among = first_meeting(probed, tau), lambda rows: by_bucket(buckets(rows, probed, tau, LARGE_BUCKET))
-    sets, out = None, docs.sparkSession.createDataFrame([], "v long")
+
+    def rows_of(pairs: DataFrame) -> DataFrame:
+        return cut(_by_id(firsts.select("node", "_row"), _nodes(pairs), "inner").select("_row", "node"))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        sketches = cut(_by_id(marked.select("_row", "_sketch"), rows_of(pairs), "inner").select("node", "_sketch"))
+        return cut(_may_be_near(pairs, sketches, least))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        sets = table(shingle_sets(_by_id(texts, rows_of(pairs), "inner").select("node", "_text"), width, whole=True), "sets")
+        return cut(_near(pairs, sets, least))
+
+    left, out = firsts.select("fp", "node", "n"), docs.sparkSession.createDataFrame([], "v long")
     while True:
-        # A node without one before it stays, and is compared with all that are near it by their fingerprints; those leave or wait for the next round.
-        low = cut(among(left).mapInArrow(_lowest(tau), "node long, low long").groupBy("node").agg(F.min("low").alias("low")))
-        if not low.take(1):
-            break
-        if sets is None:
-            of_nodes = cut(_by_id(firsts.select("node", "_row"), low.select("node"), "inner"))
-            sets = table(shingle_sets(_by_id(texts, of_nodes.select("_row"), "inner"), width).select("_row", "_set").join(of_nodes, "_row").select("node", "_set"), "sets")
-        marked_nodes = _by_id(left, low.select("node", (F.col("low") == F.col("node")).alias("ready")), "inner").select("fp", "node", "ready")
-        pairs = cut(_alike_in_size(among(marked_nodes).mapInArrow(_pairs(tau, answers), "u long, v long").distinct(), firsts, least))
-        near = cut(_near(pairs, sets, least).select("v").distinct())
-        out = cut(out.unionByName(near))
-        waiting = low.where("low < node").select("node").join(near.withColumnRenamed("v", "node"), "node", "left_anti")
-        left = cut(_by_id(left, waiting, "inner").select("fp", "node"))
-        tidy(docs.sparkSession)
-        # Groups of near copies have left now. If what waits has few pairs, all are compared at once; dense groups go on by rounds.
-        met = among(left).mapInArrow(_every_pair(tau, answers, count=True), "n long").agg(F.sum("n")).first()[0] or 0
+        # If there are few candidates, all are found at once; dense groups go by rounds.
+        met = by_size(left, least, BLOCK).mapInArrow(_all_pairs(tau, least, count=True), "n long").agg(F.sum("n")).first()[0] or 0
         if met <= FEW_PAIRS * left.count():
-            pairs = cut(_alike_in_size(among(left).mapInArrow(_every_pair(tau, answers, count=False), "u long, v long").distinct(), firsts, least))
-            if pairs.take(1):
-                out = cut(out.unionByName(_later(cut(_near(pairs, sets, least)))))
+            pairs = possible(cut(by_size(left, least, BLOCK).mapInArrow(_all_pairs(tau, least, count=False), "u long, v long")))
+            out = cut(out.unionByName(_later(pairs, near)))
             break
+        # A node without one before it stays, and is compared with all that are near it by their fingerprints; those leave or wait for the next round.
+        low = cut(by_size(left, least, BLOCK).mapInArrow(_lowest(tau, least), "node long, low long").groupBy("node").agg(F.min("low").alias("low")))
+        marked_nodes = cut(_by_id(left, low.select("node", (F.col("low") == F.col("node")).alias("ready")), "inner"))
+        pairs = possible(cut(by_size(marked_nodes, least, BLOCK).mapInArrow(_pairs(tau, least), "u long, v long")))
+        gone_now = cut(near(pairs).select("v").distinct())
+        out = cut(out.unionByName(gone_now))
+        waiting = low.where("low < node").select("node").join(gone_now.withColumnRenamed("v", "node"), "node", "left_anti")
+        left = cut(_by_id(left, waiting, "inner").select("fp", "node", "n"))
+        tidy(docs.sparkSession)
     gone = cut(gone.unionByName(_by_id(firsts.select("node", "_row"), out.withColumnRenamed("v", "node"), "inner").select("_row")))
     release(docs.sparkSession, since)  # all but the rows themselves
     tidy(docs.sparkSession)

@@ -173,3 +173,65 @@ def test_each_near_pair_is_answered_for_once(spark, large_bucket):
     found = simhash.by_bucket(simhash.buckets(nodes, probed, tau, large_bucket)).mapInArrow(simhash._every_pair(tau, simhash.first_meeting(probed, tau), count=False), "u long, v long").collect()
     want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= tau}
     assert len(found) == len(want) and {(r.u, r.v) for r in found} == want
+
+
+def left_in_order(sets, fps, tau=14, least=0.8):
+    kept = []
+    for k, a in enumerate(sets):
+        if not any((fps[k] ^ fps[j]).bit_count() <= tau and len(a & sets[j]) >= least * len(a | sets[j]) for j in kept):
+            kept.append(k)
+    return set(kept)
+
+
+@pytest.mark.parametrize("few, settled, block", [(20, 10_000, 16_384), (0, 10_000, 5), (20, 0, 5)])
+def test_near_copies_against_all_pairs_in_order(spark, monkeypatch, few, settled, block):
+    monkeypatch.setattr(simhash, "FEW_PAIRS", few)
+    monkeypatch.setattr(simhash, "SETTLED", settled)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.integers(5000, size=int(n))) for n in rng.integers(1, 400, 30)]
+    while len(texts) < 200:
+        one = texts[int(rng.integers(len(texts)))]
+        texts.append(changed(rng, one, min(3, len(one.split()) // 10)) + " more" * int(rng.integers(3)))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    fps = [simhash.fingerprint(np.array(sorted(x), np.uint64)) for x in sets]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_copies(df).collect()} == left_in_order(sets, fps)
+
+
+@pytest.mark.parametrize("block", [16_384, 7])
+def test_rows_alike_in_size_meet_once_under_few_keys(spark, block):
+    rng = np.random.default_rng(2)
+    sizes = [0, 1, 4, 5, 100, 125, 126, *rng.integers(1, 3000, 80).tolist(), *[64, 80] * 20]
+    rows = spark.createDataFrame([(int(rng.integers(2**62)), k, n) for k, n in enumerate(sizes)], "fp long, node long, n long")
+    dealt = simhash.by_size(rows, 0.8, block)
+    assert block < 100 or dealt.count() == 3 * len(sizes)
+    found = [(r.u, r.v) for r in dealt.mapInArrow(simhash._all_pairs(64, 0.8, count=False), "u long, v long").collect()]
+    want = {(i, j) for j in range(len(sizes)) for i in range(j) if min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])}
+    assert len(found) == len(want) and set(found) == want
+    assert dealt.mapInArrow(simhash._all_pairs(64, 0.8, count=True), "n long").groupBy().sum("n").first()[0] == len(want)
+
+
+@settings(deadline=None)
+@given(st.integers(0, 2**32), st.integers(0, 300), st.integers(0, 300), st.integers(0, 300))
+def test_sketches_bound_the_similarity(seed, common, a, b):
+    own = np.random.default_rng(seed).integers(0, 2**64, common + a + b, np.uint64)
+    x, y = np.unique(own[: common + a]), np.unique(np.concatenate((own[:common], own[common + a :])))
+    assert simhash.most_alike(simhash.sketch(x), simhash.sketch(y)) >= len(np.intersect1d(x, y)) / max(1, len(np.union1d(x, y)))
+
+
+def test_whole_sets_are_kept_only_of_what_may_be_near(spark, monkeypatch):
+    rng, rows = np.random.default_rng(9), []
+    while len(rows) < 20:
+        a = " ".join(f"w{k}" for k in rng.integers(5000, size=300))
+        b = changed(rng, a, 25)
+        fps = [simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) for t in (a, b)]
+        if (fps[0] ^ fps[1]).bit_count() <= 14:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    rows.append((len(rows), changed(rng, rows[0][1], 1)))
+    made, plain = {}, simhash.table
+    monkeypatch.setattr(simhash, "table", lambda df, name: made.setdefault(name, []).append(out := plain(df, name)) or out)
+    monkeypatch.setattr(simhash, "release", lambda *_: None)
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(range(20))
+    assert sum(t.count() for t in made["sets"]) <= 6
