@@ -4,6 +4,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as p
 from clarifex.llm import mixing
+from clarifex.llm.common import made
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +69,11 @@ def test_null_and_repeated_ids(spark, tmp_path):
     taken = sum(r.taken for r in mixing.mix(clean, block_words=p.BLOCK_WORDS).collect())
     got = [r.text for r in p.mix_sources(spark, clean, SF).collect()]
     assert sum(len(t.split()) for t in got) == taken and len(got) <= 8
+
+
+def test_decontamination_leaves_no_copy_of_the_documents(spark):
+    """Neither the documents nor their index stay in the shared folder beside what the stage returns."""
+    docs, before = spark.read.parquet(f"{SF}/documents.parquet"), made()
+    clean = p.keep_uncontaminated(spark, docs, SF)
+    assert made() == before
+    assert 0 < clean.count() < docs.count()
