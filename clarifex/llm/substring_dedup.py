@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clarifex.llm.common import cut, skew_join, table, text_bytes
+from clarifex.llm.common import cut, of, skew_join, table, text_bytes
 
 #: Bits of a filter (of repeated blocks, of documents with repeats) at most, 16 MB, and the bits wanted for each entry. Words hashed at once.
 #: A filter that is too small for its entries lets through more of what the joins then leave out; results are the same.
@@ -260,32 +260,46 @@ def substring_dedup(docs: DataFrame, width: int = 35, id_col: str = "doc_id", te
     """
     rows, marks = repeats(docs, width, id_col, text_col)
     per_doc = table(marks.groupBy("_id", "_key").agg(F.collect_list(F.struct("at", "n", "source", "place")).alias("spans")), "spans")
-    factor = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source", pa.int64()), ("place", pa.int64())]))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, text, spans in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words, removed, kept, end = text.split(), 0, [], 0
-                found = factors([(s["at"], s["n"], s["source"], s["place"]) for s in spans or ()], width)
-                for at, n, _, _ in found:
-                    kept += words[end:at]
-                    removed += n
-                    end = at + n
-                kept += words[end:]
-                named = [{"start": a, "length": n, "source": None if s == NO_ID else s, "place": p} for a, n, s, p in found]
-                out.append((None if i == NO_ID else i, len(words), removed, named, b" ".join(kept).decode()))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), factor, pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "factors", "kept"])
+    def judged(batch: pa.RecordBatch, spans: pa.Array | None) -> pa.RecordBatch:
+        """The result's rows of (_id, _text) with their spans, which stay arrays but for one document's at a time."""
+        out, sizes, flat = [], [], [[], [], [], []]
+        many = np.zeros(batch.num_rows, np.int64) if spans is None else np.asarray(spans.value_lengths().fill_null(0)).astype(np.int64)
+        fields = [] if spans is None else [np.asarray(x) for x in spans.flatten().flatten()]
+        ends = np.cumsum(many)
+        for i, text, a, b in zip(batch.column("_id").to_pylist(), text_bytes(batch.column("_text")), (ends - many).tolist(), ends.tolist(), strict=True):
+            words, removed, kept, end = text.split(), 0, [], 0
+            found = factors(list(zip(*(x[a:b].tolist() for x in fields), strict=True)), width) if b > a else []
+            for at, n, source, place in found:
+                kept += words[end:at]
+                removed += n
+                end = at + n
+                for col, x in zip(flat, (at, n, None if source == NO_ID else source, place), strict=True):
+                    col.append(x)
+            kept += words[end:]
+            sizes.append(len(found))
+            out.append((None if i == NO_ID else i, len(words), removed, b" ".join(kept).decode()))
+        ids, n_words, n_removed, texts = list(zip(*out, strict=True)) or [[]] * 4
+        each_factor = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in flat], ["start", "length", "source", "place"])
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), each_factor)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (ids, n_words, n_removed)), listed, pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "factors", "kept"])
 
     # Texts that the filter knows to have no repeats stay where they are.
     held = docs.sparkSession.sparkContext.broadcast(bitmap(per_doc, "_key", per_doc.count()))
 
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in of(batches):
+            yield judged(batch, batch.column("spans"))
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in of(batches):
+            yield judged(batch.filter(pa.array(~may_have(held.value, np.asarray(batch.column("_key")).view(np.uint64)))), None)
+
     @F.pandas_udf("boolean")
     def may(keys: pd.Series) -> pd.Series:
         return pd.Series(may_have(held.value, keys.to_numpy(np.int64).view(np.uint64)))
 
-    names, marked = ["_id", "_key"], rows.withColumn("_may", may("_key"))
-    plain = marked.where(~F.col("_may")).withColumn("spans", F.lit(None).cast(per_doc.schema["spans"].dataType))
-    joined = marked.where("_may").join(per_doc, names, "left").unionByName(plain)
-    return joined.select("_id", "_text", "spans").mapInArrow(each, "doc_id long, n_words long, n_removed long, factors array<struct<start:long,length:long,source:long,place:long>>, kept string").withColumnRenamed("doc_id", id_col)
+    # The filter is asked before the shuffle, or by what makes the result, so a task has one Python worker at a time.
+    schema = "doc_id long, n_words long, n_removed long, factors array<struct<start:long,length:long,source:long,place:long>>, kept string"
+    joined = rows.where(may("_key")).join(per_doc, ["_id", "_key"], "left").select("_id", "_text", "spans").mapInArrow(repeated, schema)
+    return joined.unionByName(rows.mapInArrow(plain, schema)).withColumnRenamed("doc_id", id_col)

@@ -67,3 +67,21 @@ def test_chosen_blocks():
 def test_factors():
     assert s.factors([(0, 2, 8, 10), (2, 1, 8, 12), (40, 1, 8, 50)], 5) == [[0, 7, 8, 10], [40, 5, 8, 50]]
     assert s.factors([(0, 2, 8, 10), (3, 4, 9, 0), (3, 1, 8, 13)], 5) == [[0, 6, 8, 10], [6, 5, 9, 3]]
+
+
+def test_one_python_worker_for_each_task(spark):
+    """Between shuffles no Python operator stands on another, which would hold two Python workers for a task."""
+    long = " ".join(f"w{i}" for i in range(50))
+    found = s.substring_dedup(spark.createDataFrame([(1, long), (2, long), (3, "other words")], "doc_id long, text string"))
+    above = []
+    for line in found._jdf.queryExecution().sparkPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [x for x in above if x[0] < depth]
+        name = line.strip(" :+-").split(" ")[0]
+        if "Join" in name:  # which is fed by shuffles
+            above.append((depth, "shuffle"))
+        elif name in ("MapInArrow", "ArrowEvalPython"):
+            own = [n for _, n in above]
+            own = own[len(own) - own[::-1].index("shuffle") :] if "shuffle" in own else own
+            assert not own, (name, own)
+            above.append((depth, name))
