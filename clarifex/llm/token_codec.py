@@ -131,7 +131,7 @@ class _Second:
     def mass(self, kind: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The mass to add for predictions of these kinds (0: none), whose ids have ``width`` of 2**bits without it; what ``learn`` needs."""
         at = self.row + kind
-        rate = self.rate[at]
+        rate = self.rate.take(at)
         return np.minimum(np.maximum(rate * self.top - width * self.finer, 0.0), self.most).astype(np.int64), at, rate
 
     def learn(self, at: np.ndarray, rate: np.ndarray, right: np.ndarray) -> None:
@@ -325,7 +325,7 @@ def _decode(tables: _Tables, words: np.ndarray, lengths: np.ndarray, counts: np.
     halves = [1 << h for h in range(longest_list.bit_length() - 1, -1, -1)]
     line = np.concatenate((*line, np.full(2 * halves[0], np.iinfo(np.int64).max)))
     stops, many_times = np.concatenate([tables.first + k * many for k in range(3)]), np.arange(3) * many
-    ids_at = np.repeat(np.arange(v), np.diff(tables.ends)) if bits <= 22 else None  # order 0's id at each place
+    ids_at = np.repeat(np.arange(v, dtype=np.int32), np.diff(tables.ends)) if bits <= 22 else None  # order 0's id at each place
     # What order 2 remembers: the entry (times two, and one if it is the id itself), the id, and how sure it is.
     memory = np.full(n * SLOTS, 2 * many << 22, np.int64)
     whole, sure_ones = 1 << (bits + FINER), 3
@@ -333,18 +333,18 @@ def _decode(tables: _Tables, words: np.ndarray, lengths: np.ndarray, counts: np.
         last = ids[k + 1]
         level = tables.level(recent)
         own = level * (v + 1) + last
-        scale, other = shares[own], rest[own]
+        scale, other = shares.take(own), rest.take(own)
         # What order 2 expects.
         slot = old + _slot(ids[k], last)
-        kept = memory[slot]
+        kept = memory.take(slot)
         entry = kept >> 22
         j = entry >> 1
-        usable = owner[j] == last
+        usable = owner.take(j) == last
         guess = ((kept >> 2) & (MOST_IDS - 1)) * usable
         sure = kept & sure_ones
-        high = after[j]
-        a = ((scale * ends[guess]) >> 8) + ((np.where(entry & 1, before[j], high) * other) >> SHARE)
-        b = ((scale * following[guess]) >> 8) + ((high * other) >> SHARE)
+        high = after.take(j)
+        a = ((scale * ends.take(guess)) >> 8) + ((np.where(entry & 1, before.take(j), high) * other) >> SHARE)
+        b = ((scale * following.take(guess)) >> 8) + ((high * other) >> SHARE)
         mass, at, rate = second.mass((1 + sure) * usable, b - a)
         left = whole - mass
         first, end = (left * a) >> bits, ((left * b) >> bits) + mass
@@ -354,17 +354,17 @@ def _decode(tables: _Tables, words: np.ndarray, lengths: np.ndarray, counts: np.
         hit = usable & (spot >= first) & ~passed
         # What orders 0 and 1 have there.
         plain = np.where(hit, a, (((spot - mass * passed + 1) << bits) - 1) // left)
-        key, e = (own << (bits + 1)) + plain, stops[own]
+        key, e = (own << (bits + 1)) + plain, stops.take(own)
         for h in halves:  # the last entry of the list at or before it; for many lists at once this is faster than searchsorted
-            e += (line[e + h] <= key) * h
-        e -= many_times[level]
-        s, high = symbol[e], after[e]
+            e += (line.take(e + h) <= key) * h
+        e -= many_times.take(level)
+        s, high = symbol.take(e), after.take(e)
         into = (high * other) >> SHARE
-        listed = (s >= 0) & (plain < ((scale * following[s]) >> 8) + into)
+        listed = (s >= 0) & (plain < ((scale * following.take(s)) >> 8) + into)
         base = ((plain - into + 1) * 256 - 1) // scale
-        now = np.where(listed, s, ids_at[np.minimum(np.maximum(base, 0), len(ids_at) - 1)] if ids_at is not None else np.searchsorted(ends, base, side="right") - 1)
-        a = ((scale * ends[now]) >> 8) + (np.where(listed, before[e], high) * other >> SHARE)
-        b = ((scale * following[now]) >> 8) + into
+        now = np.where(listed, s, ids_at.take(base, mode="clip") if ids_at is not None else np.searchsorted(ends, base, side="right") - 1)
+        a = ((scale * ends.take(now)) >> 8) + (np.where(listed, before.take(e), high) * other >> SHARE)
+        b = ((scale * following.take(now)) >> 8) + into
         first, end = ((left * a) >> bits) + mass * passed, ((left * b) >> bits) + mass * (passed | hit)
         if k >= full:
             live = k < lengths
