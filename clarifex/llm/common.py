@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -122,6 +123,13 @@ def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(sorted_keys)))
 
 
+def give_back() -> None:
+    """Return the memory that this Python worker has freed to the system: the allocators keep it, while other workers and the executor need it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class Files:
     """Small files below a path that Spark can reach, through Hadoop's file systems."""
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clarifex.llm.common import ROW_KEY, cut, text_bytes, with_row_key
+from clarifex.llm.common import ROW_KEY, cut, give_back, text_bytes, with_row_key
 
 #: Words of a block and of a shard (about); sources that the driver accepts; times a source is repeated at most.
 BLOCK_WORDS, SHARD_WORDS, MAX_SOURCES, MOST_TIMES = 64, 262_144, 100_000, 3
@@ -183,6 +183,7 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), seed: int = 1, bl
     names, at = docs.columns, docs.columns.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what steps before have left in this worker
         for batch in batches:
             times, spans = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             texts = [cut_text(t, n, [(s["first"], s["end"]) for s in own or ()]).decode() for t, n, own in zip(text_bytes(batch.column(at)), times, spans, strict=True)]

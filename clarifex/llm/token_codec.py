@@ -36,8 +36,10 @@ LEAST, WINDOW, SLOTS = 4, 32, 64
 SHARE, FINER, LOWEST, HIGHEST = 16, 4, 8, 248
 #: How often predictions of order 2 are right at first, by their sureness (the first stands for no prediction), and how fast that is corrected.
 RATES, PACE = (0.0, 0.25, 0.5, 0.7, 0.8), 1 / 16
-#: Places that an encoder looks at in one go.
+#: Places that an encoder looks at in one go: whole blocks, and at most 1 << 16.
 STEP = 1 << 16
+#: Positions after which an encoder looks whether its words still fit.
+GROW = 64
 _LOW = np.uint64(2**31)
 
 
@@ -91,7 +93,8 @@ class _Tables:
         own = np.append(share, 0).astype(np.int64)
         listed = whole > 0
         self.share = np.stack([np.where(listed, np.clip(x, LOWEST, HIGHEST), 256) for x in (own >> 1, own, own << 1)]).reshape(-1)
-        self.rest = (256 - self.share) << (self.bits - 8)
+        # What orders 0 and 1 give is scaled by share / 256, and by rest >> down: together 2**bits.
+        self.rest, self.down = (256 - self.share) << max(0, self.bits - 24), max(0, 24 - self.bits)
         self.low = round(0.6 * WINDOW * missed / 65536)
         self.high = max(self.low + 1, round(1.5 * WINDOW * missed / 65536))
 
@@ -132,7 +135,10 @@ class _Second:
         """The mass to add for predictions of these kinds (0: none), whose ids have ``width`` of 2**bits without it; what ``learn`` needs."""
         at = self.row + kind
         rate = self.rate.take(at)
-        return np.minimum(np.maximum(rate * self.top - width * self.finer, 0.0), self.most).astype(np.int64), at, rate
+        mass = rate * self.top
+        mass -= width * self.finer
+        np.maximum(mass, 0.0, out=mass)
+        return np.minimum(mass, self.most, out=mass).astype(np.int64), at, rate
 
     def learn(self, at: np.ndarray, rate: np.ndarray, right: np.ndarray) -> None:
         self.rate[at] = rate + (right - rate) * PACE  # without a prediction it stays 0
@@ -189,28 +195,56 @@ def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return alphabet.astype(np.int64), times, dense.reshape(-1).astype(np.int32)
 
 
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the keys (below 2**41) in the keys' order, equal ones as they stand, and the keys in that order. Sorting the two packed is much faster than argsort."""
-    packed = np.sort((keys << 22) | np.arange(len(keys)))
-    return packed & ((1 << 22) - 1), packed >> 22
+def _pairs(dense: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of an id (``v`` at a block's start) and the one behind it, in order: first, second and how often; and which of them each place has."""
+    n = len(dense)
+    packed = np.empty(n, np.int64)  # key and place: sorting the two packed is much faster than argsort
+    packed[1:] = dense[:-1]
+    packed[::BLOCK] = v
+    packed *= v
+    packed += dense
+    packed <<= 22
+    packed |= np.arange(n, dtype=np.int32)
+    packed.sort()
+    order = packed & ((1 << 22) - 1)
+    packed >>= 22
+    new = np.concatenate(([True], packed[1:] != packed[:-1]))
+    starts = np.flatnonzero(new)
+    pairs = packed[starts]
+    del packed
+    which = np.empty(n, np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32)
+    which -= 1
+    return pairs // v, pairs % v, np.diff(np.append(starts, n)), which
+
+
+def _expected(before: np.ndarray, last: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What order 2 expects in some whole blocks (STEP ids at most): the sureness, 0 for nothing, and the pair that stood at the slot's last use in the block, if it began with the same id."""
+    n = len(pair)
+    at = np.arange(n, dtype=np.uint32)
+    packed = ((at // BLOCK * SLOTS + _slot(before, last).astype(np.uint32)) << np.uint32(16)) | at
+    packed.sort()
+    order, slot = (packed & np.uint32(0xFFFF)).astype(np.int64), packed >> np.uint32(16)
+    same = np.concatenate(([False], slot[1:] == slot[:-1]))
+    met, began = pair.take(order), last.take(order)
+    found = np.concatenate((met[:1], met[:-1]))
+    right = same & (found == met)
+    sure = same.astype(np.int8)
+    streak = same
+    for _ in range(3):  # one more for each of the last predictions at the slot that was right
+        streak = same & np.concatenate(([False], (streak & right)[:-1]))
+        sure += streak
+    sure[1:] *= began[1:] == began[:-1]
+    kind, guess = np.empty(n, np.int8), np.empty(n, np.int64)
+    kind[order], guess[order] = sure, np.where(sure > 0, found, 0)
+    return kind, guess
 
 
 def _encode(ids: np.ndarray) -> bytes:
     n = len(ids)
     alphabet, seen, dense = _alphabet(ids)
     v = len(alphabet)
-    last = np.concatenate(([v], dense[:-1])).astype(np.int32)
-    last[::BLOCK] = v
-    before = np.concatenate(([v], last[:-1])).astype(np.int32)
-    before[::BLOCK] = v
-    # The different pairs of an id and the one before it, and which of them each place has.
-    order, ordered = _grouped(last.astype(np.int64) * v + dense)
-    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    which = np.empty(n, np.int32)
-    which[order] = (np.cumsum(new) - 1).astype(np.int32)
-    starts = np.flatnonzero(new)
-    times, owner, symbol = np.diff(np.append(starts, n)), ordered[starts] // v, ordered[starts] % v
-    del order, ordered, new
+    owner, symbol, times, which = _pairs(dense, v)
     listed = (times >= LEAST) & (owner < v)
     held = np.bincount(owner[listed], times[listed], minlength=v + 1)
     met = np.bincount(owner, times, minlength=v + 1)
@@ -223,43 +257,34 @@ def _encode(ids: np.ndarray) -> bytes:
 
     blocks = -(-n // BLOCK)
     lengths = np.minimum(BLOCK, n - BLOCK * np.arange(blocks)).astype(np.int64)
-    # Order 2: the pair that stood at the slot's last use in the block, if it began with the same id.
-    order, slot = _grouped(np.repeat(np.arange(blocks) * SLOTS, lengths) + _slot(before, last))
-    same = np.concatenate(([False], slot[1:] == slot[:-1]))
-    met = which[order]
-    found = np.concatenate((met[:1], met[:-1]))
-    right = same & (found == met)
-    sure = same.astype(np.int8)
-    streak = same
-    for _ in range(3):  # one more for each of the last predictions at the slot that was right
-        streak = same & np.concatenate(([False], (streak & right)[:-1]))
-        sure += streak
-    kind, guess = np.zeros(n, np.int8), np.zeros(n, np.int32)
-    kind[order], guess[order] = sure * (same & (owner[found] == owner[met])), found
-    del order, slot, same, met, found, right, sure, streak
-
-    gone = np.concatenate(([0], np.cumsum(miss)))
-    start, end, width, side = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n, np.int8)
-    ends = tables.ends
+    gone = np.concatenate(([0], np.cumsum(miss, dtype=np.int32)))
+    # A row for each position, a column for each block: start, end, kind, width and side.
+    longest = int(lengths.max())
+    rows = [np.empty((longest, blocks), x) for x in (np.int32, np.int32, np.int8, np.int32, np.int8)]
+    fit = np.int32 if tables.bits <= 22 else np.int64  # products stay below 2**31
+    ends, shares, rests, low, high = (x.astype(fit) for x in (tables.ends, tables.share, tables.rest, low, high))
+    symbol = symbol.astype(np.int32)
     for a in range(0, n, STEP):  # in steps that stay in the cache
         now = slice(a, min(n, a + STEP))
+        d, u = dense[now], which[now].astype(np.int64)
+        last, before = np.empty_like(d), np.empty_like(d)
+        last[1:] = d[:-1]
+        last[::BLOCK] = v
+        before[1:] = last[:-1]
+        before[::BLOCK] = v
+        kind, g = _expected(before, last, u)
         at = np.arange(a, now.stop)
-        own = tables.level(gone[at] - gone[np.maximum(at - WINDOW, at // BLOCK * BLOCK)]) * (v + 1) + last[now]
-        scale, rest = tables.share[own], tables.rest[own]
-        place = lambda d, part: ((scale * ends[d]) >> 8) + ((part * rest) >> SHARE)  # noqa: E731, B023
-        d, u, g = dense[now], which[now], guess[now]
-        start[now], end[now] = place(d, low[u]), place(d + 1, high[u])
-        other = symbol[g]
-        width[now] = place(other + 1, high[g]) - place(other, low[g])
-        side[now] = np.where(kind[now] == 0, 0, np.where(g == u, 1, 2 * (other < d)))  # the added mass stands behind, in or before the id's place
-    del gone, guess, which, miss
-
-    def columns(x: np.ndarray, fill) -> np.ndarray:
-        padded = np.full(blocks * BLOCK, fill, x.dtype)
-        padded[:n] = x
-        return np.ascontiguousarray(padded.reshape(blocks, BLOCK)[:, : int(lengths.max())].T)
-
-    rows = [columns(x, fill) for x, fill in ((start, 0), (end, 1 << tables.bits), (kind, 0), (width, 0), (side, 0))]
+        own = tables.level(gone[now] - gone.take(np.maximum(at - WINDOW, at // BLOCK * BLOCK))) * (v + 1) + last
+        scale, rest = shares.take(own), rests.take(own)
+        place = lambda d, part: ((scale * ends.take(d)) >> 8) + ((part * rest) >> tables.down)  # noqa: E731, B023
+        other = symbol.take(g)
+        side = np.where(kind == 0, 0, np.where(g == u, 1, 2 * (other < d))).astype(np.int8)  # the added mass stands behind, in or before the id's place
+        found = place(d, low.take(u)), place(d + 1, high.take(u)), kind, place(other + 1, high.take(g)) - place(other, low.take(g)), side
+        for row, x in zip(rows, found, strict=True):
+            if len(x) % BLOCK:
+                x = np.append(x, np.zeros(-len(x) % BLOCK, x.dtype))  # what follows a block's end is not coded
+            row[:, a // BLOCK : a // BLOCK + len(x) // BLOCK] = x.reshape(-1, BLOCK)[:, :longest].T
+    del gone, which, miss, dense
     out = _code(*rows, lengths, tables.bits)
     crcs = [zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK]) for k in range(blocks)]
     head, words = tables.pack(), b"".join(w.astype("<u4").tobytes() for w in out)
@@ -270,34 +295,38 @@ def _code(start: np.ndarray, end: np.ndarray, kind: np.ndarray, width: np.ndarra
     """The range coder's words of each block; the arrays have a row for each position."""
     n, second, fine = len(lengths), _Second(len(lengths), bits), np.uint64(bits + FINER)
     low, span = np.zeros(n, np.uint64), np.full(n, 2**63 - 1, np.uint64)
-    out, filled, rows = np.zeros((n, len(start) * 5 // 4 + 16), np.uint64), np.zeros(n, np.int64), np.arange(n)
+    out, filled, rows, full = np.zeros((n, len(start) // 4 + GROW), np.uint64), np.zeros(n, np.int64), np.arange(n), int(lengths.min())
     for k in range(len(start)):
+        if k % GROW == 0 and filled.max() + GROW + 2 > out.shape[1]:  # a position gives at most one word, and the end two
+            out = np.concatenate((out, np.zeros((n, max(2 * GROW, out.shape[1] // 2)), np.uint64)), axis=1)
         mass, at, rate = second.mass(kind[k], width[k])
         left = (1 << (bits + FINER)) - mass
         a = ((left * start[k]) >> bits) + mass * (side[k] > 1)
         b = ((left * end[k]) >> bits) + mass * (side[k] > 0)
         second.learn(at, rate, side[k] == 1)
         unit = span >> fine
-        whole = k >= lengths  # blocks that are over stay as they are
-        if whole.any():
+        if k >= full:  # blocks that are over stay as they are
+            whole = k >= lengths
             a[whole], b[whole] = 0, 1
             unit[whole] = span[whole]
         low += unit * a.view(np.uint64)
         span = unit * (b - a).view(np.uint64)
         small = np.flatnonzero(span < _LOW)
         if len(small):
-            x = low[small]
-            out[small, filled[small]] = x >> np.uint64(31)
-            filled[small] += 1
+            x, at = low.take(small), filled.take(small)
+            out[small, at] = x >> np.uint64(31)
+            filled[small] = at + 1
             low[small] = (x & (_LOW - np.uint64(1))) << np.uint64(32)
-            span[small] <<= np.uint64(32)
+            span[small] = span.take(small) << np.uint64(32)
     for _ in range(2):
         out[rows, filled] = low >> np.uint64(31)
         filled += 1
         low = (low & (_LOW - np.uint64(1))) << np.uint64(32)
-    while (over := out >> np.uint64(32)).any():  # carries go into the word before
+    over = out >> np.uint64(32)
+    while over.any():  # carries go into the word before
         out &= np.uint64(2**32 - 1)
         out[:, :-1] += over[:, 1:]
+        np.right_shift(out, np.uint64(32), out=over)
     return [out[k, : filled[k]] for k in range(n)]
 
 
@@ -306,26 +335,40 @@ def _decode(tables: _Tables, words: np.ndarray, lengths: np.ndarray, counts: np.
     second, rows, fine = _Second(n, bits), np.arange(n), np.uint64(bits + FINER)
     stream = np.append(words.astype(np.uint64), np.zeros(4, np.uint64))
     place = np.cumsum(counts) - counts
-    code = (stream[place] << np.uint64(31)) | (stream[np.minimum(place + 1, len(words))] >> np.uint64(1))
-    spare = stream[np.minimum(place + 1, len(words))] & np.uint64(1)  # the register has 63 bits: the last bit waits for the next word
+    # The register has 63 bits: the last bit of a word waits for the next one.
+    code = (stream[place] << np.uint64(31)) | (stream[place + 1] >> np.uint64(1))
+    feed = stream >> np.uint64(1)
+    feed[1:] |= (stream[:-1] & np.uint64(1)) << np.uint64(31)
     place += 2
     span = np.full(n, 2**63 - 1, np.uint64)
     longest, full = int(lengths.max()), int(lengths.min())
     ids = np.full((longest + 2, n), v, np.int64)
     misses, recent, old = np.zeros((WINDOW, n), np.int64), np.zeros(n, np.int64), rows * SLOTS
-    ends, following, shares, rest = tables.ends[:-1], tables.ends[1:], tables.share, tables.rest
+    ends, following, shares, rest, down = tables.ends[:-1], tables.ends[1:], tables.share, tables.rest, tables.down
     # Entries of the lists, with one behind that is in none. All by share, list and place in one rising row.
     many, symbol, own = len(tables.symbol), tables.symbol, tables.owner
-    owner, before, after = (np.append(x, last) for x, last in ((own, -1), (tables.before, 0), (tables.after, 0)))
-    line = []
+    owner = np.append(own, -1)
+    edge = np.stack((np.append(tables.after, 0), np.append(tables.before, 0)), axis=1).reshape(-1)  # an entry's end, and where it begins
+    # Of each list, cut into equal parts, two or more for each entry: the last entry at or before a part's start, from which few steps are left.
+    sizes = np.diff(np.append(tables.first, many))
+    shift = bits - np.array([int(x).bit_length() + 1 for x in sizes])
+    parts = np.tile((1 << bits) >> shift, 3)
+    part, shift = np.cumsum(parts) - parts, np.tile(shift, 3)
+    line, held, upto = [], np.zeros(int(parts.sum()) + 1, np.int64), np.zeros(int(parts.sum()) + 1, np.int64)
     for k in range(0, 3 * (v + 1), v + 1):
-        start = ((shares[k + own] * ends[np.maximum(symbol, 0)]) >> 8) + ((tables.before * rest[k + own]) >> SHARE)
-        line.append(((k + own) << (bits + 1)) + np.where(symbol < 0, 0, start))
-    longest_list = int(np.diff(np.append(tables.first, many)).max())
-    halves = [1 << h for h in range(longest_list.bit_length() - 1, -1, -1)]
+        start = ((shares[k + own] * ends[np.maximum(symbol, 0)]) >> 8) + ((tables.before * rest[k + own]) >> down)
+        start[symbol < 0] = 0
+        line.append(((k + own) << (bits + 1)) + start)
+        at, wide = part[k + own], shift[k + own]
+        held += np.bincount(at + (start >> wide), minlength=len(held))
+        upto += np.bincount(at - (-start >> wide), minlength=len(upto))
+    guide = (np.cumsum(upto) - 1).astype(np.int32)
+    halves = [1 << h for h in range(int(held.max()).bit_length() - 1, -1, -1)]
     line = np.concatenate((*line, np.full(2 * halves[0], np.iinfo(np.int64).max)))
-    stops, many_times = np.concatenate([tables.first + k * many for k in range(3)]), np.arange(3) * many
+    many_times = np.arange(3) * many
     ids_at = np.repeat(np.arange(v, dtype=np.int32), np.diff(tables.ends)) if bits <= 22 else None  # order 0's id at each place
+    # Below 2**52 the floor of a quotient of floats is that of the whole numbers, and many times as fast.
+    over = (lambda x, y: (x / y).astype(np.int64)) if 2 * bits + FINER < 52 else np.floor_divide
     # What order 2 remembers: the entry (times two, and one if it is the id itself), the id, and how sure it is.
     memory = np.full(n * SLOTS, 2 * many << 22, np.int64)
     whole, sure_ones = 1 << (bits + FINER), 3
@@ -342,9 +385,8 @@ def _decode(tables: _Tables, words: np.ndarray, lengths: np.ndarray, counts: np.
         usable = owner.take(j) == last
         guess = ((kept >> 2) & (MOST_IDS - 1)) * usable
         sure = kept & sure_ones
-        high = after.take(j)
-        a = ((scale * ends.take(guess)) >> 8) + ((np.where(entry & 1, before.take(j), high) * other) >> SHARE)
-        b = ((scale * following.take(guess)) >> 8) + ((high * other) >> SHARE)
+        a = ((scale * ends.take(guess)) >> 8) + ((edge.take(entry) * other) >> down)
+        b = ((scale * following.take(guess)) >> 8) + ((edge.take(j + j) * other) >> down)
         mass, at, rate = second.mass((1 + sure) * usable, b - a)
         left = whole - mass
         first, end = (left * a) >> bits, ((left * b) >> bits) + mass
@@ -353,17 +395,18 @@ def _decode(tables: _Tables, words: np.ndarray, lengths: np.ndarray, counts: np.
         passed = usable & (spot >= end)
         hit = usable & (spot >= first) & ~passed
         # What orders 0 and 1 have there.
-        plain = np.where(hit, a, (((spot - mass * passed + 1) << bits) - 1) // left)
-        key, e = (own << (bits + 1)) + plain, stops.take(own)
+        plain = np.where(hit, a, over(((spot - mass * passed + 1) << bits) - 1, left))
+        key, e = (own << (bits + 1)) + plain, guide.take(part.take(own) + (plain >> shift.take(own))).astype(np.int64)
         for h in halves:  # the last entry of the list at or before it; for many lists at once this is faster than searchsorted
-            e += (line.take(e + h) <= key) * h
+            e += (line.take(e + h) <= key).view(np.int8) * h
         e -= many_times.take(level)
-        s, high = symbol.take(e), after.take(e)
-        into = (high * other) >> SHARE
+        s = symbol.take(e)
+        into = (edge.take(e + e) * other) >> down
         listed = (s >= 0) & (plain < ((scale * following.take(s)) >> 8) + into)
-        base = ((plain - into + 1) * 256 - 1) // scale
+        base = over((plain - into + 1) * 256 - 1, scale)
         now = np.where(listed, s, ids_at.take(base, mode="clip") if ids_at is not None else np.searchsorted(ends, base, side="right") - 1)
-        a = ((scale * ends.take(now)) >> 8) + (np.where(listed, before.take(e), high) * other >> SHARE)
+        entry = e + e + listed
+        a = ((scale * ends.take(now)) >> 8) + ((edge.take(entry) * other) >> down)
         b = ((scale * following.take(now)) >> 8) + into
         first, end = ((left * a) >> bits) + mass * passed, ((left * b) >> bits) + mass * (passed | hit)
         if k >= full:
@@ -372,22 +415,14 @@ def _decode(tables: _Tables, words: np.ndarray, lengths: np.ndarray, counts: np.
         second.learn(at, rate, hit)
         code -= unit * first.view(np.uint64)
         span = unit * (end - first).view(np.uint64)
-        code, span, spare, place = _refill(code, span, spare, place, stream)
-        memory[slot] = ((2 * e + listed) << 22) | (now << 2) | (np.minimum(sure + 1, 3) * hit)
+        short = (span < _LOW).astype(np.uint64)  # all blocks at once is faster than picking those that need a word
+        code = (code << (short << np.uint64(5))) | (feed.take(place) * short)
+        span <<= short << np.uint64(5)
+        place += short.view(np.int64)
+        memory[slot] = (entry << 22) | (now << 2) | (np.minimum(sure + 1, 3) * hit)
         recent += (new := ~listed) - misses[k % WINDOW]
         misses[k % WINDOW] = new
         ids[k + 2] = now
     own = ids[2:]
     dense = np.concatenate([own[: lengths[k], k] for k in range(n)]) if full < longest else own.T.reshape(-1)
     return tables.alphabet[dense].astype("<u4")
-
-
-def _refill(code, span, spare, place, stream):
-    small = np.flatnonzero(span < _LOW)
-    if len(small):
-        word = stream[place[small]]
-        code[small] = (code[small] << np.uint64(32)) | (spare[small] << np.uint64(31)) | (word >> np.uint64(1))
-        spare[small] = word & np.uint64(1)
-        place[small] += 1
-        span[small] <<= np.uint64(32)
-    return code, span, spare, place

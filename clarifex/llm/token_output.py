@@ -5,8 +5,9 @@ token counts, and a payload of independent, checksummed blocks. Chunks are numbe
 by (part, chunk). Spark's commit protocol writes it, so a lost executor leaves no half-written file.
 
 Texts are encoded by the tokenizers library. With the pattern by which a tokenizer splits texts into
-pieces that it encodes one by one, each distinct piece is encoded once and then remembered. Texts that
-hold the string of a token added to the vocabulary, such as <|endoftext|>, go to the tokenizer whole.
+pieces that it encodes one by one, each distinct piece is encoded once, of byte-level tokenizers by the
+library's model itself, and then remembered. Texts that hold the string of a token added to the
+vocabulary, such as <|endoftext|>, go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clarifex.llm.common import fresh_dir, text_bytes
+from clarifex.llm.common import fresh_dir, give_back, text_bytes
 from clarifex.llm.token_codec import SECTION, decode, encode
 
-#: Tokens at which a chunk is closed; distinct pieces that a worker remembers; bytes of text encoded and split at once.
-CHUNK_TOKENS, REMEMBERED, AT_ONCE, SPLIT = SECTION - (1 << 18), 1_000_000, 16 << 20, 2 << 20
+#: Tokens at which a chunk is closed; distinct pieces that a worker remembers; bytes of text split at once.
+CHUNK_TOKENS, REMEMBERED, SPLIT = SECTION - (1 << 18), 1_000_000, 1 << 18
 SCHEMA = "part int, chunk int, ahead long, n long, ids array<long>, counts array<long>, payload binary"
 _CACHE: dict[tuple[str, str | None], PieceEncoder] = {}
 
@@ -35,6 +36,14 @@ ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 LETTER, NUMBER, SPACE, OTHER = range(4)
 
 
+def byte_chars() -> np.ndarray:
+    """The code point that byte-level tokenizers write for each byte: printable bytes stay, the others follow from 256 on."""
+    stays = np.zeros(256, bool)
+    for a, b in ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)):
+        stays[a : b + 1] = True
+    return np.where(stays, np.arange(256), 255 + np.cumsum(~stays)).astype("<u4")
+
+
 def kinds() -> np.ndarray:
     """Of each code point: letter, number, white space or other, as the pattern has it."""
     out = np.full(0x110000, OTHER, np.uint8)
@@ -99,11 +108,10 @@ class PieceEncoder:
         if self.tokenizer.normalizer is not None and any(t.normalized for t in added):
             self.pieces = None  # such tokens may come about by normalising
         self.added = [t.content.encode() for t in added]
-        # What is a piece already need not be split again.
-        self.of_pieces = Tokenizer.from_file(path)
-        known = self.of_pieces.pre_tokenizer
-        if self.kinds is not None and isinstance(known, ByteLevel) and not known.add_prefix_space:
-            self.of_pieces.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        # What is a piece already need not be split again: the model gets it as the tokenizer would write it.
+        known, self.model = self.tokenizer.pre_tokenizer, None
+        if self.kinds is not None and self.tokenizer.normalizer is None and isinstance(known, ByteLevel) and known.use_regex and not known.add_prefix_space:
+            self.model, self.chars = self.tokenizer.model, byte_chars()
         self.place: dict[bytes, int] = {}
         self.flat, self.ends = np.zeros(1 << 20, np.uint32), np.zeros((1 << 18) + 1, np.int64)
 
@@ -118,11 +126,19 @@ class PieceEncoder:
     def _plain(tokenizer, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _of_pieces(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each of some pieces."""
+        if self.model is None:
+            return self._plain(self.tokenizer, [w.decode() for w in words])
+        text = self.chars[np.frombuffer(b"".join(words), np.uint8)].tobytes().decode("utf-32-le")
+        ends, tokens = np.cumsum([len(w) for w in words]).tolist(), self.model.tokenize
+        return [[t.id for t in tokens(text[a:b])] for a, b in zip([0, *ends], ends, strict=False)]
+
     def _learn(self, words: list[bytes]) -> None:
         """Remember the ids of some pieces."""
         for at in range(0, len(words), 1 << 14):
             some = words[at : at + (1 << 14)]
-            found = self._plain(self.of_pieces, [w.decode() for w in some])
+            found = self._of_pieces(some)
             known, ends = len(self.place), np.cumsum([len(x) for x in found])
             used = int(self.ends[known])
             if used + ends[-1] > len(self.flat):
@@ -168,7 +184,7 @@ class PieceEncoder:
         starts = self._starts(data, first)
         offsets = np.append(starts, len(data))
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-        different = words.dictionary.to_pylist()
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times as fast as to_pylist
         at = list(map(self.place.get, different))
         if None in at:
             self._learn([w for w, p in zip(different, at, strict=True) if p is None])
@@ -176,7 +192,9 @@ class PieceEncoder:
         place = np.array(at, np.int64)[words.indices.to_numpy()]
         begin, sizes = self.ends[place], self.ends[place + 1] - self.ends[place]
         total = np.cumsum(sizes)
-        flat = self.flat[np.repeat(begin - (total - sizes), sizes) + np.arange(total[-1])]
+        source = np.repeat(begin - (total - sizes), sizes)
+        source += np.arange(total[-1], dtype=np.int32)
+        flat = self.flat.take(source)
         counts = np.zeros(len(texts), np.int64)
         counts[filled] = np.add.reduceat(sizes, np.searchsorted(starts, first))
         for word in list(self.place)[REMEMBERED:] if len(self.place) > REMEMBERED else ():  # what came first, and so most often, is kept
@@ -190,6 +208,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str | None
     Documents are dealt by ranges of ids, and where ids are null or repeated by ranges of their texts'
     hashes and of their rows, so the parts' order is the documents' order and no id fills a part alone.
     Rows that share an id follow each other. No rows give an empty file; other columns are ignored.
+    A chunk ends with the document that brings it to ``chunk_tokens``; smaller ones take less memory and more time.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -199,30 +218,42 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str | None
         from pyspark import TaskContext
 
         part, chunk, ahead = TaskContext.get().partitionId(), 0, 0
+        give_back()  # what steps before have left in this worker
         encoder, ids, counts, tokens, size = PieceEncoder.at(tokenizer, pattern), [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            values = [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([ahead], pa.int64()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.concatenate(counts)], pa.list_(pa.int64())), pa.array([encode(np.concatenate(tokens))], pa.binary())]
+            give_back()
+            whole = np.concatenate(tokens)
+            tokens.clear()
+            values = [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([ahead], pa.int64()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.concatenate(counts)], pa.list_(pa.int64())), pa.array([encode(whole)], pa.binary())]
+            del whole
+            give_back()
             return pa.RecordBatch.from_arrays(values, [f.split()[0] for f in SCHEMA.split(", ")])
 
         for batch in batches:
             own = batch.column(1)
             at = 0
-            while at < batch.num_rows:  # some MB of text at a time
+            while at < batch.num_rows:  # about as much text at a time as makes a chunk
                 upto, seen = at, 0
-                while upto < batch.num_rows and seen < AT_ONCE:
+                while upto < batch.num_rows and seen < 2 * chunk_tokens:
                     seen += len(own[upto].as_buffer())
                     upto += 1
                 flat, n = encoder.encode(text_bytes(own.slice(at, upto - at)))
-                with_end = np.insert(flat, np.cumsum(n), end_id)
-                ids += batch.column(0).slice(at, upto - at).to_pylist()
-                counts.append(n + 1)
-                tokens.append(with_end.astype(np.uint32))
-                size += len(with_end)
+                with_end = np.insert(flat, np.cumsum(n), end_id).astype(np.uint32)
+                del flat
+                names, ends, first, done = batch.column(0).slice(at, upto - at).to_pylist(), np.cumsum(n + 1), 0, 0
+                while first < len(names):  # up to the document that fills the chunk
+                    last = min(len(names), 1 + int(np.searchsorted(ends, done + chunk_tokens - size)))
+                    end = int(ends[last - 1])
+                    ids += names[first:last]
+                    counts.append(n[first:last] + 1)
+                    tokens.append(with_end[done:end])
+                    size += end - done
+                    first, done = last, end
+                    if size >= chunk_tokens:
+                        yield close()
+                        ids, counts, tokens, ahead, size, chunk = [], [], [], ahead + size, 0, chunk + 1
                 at = upto
-                if size >= chunk_tokens:
-                    yield close()
-                    ids, counts, tokens, ahead, size, chunk = [], [], [], ahead + size, 0, chunk + 1
         if ids:
             yield close()
 
@@ -244,6 +275,7 @@ def read_tokens(spark, path: str, id_col: str = "doc_id", tokens: bool = True) -
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", tokens array<int>" * tokens
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, counts = batch.column(0)[row].values, batch.column(1)[row].values.to_numpy()
@@ -261,8 +293,8 @@ def read_tokens(spark, path: str, id_col: str = "doc_id", tokens: bool = True) -
     return joined.mapInArrow(each, schema).withColumnRenamed("doc_id", id_col)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, pattern: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", tokens: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, pattern: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", tokens: bool = False, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """``docs`` written as a token file in the shared folder and read back; one row for each row of ``docs``."""
     path = fresh_dir(docs.sparkSession, "tokens")
-    write_tokens(docs, path, tokenizer, pattern, end_id, id_col, text_col)
+    write_tokens(docs, path, tokenizer, pattern, end_id, id_col, text_col, chunk_tokens)
     return read_tokens(docs.sparkSession, path, id_col, tokens)

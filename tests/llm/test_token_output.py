@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -101,3 +102,26 @@ def test_sections(monkeypatch):
     for v in (5, 2**32):
         ids = np.random.default_rng(v).integers(0, v, 10_000).astype(np.uint32)
         assert (c.decode(c.encode(ids)) == ids).all()
+
+
+def test_a_chunk_ends_with_the_document_that_fills_it(spark, tmp_path):
+    """However many documents come in one batch: larger chunks take more memory to code."""
+    rows = [(k, "a " * (k % 9)) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    o.write_tokens(df, str(tmp_path / "t"), PATH, public_tokenizers.PATTERN, chunk_tokens=50)
+    chunks = spark.read.parquet(str(tmp_path / "t")).orderBy("part", "chunk").collect()
+    assert [x for r in chunks for x in r.ids] == list(range(400))
+    assert all(r.n == sum(r.counts) == len(c.decode(r.payload)) for r in chunks)
+    assert all(sum(r.counts[:-1]) < 50 for r in chunks)
+
+
+def test_coding_takes_little_memory():
+    ids = np.random.default_rng(2).zipf(1.3, 1 << 20) % 50257
+    ids = ids.astype(np.uint32)
+    tracemalloc.start()
+    try:
+        payload = c.encode(ids)
+        assert tracemalloc.get_traced_memory()[1] < 75 * len(ids)
+    finally:
+        tracemalloc.stop()
+    assert (c.decode(payload) == ids).all()
