@@ -125,3 +125,14 @@ def test_coding_takes_little_memory():
     finally:
         tracemalloc.stop()
     assert (c.decode(payload) == ids).all()
+
+
+def test_pieces_go_to_the_model_itself(monkeypatch):
+    """Splitting each piece again in the library takes twice the time."""
+    plain = Tokenizer.from_file(PATH)
+    texts = ["every byte: " + bytes(range(128)).decode(), "".join(map(chr, range(128, 0x250))), "été 漢字 🙂­ \n\n  x", " it's 10 o'clock"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = o.PieceEncoder(PATH, public_tokenizers.PATTERN)
+    monkeypatch.setattr(encoder, "_plain", None)
+    flat, n = encoder.encode([t.encode() for t in texts])
+    assert flat.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
