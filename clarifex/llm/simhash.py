@@ -344,8 +344,14 @@ def near_dedup(docs: DataFrame, width: int = 5, tau: int = 3, id_col: str = "doc
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Candidates for each document left up to which near copies are settled by all pairs at once. Rows of a bucket beyond which its pairs are estimated from so many.
-FEW_PAIRS, MANY, SOME = 20, 2048, 256
+#: Meetings for each document left up to which near copies are settled by all pairs at once (a near pair meets under many keys). Rows of a bucket beyond which its pairs are estimated from so many.
+FEW_PAIRS, MANY, SOME = 200, 2048, 256
+
+#: One document in so many tells which shingles are frequent, which are those in so many of these or more; so many of them are known at most. Only costs depend on it.
+COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 25, 3, 200_000
+
+#: Rows with a shared key that a task goes through at once.
+CHUNK = 1 << 16
 
 #: Candidates up to which all are verified at once, and the driver goes through those that are near.
 SETTLED = 10_000
@@ -366,10 +372,10 @@ def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(side) if side.count() <= BROADCAST_IDS else side, ids.columns[0], how)
 
 
-def shingle_sets(rows: DataFrame, width: int, whole: bool = False) -> DataFrame:
-    """``rows`` with what is known of the distinct shingles in place of ``_text``: a 128-bit digest (_class), their SimHash (fp), number (_n) and sketch (_sketch); or all of them in order (_set)."""
+def shingle_sets(rows: DataFrame, width: int, whole: bool = False, least: float = 0.8, common=None) -> DataFrame:
+    """``rows`` with what is known of the distinct shingles in place of ``_text``: a 128-bit digest (_class), their SimHash (fp), number (_n), sketch (_sketch) and ``rarest`` (_keys), by the broadcast ``common``; or all of them in order (_set)."""
     others = [c for c in rows.columns if c != "_text"]
-    names = ["_set"] if whole else ["_class", "fp", "_n", "_sketch"]
+    names = ["_set"] if whole else ["_class", "fp", "_n", "_sketch", "_keys"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in of(batches):
@@ -379,14 +385,48 @@ def shingle_sets(rows: DataFrame, width: int, whole: bool = False) -> DataFrame:
                 cols = [pa.array(raw, pa.binary())]
             else:
                 fps = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
-                cols = [pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
+                known = common.value if common else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                keys = [rarest(s, least, *known).tobytes() for s in sets]
+                cols = [pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(keys, pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *cols], [*others, *names])
 
-    kinds = {"_class": "binary", "fp": "long", "_n": "long", "_sketch": "binary", "_set": "binary"}
+    kinds = {"_class": "binary", "fp": "long", "_n": "long", "_sketch": "binary", "_keys": "binary", "_set": "binary"}
     schema = ", ".join([f"{c} {dict(rows.dtypes)[c]}" for c in others] + [f"{c} {kinds[c]}" for c in names])
     return rows.select(*others, "_text").mapInArrow(each, schema)
 
 
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles (hashes in order, counts) in one of ``COMMON_SHARE`` of the texts (_text)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in of(batches):
+            for x in text_bytes(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(x, width)).view(np.int64))], ["h"])
+
+    some = texts.select("_text").where(F.pmod(F.xxhash64("_text"), F.lit(COMMON_SHARE)) == 0)
+    counts = some.mapInArrow(each, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_LEAST)
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON_MOST).toArrow()
+    hashes, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def rarest(hashes: np.ndarray, least: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """So many of the distinct hashes (in order), the least frequent first, that any two sets with a Jaccard similarity of ``least`` share one of them.
+
+    In one order of all hashes, the first that two sets share is among the n - ceil(least n) + 1 first of each: at least ``least`` n of its own are shared.
+    """
+    n = len(hashes)
+    most = n - int(np.ceil(least * n - 1e-6)) + 1 if n else 0
+    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
+    known = common[at] == hashes if len(common) else np.zeros(n, bool)
+    first = hashes[~known][:most]
+    if len(first) == most:
+        return first
+    rest = hashes[known]
+    return np.concatenate((first, rest[np.argsort(counts[at[known]], kind="stable")][: most - len(first)]))
+
+
 def sketch(hashes: np.ndarray) -> bytes | None:
     """How many of the distinct hashes fall into each of 2^k equal ranges, of 4 to 8 hashes on average, a byte each; None if one has over 255."""
     k = max(1, (len(hashes) // 8).bit_length())
@@ -442,6 +482,7 @@ def _near(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def by_size(rows: DataFrame, least: float, block: int) -> DataFrame:
     """(key, fp, node, n, side, ...) for ``rows`` (fp, node, n, ...): any two nodes whose n allow a similarity of ``least`` meet under one key, and under one alone.
 
+    It is the plain search by size alone, which grows with the square of the rows; tests hold ``_candidates`` against it.
     Bands of n are so wide that such nodes are in one band or in neighbours. A band is cut into blocks of
     about ``block`` rows, and two blocks meet under a key of their own: side 0 with side 1, or a block (side 2)
     with itself.
@@ -501,45 +542,6 @@ def _meetings(side: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tup
     return [(np.flatnonzero(left & (side == k)), np.flatnonzero(right & (side == 1 - k))) for k in (0, 1)]
 
 
-def _lowest(tau: int, least: float):
-    """(node, low) for each row of a bucket that has another alike there: the least node of some of these and itself, by which those without a lesser one are known."""
-
-    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, n: np.ndarray, side: np.ndarray, *_) -> Iterator[pa.RecordBatch]:
-        for s, m in zip(*runs(key), strict=True):
-            fps, mine, size = fp[s : s + m], node[s : s + m], n[s : s + m]
-            low, met, open_ = mine.copy(), np.zeros(m, bool), np.ones(m, bool)
-            # What is near the least nodes is settled by them: a large group of near copies is not compared with itself.
-            for head in np.argsort(mine)[:4] if m > SOME else ():
-                near = open_ & (np.bitwise_count(fps ^ fps[head]) <= tau) & (np.minimum(size, size[head]) >= least * np.maximum(size, size[head]) - 1e-6)
-                near[head] = False
-                if near.any():
-                    low[near], open_[near] = np.minimum(low[near], mine[head]), False
-                    met[near] = met[head] = True
-            for rows, others in _meetings(side[s : s + m], open_, np.ones(m, bool)):
-                for i, j in _alike(fps, size, rows, others, tau, least):
-                    i, j = i[i != j], j[i != j]
-                    np.minimum.at(low, i, mine[j])
-                    np.minimum.at(low, j, mine[i])
-                    met[i] = met[j] = True
-            if met.any():
-                yield pa.RecordBatch.from_arrays([pa.array(mine[met]), pa.array(low[met])], ["node", "low"])
-
-    return _by_bucket(links)
-
-
-def _pairs(tau: int, least: float):
-    """(u, v) for each u that is ready and v that is not, if they are alike; no two that are ready are."""
-
-    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, n: np.ndarray, side: np.ndarray, ready: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for s, m in zip(*runs(key), strict=True):
-            now, mine = ready[s : s + m], node[s : s + m]
-            for rows, others in _meetings(side[s : s + m], now, ~now):
-                for i, j in _alike(fp[s : s + m], n[s : s + m], rows, others, tau, least):
-                    yield pa.RecordBatch.from_arrays([pa.array(mine[i]), pa.array(mine[j])], ["u", "v"])
-
-    return _by_bucket(links)
-
-
 def _all_pairs(tau: int, least: float, count: bool):
     """(u, v), u < v, for all nodes that are alike; or only (n), about how many, which is estimated in large buckets."""
 
@@ -597,6 +599,136 @@ def _every_pair(tau: int, answers, count: bool):
     return _by_bucket(links)
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """(key, fp, node, n, pos) for each of the _keys of ``rows`` (fp, node, n, _keys), pos being its place among them."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in of(batches):
+            raw = [np.frombuffer(x, np.int64) for x in batch.column("_keys").to_pylist()]
+            times = np.array([len(x) for x in raw], np.int64)
+            if times.sum():
+                pos = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                own = [np.repeat(batch.column(c).to_numpy(), times) for c in ("fp", "node", "n")]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(raw), *own, pos.astype(np.int32))], ["key", "fp", "node", "n", "pos"])
+
+    return rows.select("fp", "node", "n", "_keys").mapInArrow(each, "key long, fp long, node long, n long, pos int")
+
+
+def _shared(links):
+    """A function for mapInArrow over rows (key, ...) sorted by key, which gives ``links`` the columns of the rows whose key is not theirs alone, many whole buckets at a time."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def whole(last: bool) -> Iterator[pa.RecordBatch]:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            end = len(cols[0]) if last else int(np.searchsorted(cols[0], cols[0][-1]))
+            held[:] = [[c[end:] for c in cols]]
+            same = cols[0][1:end] == cols[0][: end - 1] if end else np.zeros(0, bool)
+            many = np.concatenate((same, [False])) | np.concatenate(([False], same)) if end else same
+            if many.any():
+                yield from links(*(c[:end][many] for c in cols))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)])
+                size += batch.num_rows
+                if size >= CHUNK:
+                    yield from whole(False)
+                    size = 0
+        if held:
+            yield from whole(True)
+
+    return each
+
+
+def _met(key: np.ndarray, n: np.ndarray, pos: np.ndarray, least: float, rows: np.ndarray, placed: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of rows of one key whose sizes (and with ``placed`` places) allow a similarity of ``least``, of which one at least is in the mask ``rows``; rows are in order of key and n.
+
+    Where a pair meets first, its sets have nothing before these places in common, so that no more than what is behind one of them is.
+    """
+
+    def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = n[i] >= least * n[j] - 1e-6
+        if placed:
+            ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least / (1 + least) * (n[i] + n[j]) - 1e-6
+        return ok
+
+    starts, lengths = runs(key)
+    small = np.repeat(lengths, lengths) <= 32
+    for step in range(1, 32):
+        i = np.flatnonzero((key[step:] == key[:-step]) & small[step:])
+        if not len(i):
+            break
+        i = i[(rows[i] | rows[i + step]) & allowed(i, i + step)]
+        yield i, i + step
+    for s, m in zip(starts[lengths > 32].tolist(), lengths[lengths > 32].tolist(), strict=True):
+        own, sizes = s + np.flatnonzero(rows[s : s + m]), n[s : s + m]
+        lo, hi = s + np.searchsorted(sizes, n[own] * least - 1e-6), s + np.searchsorted(sizes, (n[own] + 1e-6) / least, side="right")
+        for a, x, y in zip(own.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            other = np.arange(x, y)
+            other = other[(other > a) | ((other < a) & ~rows[x:y])]
+            i, j = np.minimum(other, a), np.maximum(other, a)
+            ok = allowed(i, j)
+            yield i[ok], j[ok]
+
+
+def _meetings_of(least: float):
+    """The rows whose key is shared, with about how many others of the key each may be near (met)."""
+
+    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, *_) -> Iterator[pa.RecordBatch]:
+        met, rows, times = np.zeros(len(key), np.int64), np.ones(len(key), bool), np.ones(len(key))
+        for s, m in zip(*runs(key), strict=True):
+            if m > MANY:
+                rows[s : s + m], times[s : s + m] = False, m / SOME / 2
+                rows[s + np.random.default_rng(m).choice(m, SOME, replace=False)] = True
+        for i, j in _met(key, n, pos, least, rows):
+            np.add.at(met, i, times[i].astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, fp, node, n, pos, met)], ["key", "fp", "node", "n", "pos", "met"])
+
+    return _shared(links)
+
+
+def _candidates(least: float, ready: bool = False):
+    """(u, v, bits) for all nodes that share a key and may be near, u < v, by how many bits their fingerprints differ; if rows say who is ready, for each u that is and v that is not, whatever their places."""
+
+    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, *now) -> Iterator[pa.RecordBatch]:
+        rows = now[0] if ready else np.ones(len(key), bool)
+        for i, j in _met(key, n, pos, least, rows, placed=not ready):
+            if ready:
+                i, j = i[rows[i] ^ rows[j]], j[rows[i] ^ rows[j]]
+            u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)).astype(np.int32))], ["u", "v", "bits"])
+
+    return _shared(links)
+
+
+def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of values[lo:hi], each of which has one at least."""
+    out, k, level = np.empty(len(lo), values.dtype), np.frexp(hi - lo)[1] - 1, values
+    for q in range(int(k.max(initial=-1)) + 1):
+        some = k == q
+        out[some] = np.minimum(level[lo[some]], level[hi[some] - (1 << q)])
+        level = np.minimum(level[: -(1 << q)], level[1 << q :])  # of twice as many from each place on
+    return out
+
+
+def _lowest(least: float):
+    """(node, low) for each row whose key is shared: the least node of the key, itself included, whose size allows a similarity of ``least``."""
+
+    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, n: np.ndarray, *_) -> Iterator[pa.RecordBatch]:
+        lo, hi = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        for s, m in zip(*runs(key), strict=True):
+            sizes = n[s : s + m]
+            lo[s : s + m] = s + np.searchsorted(sizes, sizes * least - 1e-6)
+            hi[s : s + m] = s + np.searchsorted(sizes, (sizes + 1e-6) / least, side="right")
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(_least(node, lo, hi))], ["node", "low"])
+
+    return _shared(links)
+
+
 def _later(pairs: DataFrame, near) -> DataFrame:
     """(v): of candidates (u, v), u < v, the nodes that go when all are gone through in order.
 
@@ -616,22 +748,25 @@ def _later(pairs: DataFrame, near) -> DataFrame:
     return out.unionByName(pairs.sparkSession.createDataFrame([(v,) for v in gone], "v long"))
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, tau: int = 14, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, width: int = 5, tau: int = 14, least: float = 0.8, beyond: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the near copies of a document that stays.
 
     Documents are near if the Jaccard similarity of their sets of shingles of ``width`` words is
     ``least`` or more. In order of ids (null last; rows with one id by their texts' hashes) a document
-    goes if it is near one before it that stays. So of rows with equal sets one stays, no two that
-    stay are near as far as the search finds them, and nothing goes for a document that went itself.
-    Candidates are pairs of fingerprints of the sets within ``tau`` bits; each is verified on whole
-    sets, once the earlier document is known to stay. Texts without words have equal (empty) sets.
+    goes if it is near one before it that stays. So of rows with equal sets one stays, and nothing
+    goes for a document that went itself. Candidates are pairs that share one of their rarest shingles,
+    as all near pairs do, with fingerprints of the sets within ``tau`` bits. With ``beyond``, those that
+    differ in more bits, which fingerprints alone would lose, follow where both documents stay so far,
+    until none of them is near: then no two that stay are near. Each is verified on whole sets. Texts
+    without words have equal (empty) sets.
     """
-    rows = with_row_key(docs)
+    spark, rows = docs.sparkSession, with_row_key(docs)
     since = made()
     text = F.col(f"`{text_col}`")
     texts = rows.select(F.col(ROW_KEY).alias("_row"), text.alias("_text"))
     order = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text"), F.col(ROW_KEY).alias("row"))
-    marked = table(shingle_sets(rows.select(F.col(ROW_KEY).alias("_row"), order.alias("o"), text.alias("_text")), width), "marked")
+    common = spark.sparkContext.broadcast(common_shingles(texts, width))
+    marked = table(shingle_sets(rows.select(F.col(ROW_KEY).alias("_row"), order.alias("o"), text.alias("_text")), width, least=least, common=common), "marked")
     found = marked.groupBy("_class").agg(F.min("o").alias("o"), F.min("fp").alias("fp"), F.min("_n").alias("n"))
     firsts = table(found.orderBy("o").select(F.monotonically_increasing_id().alias("node"), F.col("o.row").alias("_row"), "fp", "n"), "firsts")  # nodes in the order of ids
     gone = marked.select("_row").join(firsts.select("_row"), "_row", "left_anti")
@@ -641,35 +776,65 @@ def drop_near_copies(docs: DataFrame, width: int = 5, tau: int = 14, least: floa
 
     def possible(pairs: DataFrame) -> DataFrame:
         sketches = cut(_by_id(marked.select("_row", "_sketch"), rows_of(pairs), "inner").select("node", "_sketch"))
-        return cut(_may_be_near(pairs, sketches, least))
+        return cut(_may_be_near(pairs.select("u", "v"), sketches, least))
 
     def near(pairs: DataFrame) -> DataFrame:
         sets = table(shingle_sets(_by_id(texts, rows_of(pairs), "inner").select("node", "_text"), width, whole=True), "sets")
         return cut(_near(pairs, sets, least))
 
-    left, out = firsts.select("fp", "node", "n"), docs.sparkSession.createDataFrame([], "v long")
-    while True:
-        # If there are few candidates, all are found at once; dense groups go by rounds.
-        met = by_size(left, least, BLOCK).mapInArrow(_all_pairs(tau, least, count=True), "n long").agg(F.sum("n")).first()[0] or 0
-        if met <= FEW_PAIRS * left.count():
-            pairs = possible(cut(by_size(left, least, BLOCK).mapInArrow(_all_pairs(tau, least, count=False), "u long, v long")))
-            out = cut(out.unionByName(_later(pairs, near)))
-            break
-        # A node without one before it stays, and is compared with all that are near it by their fingerprints; those leave or wait for the next round.
-        low = cut(by_size(left, least, BLOCK).mapInArrow(_lowest(tau, least), "node long, low long").groupBy("node").agg(F.min("low").alias("low")))
-        marked_nodes = cut(_by_id(left, low.select("node", (F.col("low") == F.col("node")).alias("ready")), "inner"))
-        pairs = possible(cut(by_size(marked_nodes, least, BLOCK).mapInArrow(_pairs(tau, least), "u long, v long")))
-        gone_now = cut(near(pairs).select("v").distinct())
+    def counted(some: DataFrame) -> DataFrame:
+        return table(by_bucket(some, "n").mapInArrow(_meetings_of(least), "key long, fp long, node long, n long, pos int, met long"), "shared")
+
+    shared = counted(keyed(_by_id(marked.select("_row", "_keys"), firsts.select("_row", "fp", "node", "n"), "inner")))
+    out = spark.createDataFrame([], "v long")
+    while (shared.agg(F.sum("met")).first()[0] or 0) > FEW_PAIRS * shared.select("node").distinct().count():
+        # Dense groups go by rounds: a node without one before it stays, and is compared with all that it meets; those leave or wait for the next round.
+        low = cut(by_bucket(shared, "n").mapInArrow(_lowest(least), "node long, low long").groupBy("node").agg(F.min("low").alias("low")))
+        ready = _by_id(shared, low.select("node", (F.col("low") == F.col("node")).alias("ready")), "inner").select("key", "fp", "node", "n", "pos", "ready")
+        pairs = by_bucket(ready, "n").mapInArrow(_candidates(least, ready=True), "u long, v long, bits int").where(F.lit(beyond) | (F.col("bits") <= tau))
+        gone_now = cut(near(possible(cut(pairs.distinct()))).select("v").distinct())
         out = cut(out.unionByName(gone_now))
         waiting = low.where("low < node").select("node").join(gone_now.withColumnRenamed("v", "node"), "node", "left_anti")
-        left = cut(_by_id(left, waiting, "inner").select("fp", "node", "n"))
-        tidy(docs.sparkSession)
+        shared = counted(_by_id(shared.drop("met"), waiting, "inner").select("key", "fp", "node", "n", "pos"))
+        tidy(spark)
+    pairs = cut(by_bucket(shared, "n").mapInArrow(_candidates(least), "u long, v long, bits int").distinct())
+    settled = _settled(pairs, possible, near, tau) if beyond else _later(possible(pairs.where(F.col("bits") <= tau)), near)
+    out = cut(out.unionByName(settled))
     gone = cut(gone.unionByName(_by_id(firsts.select("node", "_row"), out.withColumnRenamed("v", "node"), "inner").select("_row")))
-    release(docs.sparkSession, since)  # all but the rows themselves
-    tidy(docs.sparkSession)
+    release(spark, since)  # all but the rows themselves
+    tidy(spark)
     return _by_id(rows, gone.withColumnRenamed("_row", ROW_KEY), "left_anti").drop(ROW_KEY)
 
 
+def _settled(pairs: DataFrame, possible, near, tau: int) -> DataFrame:
+    """(v): of candidates (u, v, bits), u < v, the nodes that go when all are gone through in order, those within ``tau`` bits being asked first.
+
+    What goes is right once no two that stay are near: then whatever went did so for one before it that stays.
+    """
+    known: list[DataFrame] = []
+
+    def remembered(some: DataFrame) -> DataFrame:
+        known.append(near(some))
+        return known[-1]
+
+    out = _later(possible(pairs.where(F.col("bits") <= tau)), remembered)
+    tested = None
+    while True:
+        held = cut(out)
+        open_ = _by_id(_by_id(pairs, held.withColumnRenamed("v", "u"), "left_anti"), held, "left_anti")
+        # Those within tau bits of each other that stay at first have been asked.
+        todo = cut(open_.where(F.col("bits") > tau) if tested is None else open_.join(tested, ["u", "v"], "left_anti"))
+        more = remembered(possible(todo)) if todo.take(1) else todo
+        if not more.take(1):
+            return held
+        tested = cut(open_.select("u", "v") if tested is None else tested.unionByName(todo.select("u", "v")))
+        edges = known[0]
+        for some in known[1:]:
+            edges = edges.unionByName(some)
+        known[:] = [cut(edges)]
+        out = _later(known[0], lambda x: x)
+
+
 def keep_out(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the ids in ``gone``, whose one column has the name of the id in ``docs``."""
     return _by_id(docs, gone, "left_anti")

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -235,3 +236,65 @@ def test_whole_sets_are_kept_only_of_what_may_be_near(spark, monkeypatch):
     kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id for r in kept.collect()} == set(range(20))
     assert sum(t.count() for t in made["sets"]) <= 6
+
+
+def left_of_all(sets, least=0.8):
+    return left_in_order(sets, [0] * len(sets), 0, least)
+
+
+@pytest.mark.parametrize("few, settled", [(200, 10_000), (0, 0)])
+def test_near_pairs_are_found_whatever_their_fingerprints(spark, monkeypatch, few, settled):
+    monkeypatch.setattr(simhash, "FEW_PAIRS", few)
+    monkeypatch.setattr(simhash, "SETTLED", settled)
+    rng, texts = np.random.default_rng(4), []
+    while len(texts) < 30:  # c is near b, which goes if a is near it
+        a = " ".join(f"w{k}" for k in rng.integers(5000, size=int(rng.integers(8, 60))))
+        b = a + " more" * int(rng.integers(1, 3))
+        fps = [simhash.fingerprint(np.unique(simhash.shingle_hashes(t.encode(), 5))) for t in (a, b)]
+        if jaccard(a, b) >= 0.8 and (fps[0] ^ fps[1]).bit_count() > 14:
+            texts += [a, b, b + " yet"]
+    texts = [texts[k] for k in rng.permutation(len(texts))]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    fps = [simhash.fingerprint(np.array(sorted(x), np.uint64)) for x in sets]
+    assert left_of_all(sets) != left_in_order(sets, fps)
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_copies(df, beyond=True).collect()} == left_of_all(sets)
+
+
+@settings(deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 200), st.integers(0, 30), st.integers(0, 30))
+def test_near_sets_share_one_of_their_rarest(seed, both, a, b):
+    own = np.random.default_rng(seed).integers(0, 2**64, both + a + b, np.uint64)
+    x, y = np.unique(own[: both + a]), np.unique(np.concatenate((own[:both], own[both + a :])))
+    common = np.unique(own[::3])
+    counts = np.random.default_rng(seed).integers(3, 6, len(common))
+    keys = [simhash.rarest(s, 0.8, common, counts) for s in (x, y)]
+    if both >= 0.8 * (both + a + b):
+        assert len(np.intersect1d(*keys))
+    assert all(len(k) == len(s) - -(-4 * len(s) // 5) + 1 for k, s in zip(keys, (x, y), strict=True))
+
+
+def test_unrelated_texts_of_one_size_do_not_meet(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(5000, size=100))) for k in range(300)]
+    made, plain = {}, simhash.table
+    monkeypatch.setattr(simhash, "table", lambda df, name: made.setdefault(name, []).append(out := plain(df, name)) or out)
+    monkeypatch.setattr(simhash, "release", lambda *_: None)
+    assert simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), beyond=True).count() == 300
+    assert sum(t.count() for t in made["shared"]) == 0
+
+
+def test_large_keys_give_the_pairs_and_least_nodes_of_brute_force():
+    rng = np.random.default_rng(7)
+    rows = sorted((int(k), int(n)) for k, n in zip(rng.integers(0, 4, 200), rng.integers(1, 90, 200), strict=True))
+    key, n = (np.array(x) for x in zip(*rows, strict=True))
+    node, ready = rng.permutation(200), rng.random(200) < 0.3
+    fp, pos = np.zeros(200, np.int64), np.zeros(200, np.int32)
+    like = lambda i, j: key[i] == key[j] and min(n[i], n[j]) >= 0.8 * max(n[i], n[j])
+    batches = lambda *more: iter([pa.RecordBatch.from_arrays([pa.array(x[a : a + 30]) for x in (key, fp, node, n, pos, *more)], list("abcdefg")[: 5 + len(more)]) for a in range(0, 200, 30)])
+    for by_ready in (False, True):
+        found = [(u, v) for b in simhash._candidates(0.8, by_ready)(batches(*([ready] if by_ready else []))) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)]
+        want = [(min(node[i], node[j]), max(node[i], node[j])) for j in range(200) for i in range(j) if like(i, j) and (not by_ready or ready[i] != ready[j])]
+        assert sorted(found) == sorted(want)
+    low = {x: y for b in simhash._lowest(0.8)(batches()) for x, y in zip(b["node"].to_pylist(), b["low"].to_pylist(), strict=True)}
+    assert low == {node[i]: min(node[j] for j in range(200) if like(i, j)) for i in range(200)}
