@@ -130,6 +130,13 @@ def give_back() -> None:
         trim(0)
 
 
+def shrink(spark: SparkSession) -> None:
+    """Let executors return the heap that steps before have left: a JVM that has grown keeps it, while its Python workers need the memory."""
+    tasks = spark.sparkContext.defaultParallelism  # one for each core, so that every executor has some
+    collected = F.expr("java_method('java.lang.System', 'gc')").alias("collected")
+    spark.range(0, tasks, 1, tasks).select(collected).write.format("noop").mode("overwrite").save()
+
+
 class Files:
     """Small files below a path that Spark can reach, through Hadoop's file systems."""
 

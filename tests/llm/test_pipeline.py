@@ -1,10 +1,11 @@
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as p
 from clarifex.llm import mixing
-from clarifex.llm.common import made
+from clarifex.llm.common import made, shrink
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,3 +78,24 @@ def test_decontamination_leaves_no_copy_of_the_documents(spark):
     clean = p.keep_uncontaminated(spark, docs, SF)
     assert made() == before
     assert 0 < clean.count() < docs.count()
+
+
+def test_stages_begin_with_little_heap(spark, monkeypatch):
+    """What a stage before has left of an executor's heap is returned: its Python workers need the memory."""
+    sc, called = spark.sparkContext, []
+    runtime = sc._jvm.java.lang.Runtime.getRuntime()
+    held = [sc._gateway.new_array(sc._jvm.byte, 1 << 25) for _ in range(10)]
+    grown = runtime.totalMemory()
+    del held
+    shrink(spark)
+    assert runtime.totalMemory() < grown - (1 << 26)
+
+    def begun(spark):
+        called.append(spark)
+        raise InterruptedError
+
+    monkeypatch.setattr(p, "shrink", begun)
+    for _, stage in p.STAGES:
+        with pytest.raises(InterruptedError):
+            stage(spark, None, SF)
+    assert len(called) == len(p.STAGES)
