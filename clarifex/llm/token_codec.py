@@ -29,7 +29,7 @@ import numpy as np
 
 MAGIC = b"CLXT\x02\0\0\0"
 #: Ids of a block and of a section; different ids of a section at most. Short blocks are many, which numpy needs to be coded side by side.
-BLOCK, SECTION, MOST_IDS = 1024, 1 << 21, 1 << 20
+BLOCK, SECTION, MOST_IDS = 512, 1 << 22, 1 << 20
 #: Occurrences that make a follower listed; ids that the order 0/1 mix looks back on; slots of order 2 in a block.
 LEAST, WINDOW, SLOTS = 4, 32, 64
 #: Bits of list shares; bits by which the mix is finer than order 0 and 1; range of the order 0 share in 1/256.
@@ -175,8 +175,9 @@ def decode(payload: bytes) -> np.ndarray:
         words = np.frombuffer(payload, "<u4", size // 4, at + head + 12 * blocks)
         tables = _Tables.unpack(payload[at : at + head])
         ids = _decode(tables, words, table[:, 0], table[:, 1])
+        ends = np.cumsum(table[:, 0]).tolist()  # whatever the length of blocks was when they were written
         for k, (length, _, crc) in enumerate(table.tolist()):
-            if zlib.crc32(ids[k * BLOCK : k * BLOCK + length]) != crc:
+            if zlib.crc32(ids[ends[k] - length : ends[k]]) != crc:
                 raise CorruptBlock(f"block {k} is damaged")
         parts.append(ids)
         at += head + 12 * blocks + size

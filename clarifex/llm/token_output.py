@@ -92,6 +92,16 @@ def split(data: bytes, first: np.ndarray, kind_of: np.ndarray) -> np.ndarray:
     return found if at is None else at[found]
 
 
+def _spread(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` that begin at ``begin``, one behind the other, and where each starts there, the end of all included."""
+    starts = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=starts[1:])
+    kind = np.int32 if max(len(values), int(starts[-1])) < 1 << 31 else np.int64
+    source = np.repeat((begin - starts[:-1]).astype(kind), sizes)
+    source += np.arange(starts[-1], dtype=kind)
+    return values.take(source), starts
+
+
 class PieceEncoder:
     """Token ids of texts by the tokenizer file at ``path``; pieces are remembered if their ``pattern`` is given."""
 
@@ -189,16 +199,17 @@ class PieceEncoder:
         if None in at:
             self._learn([w for w, p in zip(different, at, strict=True) if p is None])
             at = list(map(self.place.__getitem__, different))
-        place = np.array(at, np.int64)[words.indices.to_numpy()]
-        begin, sizes = self.ends[place], self.ends[place + 1] - self.ends[place]
-        total = np.cumsum(sizes)
-        source = np.repeat(begin - (total - sizes), sizes)
-        source += np.arange(total[-1], dtype=np.int32)
-        flat = self.flat.take(source)
+        place = np.array(at, np.int64)
+        begin = self.ends.take(place)
+        # The different pieces' ids stand together first, where a processor's cache holds them.
+        own, local = _spread(self.flat, begin, (self.ends.take(place + 1) - begin).astype(np.int32))
+        which = words.indices.to_numpy()
+        sizes = np.diff(local).take(which)
+        flat, ends = _spread(own, local.take(which), sizes)
         counts = np.zeros(len(texts), np.int64)
-        counts[filled] = np.add.reduceat(sizes, np.searchsorted(starts, first))
-        for word in list(self.place)[REMEMBERED:] if len(self.place) > REMEMBERED else ():  # what came first, and so most often, is kept
-            del self.place[word]
+        counts[filled] = np.diff(ends.take(np.append(np.searchsorted(starts, first), len(starts))))
+        while len(self.place) > REMEMBERED:  # what came first, and so most often, is kept
+            self.place.popitem()
         return flat, counts
 
 

@@ -96,6 +96,15 @@ def test_blocks_are_independent_of_each_other():
     assert (c.decode(c.encode(changed)) == changed).all()
 
 
+def test_blocks_of_another_length_are_read(monkeypatch):
+    """A file keeps the length of the blocks that it was written with."""
+    ids = np.random.default_rng(7).integers(0, 40, 5000).astype(np.uint32)
+    monkeypatch.setattr(c, "BLOCK", 2048)
+    payload = c.encode(ids)
+    monkeypatch.undo()
+    assert (c.decode(payload) == ids).all()
+
+
 def test_sections(monkeypatch):
     monkeypatch.setattr(c, "SECTION", 3000)
     monkeypatch.setattr(c, "MOST_IDS", 1 << 11)
